@@ -1,0 +1,247 @@
+import hashlib
+import html as html_lib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell.functions import text as tx
+from tracewell.functions import vectors as vec
+from tracewell.operators import knowledge, search
+from tracewell.plans import cycle
+from tracewell.sources import docs
+
+
+def column(spark, values, make):
+    frame = spark.createDataFrame([(v,) for v in values], "s string")
+    return [r[0] for r in frame.select(make(F.col("s"))).collect()]
+
+
+def python_strip(page):
+    page = re.sub(r"<style[^>]*>.*?</style>", "", page, flags=re.S)
+    page = re.sub(r"<script[^>]*>.*?</script>", "", page, flags=re.S)
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", page)).strip()
+
+
+PAGES = [
+    "<p>Hello <b>world</b></p>",
+    "<script>alert('x')</script><p>Content</p>",
+    "<style>body{color:red}</style><p>Text</p>",
+    "<p>  Too   many   spaces  </p>",
+    "<STYLE>kept</STYLE> a &amp; b <!-- gone --> <br/>　x \x1cy ",
+    "<style>\n1\n</style>a<style>2</style>b <script x='>'>1</script>c < d > e",
+    "",
+    "no tags",
+]
+
+
+def test_strip_html(spark):
+    assert column(spark, PAGES, tx.strip_html) == [python_strip(p) for p in PAGES]
+    assert html_lib.escape("&") in column(spark, PAGES, tx.strip_html)[4]
+
+
+def test_strip_html_of_all_pages(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("html", tx.strip_html(F.col("html")))
+    for page, text in rows.collect():
+        assert text == python_strip(page)
+
+
+@pytest.mark.parametrize(
+    "page, title",
+    [
+        ("<html><head><title>Circuit Breaker Settings</title></head></html>", "Circuit Breaker Settings"),
+        ("<html><body>No title here</body></html>", "Untitled"),
+        ("<TITLE>Upper Case</TITLE>", "Upper Case"),
+        ("<title>   padded </title>", "padded"),
+        ("<title></title>", ""),
+        ("<title>two\nlines</title>", "Untitled"),
+        ("<title>a\rb</title>", "a\rb"),
+        ('<title lang="en">x</title>', "Untitled"),
+    ],
+)
+def test_title(spark, page, title):
+    assert column(spark, [page], tx.extract_title) == [title]
+
+
+def python_split(text, size, overlap):
+    return [text[at : at + size] for at in range(0, len(text), size - overlap)]
+
+
+@pytest.mark.parametrize("size, overlap", [(500, 50), (500, 0), (200, 50), (7, 6), (1, 0)])
+def test_split(spark, size, overlap):
+    rng = random.Random(1)
+    texts = ["a" * n for n in (0, 50, 51, 499, 500, 501, 900, 2000)]
+    texts += ["".join(rng.choice("ab é😀\n\r ") for _ in range(n)) for n in (30, 449, 1700)]
+    got = column(spark, texts, lambda s: tx.split_chunks(s, size, overlap))
+    assert got == [python_split(t, size, overlap) for t in texts]
+
+
+def test_split_refuses_an_overlap_that_never_ends(spark):
+    for size, overlap in ((500, 500), (500, 501), (0, 0), (10, -1)):
+        with pytest.raises(ValueError):
+            tx.split_chunks(F.lit("x"), size, overlap)
+
+
+def test_short_chunks_are_dropped_after_stripping(spark):
+    texts = ["x" * 50, "x" * 51, "\n 　" + "x" * 50 + "\x1f", " " + "x" * 51]
+    assert column(spark, texts, tx.is_long_chunk) == [False, True, False, True]
+
+
+def test_long_text_is_split_in_linear_time(spark):
+    text = "añ😀b " * 400_000
+    (count,) = column(spark, [text], lambda s: F.size(tx.split_chunks(s)))
+    assert count == -(-len(text) // 450)
+
+
+def test_page_that_failed_gives_no_chunk(spark):
+    body = "<title>T</title>" + "word " * 200
+    pages = spark.createDataFrame(
+        [("a", 200, body), ("b", 404, body), ("c", 200, None), ("d", 204, "short")],
+        "url string, status int, html string",
+    )
+    chunks = knowledge.chunk_texts(knowledge.page_texts(pages)).collect()
+    assert {(c.url, c.title) for c in chunks} == {("a", "T")}
+    assert [c.chunk_idx for c in chunks] == [0, 1, 2]
+
+
+NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+CHILD = f"""<?xml version="1.0" encoding="UTF-8"?>
+<urlset {NS}><url><loc>
+ https://docs.example.org/guide/index.html </loc></url>
+<url><loc>https://docs.example.org/guide/wild.html</loc><lastmod>2024-01-01</lastmod></url>
+<url><lastmod>2024-01-01</lastmod></url><url><loc></loc></url>
+<url><loc>https://docs.example.org/blog/post</loc></url></urlset>"""
+ONE = f"<urlset {NS}><url><loc>https://docs.example.org/guide/wild.html</loc></url></urlset>"
+INDEX = f"""<sitemapindex {NS}><sitemap><loc> https://docs.example.org/a.xml </loc></sitemap>
+<sitemap><loc>https://docs.example.org/b.xml</loc></sitemap></sitemapindex>"""
+
+
+def test_sitemaps(spark):
+    index = spark.createDataFrame([(INDEX,)], "xml string")
+    children = docs.child_sitemaps(index).orderBy("sitemap_seq").collect()
+    assert [r.loc for r in children] == ["https://docs.example.org/a.xml", "https://docs.example.org/b.xml"]
+    maps = spark.createDataFrame([(0, CHILD), (1, ONE), (2, "not xml"), (3, None)], "sitemap_seq int, xml string")
+    found = docs.sitemap_locations(maps)
+    assert found.count() == 4
+    urls = knowledge.discover_urls(found, ["https://docs.example.org/guide"]).orderBy("sitemap_seq", "url_seq")
+    assert [r.url[-10:] for r in urls.collect()] == ["index.html", "/wild.html"]
+    assert knowledge.discover_urls(found, []).count() == 0
+
+
+def test_sitemap_files(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(CHILD)
+    (tmp_path / "b.xml").write_text(ONE)
+    rows = docs.read_sitemap_files(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and {r.path[-5:] for r in rows} == {"a.xml", "b.xml"}
+
+
+def test_cap_counts_before_duplicates_go(spark):
+    rows = [(0, 0, "p/a"), (0, 1, "p/a"), (0, 2, "q/x"), (0, 3, "p/b"), (1, 0, "p/c")]
+    sitemap = spark.createDataFrame(rows, "sitemap_seq int, url_seq int, loc string")
+
+    def urls(**kw):
+        found = knowledge.discover_urls(sitemap, ["p/"], **kw).orderBy("sitemap_seq", "url_seq")
+        return [r.url for r in found.collect()]
+
+    assert urls(max_urls=3) == ["p/a", "p/b"]
+    assert urls(max_urls=3, cap_first=False) == ["p/a", "p/b", "p/c"]
+    assert urls(max_urls=None) == ["p/a", "p/b", "p/c"]
+
+
+def test_url_list(spark, tmp_path):
+    path = tmp_path / "urls.txt"
+    path.write_text("https://a\n\n  https://b \n   \n")
+    assert sorted(r.url for r in docs.read_url_list(spark, str(path)).collect()) == ["https://a", "https://b"]
+
+
+def test_embed_is_unit_length_and_loads_once_per_worker(spark):
+    rows = spark.createDataFrame([("a b c",), ("",), (None,), ("a b c",)], "s string")
+    vectors = [r[0] for r in rows.select(vec.embed(F.col("s"), vec.hashed_tokens(16))).collect()]
+    norms = [float(np.linalg.norm(v)) for v in vectors]
+    assert norms == pytest.approx([1, 0, 0, 1], abs=1e-6) and vectors[0] == vectors[3]
+
+
+def test_knowledge_base_round_trip(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    with pytest.raises(FileNotFoundError):
+        docs.read_knowledge_base(spark, path)
+    pages = spark.createDataFrame(
+        [
+            ("u/heap", 200, "<title>Heap</title>" + "heap memory breaker limit " * 30),
+            ("u/wild", 200, "<title>Wild</title>" + "wildcard ngram field type " * 30),
+            ("v/other", 200, "<title>Other</title>" + "wildcard ngram field type " * 30),
+        ],
+        "url string, status int, html string",
+    )
+    sitemap = spark.createDataFrame(
+        [(0, 0, "u/heap"), (0, 1, "u/wild"), (0, 2, "v/other"), (0, 3, "u/lost")],
+        "sitemap_seq int, url_seq int, loc string",
+    )
+    embedder = vec.hashed_tokens(64)
+    (summary,) = cycle.build_knowledge_base(sitemap, pages, ["u/"], path, embedder).collect()
+    assert (summary.url_count, summary.status) == (3, "indexed")
+    kb = docs.read_knowledge_base(spark, path)
+    assert kb.count() == summary.chunk_count == 4
+    asked = spark.createDataFrame([(7, "breaker heap")], "query_id int, text string")
+    hits = search.search(kb, asked, embedder, k=2).orderBy("rank").collect()
+    assert {h.title for h in hits} == {"Heap"} and hits[0].score > 0
+    assert search.search(kb, asked, embedder, k=50).count() == 4
+    (none,) = cycle.build_knowledge_base(sitemap, pages, ["z/"], path, embedder).collect()
+    assert (none.url_count, none.chunk_count, none.status) == (0, 0, "no_urls_discovered")
+    assert docs.read_knowledge_base(spark, path).count() == 4
+
+
+def brute_force(corpus, asked, k, skip_self=False):
+    out = []
+    for q, qv in asked:
+        scored = [(-round(float(np.dot(v, qv)), 9), i) for i, v in corpus if not (skip_self and i == q)]
+        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("way", ["broadcast", "tiles"])
+@pytest.mark.parametrize("k, skip_self", [(5, False), (3, True), (1_000, False)])
+def test_topk_equals_brute_force(spark, way, k, skip_self):
+    """A third of the corpus is one vector, so most of the ranking is ties."""
+    rng = np.random.default_rng(3)
+    same = rng.integers(-3, 4, 4).astype(float).tolist()
+    corpus = [(i, same if i % 3 == 0 else rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(600)]
+    asked = [(i, corpus[i][1]) for i in range(0, 600, 7)] + [(9_999, [0.0] * 4)]
+    left = spark.createDataFrame(corpus, "id long, embedding array<float>").repartition(7)
+    right = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    limits = {"max_query_bytes": 1, "tile_rows": 90} if way == "tiles" else {}
+    got = search.vector_topk(left, right, k, skip_self, **limits).collect()
+    assert sorted(map(tuple, got)) == brute_force(corpus, asked, k, skip_self)
+
+
+def test_topk_takes_text_ids_and_empty_sides(spark):
+    left = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None)], "id string, embedding array<float>")
+    right = spark.createDataFrame([("q", [0.0, 2.0])], "query_id string, embedding array<float>")
+    for limit in (10**6, 1):
+        got = search.vector_topk(left, right, 1, max_query_bytes=limit).collect()
+        assert [tuple(r) for r in got] == [("q", 1, "b", 2.0)]
+        assert search.vector_topk(left, right.limit(0), 1, max_query_bytes=limit).count() == 0
+        assert search.vector_topk(left.limit(0), right, 1, max_query_bytes=limit).count() == 0
+
+
+def test_topk_ships_k_rows_per_query_and_task(spark, sf):
+    corpus = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    asked = corpus.limit(3).select(F.col("id").alias("query_id"), "embedding")
+    plan = search.vector_topk(corpus, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
+
+
+def test_vector_functions(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
+    got = rows.select(vec.vector_norm(F.col("v")), vec.normalize(F.col("v"))).collect()
+    assert [r[0] for r in got] == [5.0, 0.0]
+    assert got[0][1] == pytest.approx([0.6, 0.8]) and got[1][1] == [0.0, 0.0]
+
+
+def test_chunk_ids_are_stable(spark):
+    rows = spark.createDataFrame([("u", "t", 3, "x")], "url string, title string, chunk_idx int, text string")
+    (row,) = knowledge.embed_chunks(rows, vec.hashed_tokens(4), partitions=2).collect()
+    assert row.chunk_id == hashlib.sha256(b"u#3").hexdigest()

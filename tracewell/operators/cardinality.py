@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.sizes import MAX_BROADCAST_ROWS
+
 
 def referenced_fields(
     clauses: DataFrame, tables: Mapping[str, DataFrame]
@@ -53,4 +55,7 @@ def field_cardinality(
                 "index_name", "r.field_name", "r.cardinality"
             )
         )
-    return reduce(DataFrame.unionByName, per_table)
+    counts = reduce(DataFrame.unionByName, per_table)
+    # one row per name in ``fields``, so its size is known here
+    rows = sum(len(wanted) for wanted in fields.values())
+    return F.broadcast(counts) if rows <= MAX_BROADCAST_ROWS else counts

@@ -46,9 +46,9 @@ def wildcard_clauses(stats: DataFrame, keep_all: bool = False) -> DataFrame:
 def with_lookups(clauses: DataFrame, catalog: DataFrame, cardinality: DataFrame) -> DataFrame:
     """Add field type and cardinality; no match gives ``unknown`` and 0.
 
-    Both lookups hold one row per (index, field). They carry no broadcast hint:
-    the planner broadcasts them while their measured size allows, and beyond
-    that AQE splits a hot (index, field) of the clause side.
+    Both lookups hold one row per (index, field). They are broadcast if the
+    caller marked them so after measuring them (``broadcast_if_small``); else
+    they are shuffled and AQE splits a hot (index, field) of the clause side.
     """
     types = catalog.select("index_name", F.col("field_name").alias("field"), "field_type")
     counts = cardinality.select("index_name", F.col("field_name").alias("field"), "cardinality")

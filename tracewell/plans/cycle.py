@@ -12,7 +12,8 @@ from tracewell.functions.vectors import EmbedderFactory
 from tracewell.operators import catalog as cat
 from tracewell.operators import diagnosis, knowledge, rewrite, telemetry
 from tracewell.operators.cardinality import field_cardinality, referenced_fields
-from tracewell.sources.docs import write_knowledge_base
+from tracewell.operators.sizes import broadcast_if_small
+from tracewell.sources.docs import read_knowledge_base, write_knowledge_base
 
 
 @dataclass
@@ -36,11 +37,19 @@ def statement_findings(
     min_count: int = rules.MIN_COUNT,
     top_n: int | None = None,
 ) -> DataFrame:
-    """Log to graded findings in one lazy plan, over all statements or the top ``top_n``."""
+    """Log to graded findings in one plan, over all statements or the top ``top_n``.
+
+    Starts a job to measure the catalogue.
+    """
     stats = telemetry.slowest_statements(
         slowlog, hours, as_of, min_count, top_n, by=diagnosis.KEYS
     )
-    return diagnosis.diagnose(stats, cat.latest(catalog), cardinality)
+    return diagnosis.diagnose(stats, _field_types(catalog), cardinality)
+
+
+def _field_types(catalog: DataFrame) -> DataFrame:
+    kept = catalog.select("index_name", "field_name", "field_type", "refreshed_at")
+    return broadcast_if_small(cat.latest(kept).drop("refreshed_at"))
 
 
 def run_cycle(
@@ -55,8 +64,8 @@ def run_cycle(
 ) -> Cycle:
     """Everything one look at the system gives.
 
-    Starts a job to find which columns of ``tables`` are searched; only those
-    are counted.
+    Starts jobs to measure the catalogue and to find which columns of ``tables``
+    are searched; only those are counted.
     """
     stats = telemetry.slowest_statements(
         slowlog, hours, as_of, min_count, top_n, by=diagnosis.KEYS
@@ -69,7 +78,7 @@ def run_cycle(
         cardinality = spark.createDataFrame(
             [], "index_name string, field_name string, cardinality bigint"
         )
-    findings = diagnosis.diagnose(stats, cat.latest(catalog), cardinality)
+    findings = diagnosis.diagnose(stats, _field_types(catalog), cardinality)
     return Cycle(
         slowest=stats,
         nodes=telemetry.node_metrics(metrics, hours, as_of),
@@ -118,10 +127,11 @@ def index_pages(
     overlap: int = rules.CHUNK_OVERLAP,
 ) -> DataFrame:
     """Index the fetched pages of a list of addresses; returns the summary. Starts a job."""
-    wanted = pages.join(urls.select("url").distinct(), "url", "left_semi")
+    wanted = pages.join(broadcast_if_small(urls.select("url").distinct()), "url", "left_semi")
     chunks = knowledge.chunk_texts(knowledge.page_texts(wanted), size=size, overlap=overlap)
-    write_knowledge_base(knowledge.embed_chunks(chunks, factory), path)
-    return knowledge.knowledge_base_summary(urls, chunks)
+    written = write_knowledge_base(knowledge.embed_chunks(chunks, factory), path)
+    indexed = read_knowledge_base(pages.sparkSession, path) if written else chunks.limit(0)
+    return knowledge.knowledge_base_summary(urls, indexed)
 
 
 def rewrite_table(

@@ -57,13 +57,15 @@ def fetched_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("status").between(200, 299) & F.col("html").isNotNull())
 
 
-def write_knowledge_base(chunks: DataFrame, path: str) -> None:
+def write_knowledge_base(chunks: DataFrame, path: str) -> bool:
     """Full rebuild: chunk text and vector side by side in one Parquet table.
 
-    Starts a job. An empty set of chunks leaves the table in place as it is.
+    Starts a job. No chunks leave the table as it is and return False.
     """
-    if not chunks.isEmpty():
-        chunks.write.mode("overwrite").parquet(path)
+    if chunks.isEmpty():
+        return False
+    chunks.write.mode("overwrite").parquet(path)
+    return True
 
 
 def read_knowledge_base(spark: SparkSession, path: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tracewell.functions import statements as st
 from tracewell.functions.ledger import is_decision
 from tracewell.functions.vectors import EmbedderFactory
 from tracewell.operators import diagnosis, knowledge
+from tracewell.operators.sizes import broadcast_if_small
 
 DELAY = "10 minutes"
 
@@ -131,8 +132,8 @@ def expiring_approvals(
 ) -> DataFrame:
     """Requests with each decision in time, or ``rejected_timeout`` once it is too late.
 
-    A request with several decisions in time gives several rows; the earliest
-    ``decision_ts`` is the one that counts.
+    A request with several decisions in time gives several rows; read them
+    through ``first_outcomes``.
     """
     asked = requests.withWatermark("ts", delay).alias("r")
     answered = (
@@ -152,6 +153,13 @@ def expiring_approvals(
     )
 
 
+def first_outcomes(outcomes: DataFrame) -> DataFrame:
+    """Landed rows of ``expiring_approvals`` to one per request: its earliest decision."""
+    keys = [c for c in outcomes.columns if c not in ("decision_ts", "outcome")]
+    first = F.min(F.struct(F.col("decision_ts").isNull().alias("none"), "decision_ts", "outcome"))
+    return outcomes.groupBy(*keys).agg(first.alias("f")).select(*keys, "f.outcome")
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, timeout: int = 3600) -> None:
     """Process what has arrived and stop; rows go to a Parquet folder exactly once."""
     query = (
@@ -218,8 +226,7 @@ def run_knowledge_base(
 
 
 def read_incremental_knowledge_base(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of each chunk over all batches."""
+    """Chunks of the newest version of each page over all batches."""
     chunks = spark.read.parquet(path)
-    rest = [c for c in chunks.columns if c not in ("chunk_id", "batch")]
-    newest = chunks.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), "batch").alias("n"))
-    return newest.select("chunk_id", "n.*")
+    newest = chunks.groupBy("url").agg(F.max("batch").alias("batch"))
+    return chunks.join(broadcast_if_small(newest), ["url", "batch"], "left_semi").drop("batch")

@@ -22,6 +22,7 @@ from tracewell.operators import (
     telemetry,
 )
 from tracewell.operators.cardinality import field_cardinality
+from tracewell.operators.sizes import broadcast_if_small
 from tracewell.plans.cycle import statement_findings as findings_plan
 from tracewell.session import work_path
 from tracewell.sources import docs, logs
@@ -144,7 +145,7 @@ def wildcard_clauses(spark, sf):
 
 
 def wildcard_findings(spark, sf):
-    types = catalog.latest(views.field_catalog(spark))
+    types = broadcast_if_small(catalog.latest(views.field_catalog(spark)))
     out = diagnosis.wildcard_findings(
         views.statements(spark, sf), types, _cardinality(spark, sf)
     )
@@ -268,7 +269,8 @@ def url_discovery(spark, sf):
 
 def kb_summary(spark, sf):
     urls = knowledge.discover_urls(views.sitemap(spark, sf), views.PREFIXES, max_urls=None)
-    pages = _pages(spark, sf).join(urls.select("url"), "url", "left_semi")
+    known = broadcast_if_small(urls.select("url"))
+    pages = _pages(spark, sf).join(known, "url", "left_semi")
     chunks = knowledge.chunk_texts(knowledge.page_texts(pages))
     return knowledge.knowledge_base_summary(urls, chunks)
 
@@ -471,9 +473,8 @@ def stream_breaker_alert(spark, sf):
 
 
 def stream_findings(spark, sf):
-    stream = live.live_findings(
-        _log_stream(spark, sf), catalog.latest(views.field_catalog(spark)), _cardinality(spark, sf)
-    )
+    types = broadcast_if_small(catalog.latest(views.field_catalog(spark)))
+    stream = live.live_findings(_log_stream(spark, sf), types, _cardinality(spark, sf))
     out = _landed(spark, stream.select("user_id", "statement", "code", "field", "message"), "live")
     return out.withColumn("field", F.coalesce("field", F.lit("")))
 
