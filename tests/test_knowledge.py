@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as tx
 from tracewell.functions import vectors as vec
 from tracewell.operators import knowledge, search
+from tracewell.operators.ranking import first_rows
 from tracewell.plans import cycle
 from tracewell.sources import docs
 
@@ -150,6 +151,16 @@ def test_cap_counts_before_duplicates_go(spark):
     assert urls(max_urls=None) == ["p/a", "p/b", "p/c"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 49_999, 50_000, 50_001, 70_003, 70_010, 99_999])
+def test_large_cap_is_exact(spark, n):
+    """Cut by counting, as for caps too large for a top-n."""
+    rows = spark.range(70_010).select(
+        F.when(F.col("id") < 9, 0).otherwise(3).alias("a"), F.col("id").alias("b")
+    ).repartition(5, "b")
+    got = first_rows(rows, "a", "b", n, max_top=-1)
+    assert got.agg(F.count("b"), F.max("b")).head() == (min(n, 70_010), min(n, 70_010) - 1 if n else None)
+
+
 def test_url_list(spark, tmp_path):
     path = tmp_path / "urls.txt"
     path.write_text("https://a\n\n  https://b \n   \n")

@@ -66,6 +66,17 @@ def test_filter_and_columns_reach_the_scan(spark, sf):
     assert "TakeOrderedAndProject" in plan and "partial_avg" in plan
 
 
+def test_old_partitions_are_skipped(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2024-01-01' + make_dt_interval(id) AS ts, id FROM range(9)")
+    path = str(tmp_path / "log")
+    rows.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    kept = telemetry.look_back(spark.read.parquet(path), 48, "2024-01-08", "day")
+    assert kept.count() == 4
+    assert kept.inputFiles() and len(kept.select("id").collect()) == 4
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "(day" in plan.split("PartitionFilters")[1]
+
+
 def test_approximate_counts_are_close(spark, sf):
     tables = views.searched_tables(spark, sf)
     exact = cardinality.field_cardinality(tables, views.SEARCHED_FIELDS, exact=True)

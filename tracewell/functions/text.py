@@ -23,6 +23,11 @@ def glob_matches(name: Column, pattern: Column) -> Column:
     return F.rlike(name, F.concat(F.lit("(?s)^"), regex, F.lit("$")))
 
 
+def glob_pieces(pattern: Column) -> Column:
+    """The literal texts between the wildcards; a match must contain them all."""
+    return F.split(pattern, r"[*?]+")
+
+
 def glob_prefix(pattern: Column) -> Column:
     """The literal text in front of the first ``*`` or ``?``."""
     return F.regexp_extract(pattern, r"^[^*?]*", 0)
@@ -38,7 +43,7 @@ def strip_html(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?s)<style[^>]*>.*?</style>", "")
     text = F.regexp_replace(text, r"(?s)<script[^>]*>.*?</script>", "")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(text, f"[{rules.WHITESPACE_CLASS}]+", " "))
+    return F.trim(F.regexp_replace(text, rules.WHITESPACE_RUN, " "))
 
 
 def extract_title(html: Column, default: str = rules.DEFAULT_TITLE) -> Column:

@@ -36,14 +36,14 @@ def discover_urls(
     order = ["sitemap_seq", "url_seq"]
     rows = with_prefix(sitemap, prefixes).select("loc", *order)
     if max_urls is not None and cap_first:
-        rows = first_rows(rows, order, max_urls)
+        rows = first_rows(rows, *order, max_urls)
     urls = (
         rows.groupBy(F.col("loc").alias("url"))
         .agg(F.min(F.struct(*order)).alias("first"))
         .select("url", "first.*")
     )
     if max_urls is not None and not cap_first:
-        urls = first_rows(urls, order, max_urls)
+        urls = first_rows(urls, *order, max_urls)
     return urls
 
 

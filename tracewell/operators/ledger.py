@@ -131,31 +131,34 @@ def workflow_status(
     be ``completed`` in time, and c ``applied``. Without a ``task`` event the
     wait is skipped. The newest event of a step counts.
     """
-    def newest(step: str, column: str) -> Column:
-        return F.max_by(column, F.when(F.col("step") == step, F.struct("event_ts", "status")))
-
-    states = events.groupBy("workflow_id").agg(
-        newest("a", "status").alias("a"),
-        newest("b", "status").alias("b"),
-        newest("b", "event_ts").alias("b_ts"),
-        newest("task", "status").alias("task"),
-        newest("task", "event_ts").alias("task_ts"),
-        newest("c", "status").alias("c"),
-    )
-    waited = F.unix_micros(F.col("task_ts").cast("timestamp")) - F.unix_micros(
-        F.col("b_ts").cast("timestamp")
-    )
-    late = F.col("task").isNotNull() & (
-        (F.col("task") != "completed") | (waited > timeout_seconds * 1_000_000)
-    )
+    def newest(step: str, wanted: str) -> Column:
+        """Time of the newest event of a step, and in the last bit whether it is as wanted.
+
+        One number per step keeps this a plain hash aggregate. Of equal times
+        the wanted status counts.
+        """
+        ok = F.coalesce((F.col("status") == wanted).cast("bigint"), F.lit(0))
+        at = F.unix_micros(F.col("event_ts").cast("timestamp"))
+        return F.max(F.when(F.col("step") == step, at * 2 + ok))
+
+    steps = (("a", "applied"), ("b", "started"), ("task", "completed"), ("c", "applied"))
+    states = events.groupBy("workflow_id").agg(*(newest(s, ok).alias(s) for s, ok in steps))
+
+    def failed(step: str) -> Column:
+        return F.pmod(F.col(step), F.lit(2)) == 0
+
+    def micros(step: str) -> Column:
+        return F.shiftright(step, 1)
+
+    late = failed("task") | (micros("task") - micros("b") > timeout_seconds * 1_000_000)
     status = (
         F.when(F.col("a").isNull(), "incomplete")
-        .when(F.col("a") != "applied", "halted_at_step_a")
+        .when(failed("a"), "halted_at_step_a")
         .when(F.col("b").isNull(), "incomplete")
-        .when(F.col("b") != "started", "halted_at_step_b")
-        .when(late, "reindex_timeout")
+        .when(failed("b"), "halted_at_step_b")
+        .when(F.col("task").isNotNull() & late, "reindex_timeout")
         .when(F.col("c").isNull(), "incomplete")
-        .when(F.col("c") != "applied", "halted_at_step_c")
+        .when(failed("c"), "halted_at_step_c")
         .otherwise("completed")
     )
     return states.select("workflow_id", status.alias("overall_status"))

@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.sizes import landed
+
 # A quantile sketch of this accuracy is off by at most count/ACCURACY ranks.
 ACCURACY = 10_000
 MARGIN = 3 / ACCURACY  # bracket half-width, three times that error
 SMALL_GROUP = 20_000  # below this, 3/10,000 of a group is too few ranks to be safe
 SMALL_MARGIN = 0.05
 
+MAX_TOP_ROWS = 100_000
+SLOT_ROWS = 50_000
+
 
 def nearest_rank(
     rows: DataFrame,
@@ -32,6 +37,7 @@ def nearest_rank(
        are put in order to find the exact element.
 
     A bracket that missed the rank would raise; it cannot give a wrong value.
+    Starts a job for step 1.
     """
     keys = list(keys)
     rows = rows.where(F.col(value).isNotNull())
@@ -48,6 +54,7 @@ def nearest_rank(
             "_high": F.when(large, F.col("_edge")[2]),
         }
     ).drop("_n", "_edge")
+    bounds = landed(bounds, "rank-bounds")
     carried = [c for c in bounds.columns if c not in ("_low", "_high")]
 
     in_reach = F.col("_high").isNull() | (F.col(value) <= F.col("_high"))
@@ -75,6 +82,27 @@ def nearest_rank(
     )
 
 
-def first_rows(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows in an order; each task keeps at most ``n``."""
-    return rows.orderBy(*order).limit(n)
+def first_rows(
+    rows: DataFrame, major: str, minor: str, n: int, max_top: int = MAX_TOP_ROWS
+) -> DataFrame:
+    """The first ``n`` rows by two whole-number columns that no two rows share.
+
+    Up to ``max_top`` rows come from a top-n, where each task keeps n. Beyond
+    that rows are counted per slot of ``minor``; slots before the cut are kept
+    whole and only the rows of the slot at the cut are sorted. That starts a job.
+    """
+    if n <= max_top:
+        return rows.orderBy(major, minor).limit(n)
+    slot = F.floor(F.col(minor) / SLOT_ROWS)
+    slots = rows.groupBy(F.col(major).alias("major"), slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("here")
+    )
+    # one row per SLOT_ROWS rows of input
+    upto = F.sum("here").over(Window.orderBy("major", "slot"))
+    cut = slots.withColumn("upto", upto).where(F.col("upto") > n).orderBy("upto").head()
+    if cut is None:
+        return rows
+    same = F.col(major) == cut.major
+    before = rows.where((F.col(major) < cut.major) | (same & (slot < cut.slot)))
+    at = rows.where(same & (slot == cut.slot)).orderBy(minor).limit(n - (cut.upto - cut.here))
+    return before.unionAll(at)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import glob_matches, glob_prefix
+from tracewell.functions.text import glob_matches, glob_pieces, glob_prefix
 
 
 def match_templates(names: DataFrame, templates: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def match_templates(names: DataFrame, templates: DataFrame) -> DataFrame:
     """
     patterns = templates.select(
         "template_name", "priority", F.explode("patterns").alias("pattern")
-    ).withColumn("prefix", glob_prefix(F.col("pattern")))
+    ).withColumns(
+        {"prefix": glob_prefix(F.col("pattern")), "pieces": glob_pieces(F.col("pattern"))}
+    )
     lengths = [row.n for row in patterns.select(F.length("prefix").alias("n")).distinct().collect()]
     keyed = (
         names.select("name")
@@ -35,8 +37,11 @@ def match_templates(names: DataFrame, templates: DataFrame) -> DataFrame:
         F.struct("template_name", "pattern", "priority"),
         F.struct("priority", "template_name", "pattern"),
     )
+    # cheap and needed for a match, so few pairs come to the regex
+    holds_pieces = F.forall("pieces", lambda piece: F.contains(F.col("name"), piece))
     return (
         keyed.join(patterns, "prefix")
+        .where(holds_pieces)
         .where(glob_matches(F.col("name"), F.col("pattern")))
         .groupBy("name")
         .agg(best.alias("b"))

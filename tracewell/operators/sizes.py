@@ -1,10 +1,12 @@
-"""Broadcast only what was measured to be small."""
+"""Let measured sizes decide how small tables are joined."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.session import work_path
+
 MAX_BROADCAST_ROWS = 200_000  # narrow lookup rows, about 20 MB
 
 
@@ -15,3 +17,15 @@ def broadcast_if_small(rows: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
     unmarked: it is then joined by a shuffle, where AQE splits hot keys.
     """
     return F.broadcast(rows) if rows.limit(max_rows + 1).count() <= max_rows else rows
+
+
+def landed(rows: DataFrame, name: str) -> DataFrame:
+    """Write an aggregate to the shared folder and read it back. Starts a job.
+
+    It is computed once, outlives lost executors, and the planner knows its
+    size from the files: a small one is broadcast before the large side of a
+    join has been shuffled, which a decision at run time comes too late for.
+    """
+    path = work_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -11,11 +11,16 @@ from tracewell import rules
 
 
 def look_back(
-    log: DataFrame, hours: float | None, as_of: datetime | str | Column | None = None
+    log: DataFrame,
+    hours: float | None,
+    as_of: datetime | str | Column | None = None,
+    date_column: str | None = None,
 ) -> DataFrame:
     """Rows with ``ts >= as_of - hours``; no upper bound, ``hours=None`` keeps all.
 
-    A literal ``as_of`` folds to a constant that reaches the Parquet scan.
+    A literal ``as_of`` folds to a constant that reaches the Parquet scan. Where
+    the log is partitioned by the date of ``ts``, name that column in
+    ``date_column`` and older partitions are not even listed.
     """
     if hours is None:
         return log
@@ -24,7 +29,8 @@ def look_back(
     elif not isinstance(as_of, Column):
         as_of = F.lit(as_of).cast("timestamp")
     cutoff = as_of - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(int(hours % 1 * 60)))
-    return log.where(F.col("ts") >= cutoff.cast(log.schema["ts"].dataType))
+    recent = log.where(F.col("ts") >= cutoff.cast(log.schema["ts"].dataType))
+    return recent.where(F.col(date_column) >= cutoff.cast("date")) if date_column else recent
 
 
 def statement_stats(log: DataFrame, by: tuple[str, ...] = ("index_name", "statement")) -> DataFrame:
@@ -45,13 +51,15 @@ def slowest_statements(
     min_count: int = rules.MIN_COUNT,
     top_n: int | None = rules.TOP_STATEMENTS,
     by: tuple[str, ...] = ("statement",),
+    date_column: str | None = None,
 ) -> DataFrame:
     """Statements seen more than ``min_count`` times, slowest mean first.
 
     ``top_n=None`` returns them all, unsorted: the form the diagnosis uses.
     Ties go by statement text.
     """
-    stats = statement_stats(look_back(log, hours, as_of), by).where(F.col("count") > min_count)
+    recent = look_back(log, hours, as_of, date_column)
+    stats = statement_stats(recent, by).where(F.col("count") > min_count)
     stats = stats.select("avg_duration", "count", *by)
     if top_n is None:
         return stats
@@ -62,10 +70,11 @@ def node_metrics(
     metrics: DataFrame,
     hours: float | None = rules.LOOKBACK_HOURS,
     as_of: datetime | str | Column | None = None,
+    date_column: str | None = None,
 ) -> DataFrame:
     """Mean load per node, busiest first."""
     return (
-        look_back(metrics, hours, as_of)
+        look_back(metrics, hours, as_of, date_column)
         .groupBy("node")
         .agg(
             F.avg("cpu_pct").alias("avg_cpu"),
@@ -82,13 +91,14 @@ def breaker_hot_nodes(
     hours: float | None = None,
     as_of: datetime | str | Column | None = None,
     threshold_pct: float = rules.BREAKER_USED_PCT,
+    date_column: str | None = None,
 ) -> DataFrame:
     """Nodes whose mean use is above a share of their mean limit, fullest first.
 
     The share is a ratio of means. A zero limit gives null, which is no alert.
     """
     return (
-        look_back(metrics, hours, as_of)
+        look_back(metrics, hours, as_of, date_column)
         .groupBy("node")
         .agg(
             F.avg("breaker_used_bytes").alias("avg_used"),

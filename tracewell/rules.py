@@ -119,10 +119,8 @@ REASON_SCALING = (
 REASON_OTHER = "No cost constraint identified for action '%s'."
 
 # Whitespace as Python's str.strip() and \s see it (Unicode White_Space plus
-# the four ASCII separators), as a Java regex class body and as characters.
-WHITESPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# the four ASCII separators): a run of it in Java regex, and its characters.
+WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
     "           "

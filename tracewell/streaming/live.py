@@ -160,7 +160,7 @@ def first_outcomes(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy(*keys).agg(first.alias("f")).select(*keys, "f.outcome")
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str, timeout: int = 3600) -> None:
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process what has arrived and stop; rows go to a Parquet folder exactly once."""
     query = (
         stream.writeStream.format("parquet")
@@ -170,11 +170,11 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str, timeout: int = 3
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination(timeout)
+    query.awaitTermination()
 
 
 def run_top_per_window(
-    stream: DataFrame, path: str, checkpoint: str, top_n: int = rules.TOP_STATEMENTS, timeout: int = 3600
+    stream: DataFrame, path: str, checkpoint: str, top_n: int = rules.TOP_STATEMENTS
 ) -> None:
     """Like ``run_to_files`` with only the slowest ``top_n`` statements of each window.
 
@@ -196,7 +196,7 @@ def run_top_per_window(
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination(timeout)
+    query.awaitTermination()
 
 
 def run_knowledge_base(
@@ -206,7 +206,6 @@ def run_knowledge_base(
     factory: EmbedderFactory,
     size: int = rules.CHUNK_SIZE,
     overlap: int = rules.CHUNK_OVERLAP,
-    timeout: int = 3600,
 ) -> None:
     """Chunk and embed pages as they arrive; each batch owns one folder."""
 
@@ -222,7 +221,7 @@ def run_knowledge_base(
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination(timeout)
+    query.awaitTermination()
 
 
 def read_incremental_knowledge_base(spark: SparkSession, path: str) -> DataFrame:

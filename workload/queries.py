@@ -341,7 +341,7 @@ def cost_mtd_projection(spark, sf):
         "provider",
         "currency",
         F.round("month_to_date_cost", 2).alias("month_to_date_cost"),
-        F.round("projected_monthly_cost", 2).alias("projected_monthly_cost"),
+        F.round("projected_monthly_cost", 6).alias("projected_monthly_cost"),
     )
 
 

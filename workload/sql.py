@@ -209,7 +209,9 @@ def texts(test: str, extra: str = "") -> str:
 
 # --- pages -----------------------------------------------------------------
 
-SPACE = "[" + rules.WHITESPACE_CLASS.replace(r"\x1c-\x20", r"\x{1c}-\x{20}") + "]+"
+SPACE = (
+    r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
 STRIPPED = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, "
     "'<style[^>]*>.*?</style>', '', 'gs'), '<script[^>]*>.*?</script>', '', 'gs'), "
@@ -360,7 +362,7 @@ ORACLE = {
           usage_date >= DATE '1998-06-01' AND usage_date < DATE '1998-06-16'), 0) AS mtd
         FROM cost GROUP BY provider, currency)
       SELECT provider, currency, round(mtd, 2) AS month_to_date_cost,
-        round(mtd / 16 * 30, 2) AS projected_monthly_cost FROM s""",
+        round(mtd / 16 * 30, 6) AS projected_monthly_cost FROM s""",
     "cost_decisions": f"""WITH {REQUESTS}, c AS (
         SELECT action, payload, action IN ('scale_node', 'new_node') AS scaling,
           action IN ('reindex', 'query_rewrite', 'mapping_change') AS free FROM requests)
