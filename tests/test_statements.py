@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewell import rules, schemas
 from tracewell.functions import statements as st
-from tracewell.operators import catalog, diagnosis
+from tracewell.operators import diagnosis
 from tracewell.operators.telemetry import slowest_statements
+from tracewell.plans.cycle import field_facts
 from workload import queries
 
 BREAKER_LONG = "CircuitBreakingException: [parent] Data too large, data for [<http_request>]"
@@ -42,8 +43,11 @@ def diagnose(spark, rows, types=(), counts=()):
         [("logs", f, c) for f, c in counts],
         "index_name string, field_name string, cardinality bigint",
     )
-    found = diagnosis.order_findings(diagnosis.diagnose(stats, known, cards)).collect()
-    return found
+    facts = diagnosis.measure_facts(known, cards)
+    found = sorted(map(str, diagnosis.diagnose(stats, facts).collect()))
+    facts.narrow = False
+    assert sorted(map(str, diagnosis.diagnose(stats, facts).collect())) == found
+    return diagnosis.order_findings(diagnosis.diagnose(stats, facts)).collect()
 
 
 def one(spark, statement, ms=1, **kw):
@@ -183,7 +187,7 @@ def test_missing_columns_take_defaults(spark):
     cards = spark.createDataFrame([], "index_name string, field_name string, cardinality bigint")
     types = spark.createDataFrame([], "index_name string, field_name string, field_type string")
     stats = spark.createDataFrame([(None,)], "statement string")
-    (row,) = diagnosis.diagnose(stats, types, cards).collect()
+    (row,) = diagnosis.diagnose(stats, diagnosis.measure_facts(types, cards)).collect()
     assert (row.statement, row.avg_duration, row["count"], row.raw_exception) == ("", 0.0, 0, "")
 
 
@@ -243,12 +247,28 @@ def test_hot_statement_and_hot_field(spark):
     cards = spark.createDataFrame(
         [("logs", "f", 1_500)], "index_name string, field_name string, cardinality bigint"
     )
-    rows = diagnosis.diagnose(stats, catalog.latest(types), cards).collect()
+    rows = diagnosis.diagnose(stats, field_facts(types, cards)).collect()
     assert len(rows) == 501 and sum(row["count"] for row in rows) == 30_000
     assert all(row.field_types == {"f": "text"} for row in rows)
     assert sum(rules.LEADING in codes(row) for row in rows) == 1
 
 
+def test_facts_are_measured(spark):
+    types = spark.range(diagnosis.MAX_FIELDS_PER_INDEX + 1).selectExpr(
+        "'wide' index_name", "concat('f', id) field_name", "'text' field_type"
+    )
+    cards = spark.createDataFrame(
+        [("wide", "f7", 2_000), ("other", "g", 9)],
+        "index_name string, field_name string, cardinality bigint",
+    )
+    facts = diagnosis.measure_facts(types, cards)
+    assert (facts.small, facts.narrow) == (True, False)
+    stats = spark.createDataFrame([("wide", wildcard("f7", "a*"))], "index_name string, statement string")
+    (row,) = diagnosis.diagnose(stats, facts).collect()
+    assert codes(row) == [rules.HIGH_CARD] and row.field_types == {"f7": "text"}
+    assert diagnosis.measure_facts(types.limit(9), cards).narrow
+
+
 def test_diagnosis_needs_one_shuffle_of_statements(spark, sf):
     """Clauses are gathered in the partitioning that the statement grouping made."""
     found = queries.findings(spark, sf)

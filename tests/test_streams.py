@@ -35,7 +35,7 @@ def test_late_rows_are_dropped_and_open_windows_wait(spark):
     source, out, progress = (work_path(spark, n) for n in ("late", "late-out", "late-progress"))
 
     def run():
-        log = live.event_time(live.read_files(spark, source, "*.parquet", LOG))
+        log = live.event_time(live.read_files(spark, source, LOG))
         live.run_to_files(live.slow_statements(log, min_count=0), out, progress)
         return {(r.window_start, r["count"]) for r in spark.read.parquet(out).collect()}
 
@@ -53,7 +53,7 @@ def test_late_rows_are_dropped_and_open_windows_wait(spark):
 def test_windows_keep_the_count_limit(spark):
     source = work_path(spark, "limit")
     write_files(spark, source, LOG, rows_at(1, 2, 3) + rows_at(1, 2, text="few") + rows_at(900))
-    log = live.event_time(live.read_files(spark, source, "*.parquet", LOG))
+    log = live.event_time(live.read_files(spark, source, LOG))
     got = land(spark, live.slow_statements(log, min_count=2), "limit-out").collect()
     assert [(r.statement, r["count"], r.avg_duration) for r in got] == [("s", 3, 1000.0)]
 
@@ -64,7 +64,7 @@ def test_top_per_window_survives_a_second_run(spark):
     write_files(spark, source, LOG, rows)
 
     def run():
-        log = live.event_time(live.read_files(spark, source, "*.parquet", LOG))
+        log = live.event_time(live.read_files(spark, source, LOG))
         live.run_top_per_window(live.slow_statements(log, min_count=0), out, progress, top_n=3)
         got = spark.read.parquet(out).orderBy("window_start", "rank").collect()
         return [(r.rank, r.statement) for r in got]
@@ -77,7 +77,7 @@ def test_top_per_window_survives_a_second_run(spark):
 def test_bursts(spark):
     source = work_path(spark, "bursts")
     write_files(spark, source, LOG, rows_at(0, 4, 8, 14, 15) + rows_at(900))
-    log = live.event_time(live.read_files(spark, source, "*.parquet", LOG))
+    log = live.event_time(live.read_files(spark, source, LOG))
     got = land(spark, live.statement_bursts(log), "bursts-out").collect()
     assert sorted((r.burst_start.minute, r["count"]) for r in got) == [(0, 3), (14, 2)]
 
@@ -93,8 +93,8 @@ def test_approvals_expire(spark):
     write_files(spark, asked, ask, asks)
     write_files(spark, answered, answer, answers)
     stream = live.expiring_approvals(
-        live.read_files(spark, asked, "*.parquet", ask),
-        live.read_files(spark, answered, "*.parquet", answer),
+        live.read_files(spark, asked, ask),
+        live.read_files(spark, answered, answer),
     )
     rows = land(spark, stream, "expiring")
     assert rows.count() == 5
@@ -110,7 +110,7 @@ def test_knowledge_base_grows_and_replaces(spark):
     source, out, progress = (work_path(spark, n) for n in ("kbs", "kbs-out", "kbs-progress"))
 
     def run():
-        pages = live.read_files(spark, source, "*.parquet", schema)
+        pages = live.read_files(spark, source, schema)
         live.run_knowledge_base(pages, out, progress, vec.hashed_tokens(8))
         rows = live.read_incremental_knowledge_base(spark, out).collect()
         return {(r.url, r.chunk_idx): (r.title, len(r.text)) for r in rows}

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import rules, schemas
 from tracewell.functions import statements as st
+from tracewell.operators.sizes import MAX_BROADCAST_ROWS, landed
 
 KEYS = ("index_name", "statement")
+MAX_FIELDS_PER_INDEX = 5_000  # a map is searched from its start
 ITEM = schemas.FINDING_ITEM.lower()
 
 
@@ -43,19 +48,49 @@ def wildcard_clauses(stats: DataFrame, keep_all: bool = False) -> DataFrame:
     )
 
 
-def with_lookups(clauses: DataFrame, catalog: DataFrame, cardinality: DataFrame) -> DataFrame:
-    """Add field type and cardinality; no match gives ``unknown`` and 0.
+def field_facts(catalog: DataFrame, cardinality: DataFrame) -> DataFrame:
+    """(index_name, field, field_type, cardinality); what is not known is ``unknown`` and 0.
 
-    Both lookups hold one row per (index, field). They are broadcast if the
-    caller marked them so after measuring them (``broadcast_if_small``); else
-    they are shuffled and AQE splits a hot (index, field) of the clause side.
+    ``catalog`` and ``cardinality`` hold one row per (index_name, field_name).
     """
     types = catalog.select("index_name", F.col("field_name").alias("field"), "field_type")
     counts = cardinality.select("index_name", F.col("field_name").alias("field"), "cardinality")
-    facts = clauses.join(types, ["index_name", "field"], "left").join(
-        counts, ["index_name", "field"], "left"
+    both = types.join(counts, ["index_name", "field"], "full_outer")
+    return both.select(
+        "index_name",
+        "field",
+        F.coalesce("field_type", F.lit(rules.UNKNOWN_TYPE)).alias("field_type"),
+        F.coalesce("cardinality", F.lit(0).cast("bigint")).alias("cardinality"),
+    )
+
+
+@dataclass
+class Facts:
+    """Field facts with what was measured about them."""
+
+    rows: DataFrame
+    small: bool  # few enough rows in all to broadcast
+    narrow: bool  # few enough fields in each index to look up in one map per index
+
+
+def measure_facts(catalog: DataFrame, cardinality: DataFrame) -> Facts:
+    """Compute the field facts once and measure them. Starts jobs."""
+    rows = landed(field_facts(catalog, cardinality), "field-facts")
+    per_index = rows.groupBy("index_name").agg(F.count(F.lit(1)).alias("fields"))
+    seen = per_index.agg(F.sum("fields").alias("all"), F.max("fields").alias("widest")).head()
+    return Facts(
+        rows, (seen.all or 0) <= MAX_BROADCAST_ROWS, (seen.widest or 0) <= MAX_FIELDS_PER_INDEX
     )
-    return facts.withColumns(
+
+
+def with_facts(clauses: DataFrame, facts: DataFrame) -> DataFrame:
+    """Add field type and cardinality to clause rows.
+
+    Facts that were measured to be small may carry a broadcast hint; else both
+    sides are shuffled and AQE splits a hot (index, field) of the clause side.
+    """
+    joined = clauses.join(facts, ["index_name", "field"], "left")
+    return joined.withColumns(
         {
             "field_type": F.coalesce("field_type", F.lit(rules.UNKNOWN_TYPE)),
             "cardinality": F.coalesce("cardinality", F.lit(0).cast("bigint")),
@@ -63,13 +98,13 @@ def with_lookups(clauses: DataFrame, catalog: DataFrame, cardinality: DataFrame)
     )
 
 
-def wildcard_items() -> Column:
-    """Findings of one clause row, in rule order."""
-    field, value = F.col("field"), F.col("value")
-    kind, cardinality = F.col("field_type"), F.col("cardinality")
+def wildcard_items(clause: Callable[[str], Column] = F.col) -> Column:
+    """Findings of one clause, in rule order, from its value, field, type and cardinality."""
+    field, value = clause("field"), clause("value")
+    kind, cardinality = clause("field_type"), clause("cardinality")
     items = F.array(
         F.when(
-            F.col("is_leading"), st.finding(rules.LEADING, field, value=value, type=kind)
+            st.is_leading_wildcard(value), st.finding(rules.LEADING, field, value=value, type=kind)
         ),
         F.when(
             st.is_high_cardinality(cardinality),
@@ -83,12 +118,10 @@ def wildcard_items() -> Column:
     return F.array_compact(items)
 
 
-def wildcard_findings(
-    stats: DataFrame, catalog: DataFrame, cardinality: DataFrame
-) -> DataFrame:
+def wildcard_findings(stats: DataFrame, facts: DataFrame) -> DataFrame:
     """One row per wildcard finding, with the facts it rests on."""
-    facts = with_lookups(wildcard_clauses(_with_defaults(stats)), catalog, cardinality)
-    return facts.select("*", F.explode(wildcard_items()).alias("item")).select(
+    known = with_facts(wildcard_clauses(_with_defaults(stats)), facts)
+    return known.select("*", F.explode(wildcard_items()).alias("item")).select(
         *KEYS, "clause", "field", "value", "field_type", "cardinality", "item.code", "item.message"
     )
 
@@ -105,7 +138,9 @@ def statement_items(fuzzy: bool = False) -> Column:
     ]
     if fuzzy:
         tests.append((st.has_fuzzy(text), st.finding(rules.FUZZY)))
-    return F.array_compact(F.array(*(F.when(test, item) for test, item in tests)))
+    # no higher-order function here: those fall out of generated code
+    none = F.array().cast(f"array<{ITEM}>")
+    return F.concat(*(F.when(test, F.array(item)).otherwise(none) for test, item in tests))
 
 
 def statement_detectors(statements: DataFrame, fuzzy: bool = False) -> DataFrame:
@@ -113,25 +148,68 @@ def statement_detectors(statements: DataFrame, fuzzy: bool = False) -> DataFrame
     return statements.withColumn("text_findings", statement_items(fuzzy))
 
 
-def diagnose(
-    stats: DataFrame, catalog: DataFrame, cardinality: DataFrame, fuzzy: bool = False
-) -> DataFrame:
-    """Grade every statement: findings, fields, severity, searches.
+def _clauses_by_map(stats: DataFrame, facts: Facts) -> DataFrame:
+    """Add ``clauses``: each wildcard clause with its findings, looked up in place.
 
-    ``stats`` holds one row per (index_name, statement), as ``slowest_statements``
-    gives with those keys. Its hash partitioning survives the clause explosion
-    and the broadcast lookups, so gathering the clauses again needs no shuffle.
+    The facts of an index travel as one map, so statements are neither exploded
+    nor gathered again.
     """
-    rows = wildcard_clauses(_with_defaults(stats), keep_all=True)
-    facts = with_lookups(rows, catalog, cardinality)
+    entry = F.struct("field", F.struct("field_type", "cardinality"))
+    per_index = facts.rows.groupBy("index_name").agg(
+        # bounded: a wide index takes the other way
+        F.map_from_entries(F.collect_list(entry)).alias("known")
+    )
+    if facts.small:
+        per_index = F.broadcast(per_index)
+
+    def look_up(clause: Column) -> Column:
+        return F.struct(
+            clause["field"].alias("field"),
+            clause["value"].alias("value"),
+            F.try_element_at("known", clause["field"]).alias("fact"),
+        )
+
+    def grade(clause: Column) -> Column:
+        facts_of = {
+            "field": clause["field"],
+            "value": clause["value"],
+            "field_type": F.coalesce(clause["fact"]["field_type"], F.lit(rules.UNKNOWN_TYPE)),
+            "cardinality": F.coalesce(clause["fact"]["cardinality"], F.lit(0).cast("bigint")),
+        }
+        return F.struct(
+            clause["field"].alias("field"),
+            facts_of["field_type"].alias("field_type"),
+            wildcard_items(facts_of.__getitem__).alias("items"),
+        )
+
+    clauses = st.wildcard_clauses(F.col("statement"))
+    return stats.join(per_index, "index_name", "left").select(
+        *stats.columns, F.transform(F.transform(clauses, look_up), grade).alias("clauses")
+    )
+
+
+def _clauses_by_join(stats: DataFrame, facts: Facts) -> DataFrame:
+    """The same by one row per clause, for indices with very many fields."""
+    rows = wildcard_clauses(stats, keep_all=True)
+    known = with_facts(rows, F.broadcast(facts.rows) if facts.small else facts.rows)
     clause = F.when(
         F.col("clause").isNotNull(),
         F.struct("clause", "field", "field_type", wildcard_items().alias("items")),
     )
-    gathered = facts.groupBy(*KEYS, "avg_duration", "count").agg(
+    return known.groupBy(*stats.columns).agg(
         # bounded by the clauses of one statement; nulls are not collected
-        F.array_sort(F.collect_list(clause)).alias("clauses"),
+        F.array_sort(F.collect_list(clause)).alias("clauses")
     )
+
+
+def diagnose(stats: DataFrame, facts: Facts, fuzzy: bool = False) -> DataFrame:
+    """Grade every statement: findings, fields, severity, searches.
+
+    ``stats`` holds one row per (index_name, statement), as ``slowest_statements``
+    gives with those keys; ``facts`` comes from ``measure_facts``.
+    """
+    stats = _with_defaults(stats)
+    gathered = _clauses_by_map(stats, facts) if facts.narrow else _clauses_by_join(stats, facts)
     found = gathered.withColumn(
         "anti_patterns",
         F.concat(F.flatten(F.col("clauses.items")), statement_items(fuzzy)).cast(f"array<{ITEM}>"),
@@ -141,7 +219,7 @@ def diagnose(
         "avg_duration",
         "count",
         "anti_patterns",
-        F.array_sort(F.array_distinct("clauses.field")).alias("affected_fields"),
+        F.sort_array(F.array_distinct("clauses.field")).alias("affected_fields"),
         # one type per (index, field), so equal fields carry equal types
         F.map_from_entries(
             F.array_distinct(
@@ -149,7 +227,7 @@ def diagnose(
             )
         ).alias("field_types"),
         st.severity(F.col("anti_patterns"), F.col("avg_duration")).alias("severity"),
-        F.array_sort(F.array_distinct("anti_patterns.hint")).alias("recommended_searches"),
+        F.sort_array(F.array_distinct("anti_patterns.hint")).alias("recommended_searches"),
         F.lit("").alias("raw_exception"),
     )
 

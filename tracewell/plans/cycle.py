@@ -37,19 +37,20 @@ def statement_findings(
     min_count: int = rules.MIN_COUNT,
     top_n: int | None = None,
 ) -> DataFrame:
-    """Log to graded findings in one plan, over all statements or the top ``top_n``.
+    """Log to graded findings, over all statements or the top ``top_n``.
 
-    Starts a job to measure the catalogue.
+    Starts jobs for the field facts; the log itself is one lazy plan.
     """
     stats = telemetry.slowest_statements(
         slowlog, hours, as_of, min_count, top_n, by=diagnosis.KEYS
     )
-    return diagnosis.diagnose(stats, _field_types(catalog), cardinality)
+    return diagnosis.diagnose(stats, field_facts(catalog, cardinality))
 
 
-def _field_types(catalog: DataFrame) -> DataFrame:
+def field_facts(catalog: DataFrame, cardinality: DataFrame) -> diagnosis.Facts:
+    """Measured facts from a catalogue with any number of versions. Starts jobs."""
     kept = catalog.select("index_name", "field_name", "field_type", "refreshed_at")
-    return broadcast_if_small(cat.latest(kept).drop("refreshed_at"))
+    return diagnosis.measure_facts(cat.latest(kept), cardinality)
 
 
 def run_cycle(
@@ -64,8 +65,8 @@ def run_cycle(
 ) -> Cycle:
     """Everything one look at the system gives.
 
-    Starts jobs to measure the catalogue and to find which columns of ``tables``
-    are searched; only those are counted.
+    Starts jobs to find which columns of ``tables`` are searched, and to count
+    the values of those.
     """
     stats = telemetry.slowest_statements(
         slowlog, hours, as_of, min_count, top_n, by=diagnosis.KEYS
@@ -78,7 +79,7 @@ def run_cycle(
         cardinality = spark.createDataFrame(
             [], "index_name string, field_name string, cardinality bigint"
         )
-    findings = diagnosis.diagnose(stats, _field_types(catalog), cardinality)
+    findings = diagnosis.diagnose(stats, field_facts(catalog, cardinality))
     return Cycle(
         slowest=stats,
         nodes=telemetry.node_metrics(metrics, hours, as_of),

@@ -9,7 +9,7 @@ from __future__ import annotations
 # Statement patterns (Java and Python regex agree on all of them).
 WILDCARD_CLAUSE = r'"wildcard"\s*:\s*\{[^}]*"([^"]+)"\s*:\s*\{?[^}]*"value"\s*:\s*"([^"]+)"'
 LEADING_WILDCARD = r"^[*?]"
-BREAKER_TEXT = r"CircuitBreakingException|circuit_breaking_exception|Data too large"
+BREAKER_TEXTS = ("CircuitBreakingException", "circuit_breaking_exception", "Data too large")
 UNBOUNDED_TERMS = r'"terms"\s*:\s*\{(?:(?!"size").)*\}'
 NESTED_TOKEN = r'"nested"'
 SCRIPT_CLAUSE = r'"script"\s*:\s*\{'

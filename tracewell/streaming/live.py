@@ -19,11 +19,12 @@ from tracewell.operators.sizes import broadcast_if_small
 DELAY = "10 minutes"
 
 
-def read_files(spark: SparkSession, folder: str, file_glob: str, schema) -> DataFrame:
-    """Parquet files of a folder as a stream, new files as they arrive."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
-    )
+def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Parquet files as a stream, new files as they arrive.
+
+    ``path`` is a folder or a pattern; a single file is given as a pattern too.
+    """
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def event_time(log: DataFrame, column: str = "ts") -> DataFrame:
@@ -94,10 +95,10 @@ def breaker_alerts(
     )
 
 
-def live_findings(log: DataFrame, catalog: DataFrame, cardinality: DataFrame) -> DataFrame:
+def live_findings(log: DataFrame, facts: diagnosis.Facts) -> DataFrame:
     """One row per finding of each log row, as it arrives; no state.
 
-    ``catalog`` and ``cardinality`` are static tables, read anew per batch.
+    ``facts`` is a static table, as measured when the stream was started.
     """
     clause = "struct<field:string,value:string,item:" + diagnosis.ITEM + ">"
     clauses = F.transform(
@@ -113,13 +114,13 @@ def live_findings(log: DataFrame, catalog: DataFrame, cardinality: DataFrame) ->
         "c.field",
         "c.value",
         F.col("c.item").alias("text_item"),
-        st.is_leading_wildcard(F.col("c.value")).alias("is_leading"),
     )
-    facts = diagnosis.with_lookups(rows, catalog, cardinality)
+    known = F.broadcast(facts.rows) if facts.small else facts.rows
     items = F.when(F.col("text_item").isNotNull(), F.array("text_item")).otherwise(
         diagnosis.wildcard_items()
     )
-    return facts.select(*log.columns, F.explode(items).alias("item")).select(
+    graded = diagnosis.with_facts(rows, known)
+    return graded.select(*log.columns, F.explode(items).alias("item")).select(
         *log.columns, "item.code", "item.field", "item.message", "item.hint"
     )
 

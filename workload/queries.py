@@ -23,6 +23,7 @@ from tracewell.operators import (
 )
 from tracewell.operators.cardinality import field_cardinality
 from tracewell.operators.sizes import broadcast_if_small
+from tracewell.plans.cycle import field_facts
 from tracewell.plans.cycle import statement_findings as findings_plan
 from tracewell.session import work_path
 from tracewell.sources import docs, logs
@@ -90,6 +91,10 @@ def _cardinality(spark, sf, exact=True):
     )
 
 
+def _facts(spark, sf) -> diagnosis.Facts:
+    return field_facts(views.field_catalog(spark), _cardinality(spark, sf))
+
+
 def field_cardinality_exact(spark, sf):
     return _cardinality(spark, sf)
 
@@ -145,10 +150,7 @@ def wildcard_clauses(spark, sf):
 
 
 def wildcard_findings(spark, sf):
-    types = broadcast_if_small(catalog.latest(views.field_catalog(spark)))
-    out = diagnosis.wildcard_findings(
-        views.statements(spark, sf), types, _cardinality(spark, sf)
-    )
+    out = diagnosis.wildcard_findings(views.statements(spark, sf), _facts(spark, sf).rows)
     return out.select(
         "index_name", "statement", "field", "field_type", "cardinality", "code", "message"
     )
@@ -425,7 +427,7 @@ def template_match(spark, sf):
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = views.table(spark, sf, name).schema
-    return live.read_files(spark, sf, f"{name}.parquet", schema)
+    return live.read_files(spark, f"{sf}/{name}.parquet*", schema)  # file or folder
 
 
 def _landed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -473,8 +475,7 @@ def stream_breaker_alert(spark, sf):
 
 
 def stream_findings(spark, sf):
-    types = broadcast_if_small(catalog.latest(views.field_catalog(spark)))
-    stream = live.live_findings(_log_stream(spark, sf), types, _cardinality(spark, sf))
+    stream = live.live_findings(_log_stream(spark, sf), _facts(spark, sf))
     out = _landed(spark, stream.select("user_id", "statement", "code", "field", "message"), "live")
     return out.withColumn("field", F.coalesce("field", F.lit("")))
 

@@ -25,7 +25,7 @@ SLOWLOG = f"""slowlog AS (
   SELECT ts, user_id,
     {case("event_id % 8", [index for index, _ in views.TEMPLATES])} AS index_name,
     {case("event_id % 8", [text for _, text in views.TEMPLATES])} AS statement,
-    CAST(round(value * 100) AS BIGINT) * 250000 * (1 + event_id % 8) AS duration_ns
+    CAST(floor(value * 100 + 0.5::DOUBLE) AS BIGINT) * 250000 * (1 + event_id % 8) AS duration_ns
   FROM events)"""
 BY_USER = f"""{SLOWLOG}, log AS (
   SELECT ts, index_name, duration_ns, user_id,

@@ -77,7 +77,7 @@ def slowlog_of(events: DataFrame) -> DataFrame:
         "ts",
         pick(turn, [index for index, _ in TEMPLATES]).alias("index_name"),
         pick(turn, [text for _, text in TEMPLATES]).alias("statement"),
-        (F.round(F.col("value") * 100).cast("bigint") * 250_000 * (1 + turn)).alias("duration_ns"),
+        (F.floor(F.col("value") * 100 + 0.5) * 250_000 * (1 + turn)).alias("duration_ns"),
         "user_id",
     )
 
@@ -88,11 +88,11 @@ def slowlog(spark, sf_dir) -> DataFrame:
 
 def slowlog_by_user(spark, sf_dir) -> DataFrame:
     """The same log with the user in the text: statements grow with the data."""
-    text = F.regexp_replace(
-        F.col("statement"),
-        r'^\{"query"',
-        F.concat(F.lit('{"from": '), F.col("user_id").cast("string"), F.lit(', "query"')),
+    start = '{"query"'
+    named = F.concat(
+        F.lit('{"from": '), "user_id", F.lit(', "query"'), F.substring("statement", len(start) + 1, 1_000)
     )
+    text = F.when(F.col("statement").startswith(start), named).otherwise(F.col("statement"))
     return slowlog(spark, sf_dir).withColumn("statement", text)
 
 
