@@ -44,9 +44,6 @@ def diagnose(spark, rows, types=(), counts=()):
         "index_name string, field_name string, cardinality bigint",
     )
     facts = diagnosis.measure_facts(known, cards)
-    found = sorted(map(str, diagnosis.diagnose(stats, facts).collect()))
-    facts.narrow = False
-    assert sorted(map(str, diagnosis.diagnose(stats, facts).collect())) == found
     return diagnosis.order_findings(diagnosis.diagnose(stats, facts)).collect()
 
 
@@ -59,30 +56,46 @@ def codes(row):
     return [item.code for item in row.anti_patterns]
 
 
-@pytest.mark.parametrize(
-    "statement, kind, cardinality, expected",
-    [
-        (wildcard("user_id", "john*"), "keyword", 50_000, [rules.HIGH_CARD, rules.TRIGRAM]),
-        (wildcard("message", "*error*"), "keyword", 50_000,
-         [rules.LEADING, rules.HIGH_CARD, rules.TRIGRAM]),
-        (wildcard("message", "?rror"), "text", 0, [rules.LEADING]),
-        (wildcard("status", "act*"), "keyword", 10, []),
-        (wildcard("body", "error*"), "text", 0, []),
-        (wildcard("f", "a*"), "keyword", 1_000, []),
-        (wildcard("f", "a*"), "keyword", 1_001, [rules.HIGH_CARD]),
-        (wildcard("f", "a*"), "text", 10_000, [rules.HIGH_CARD]),
-        (wildcard("f", "a*"), "text", 10_001, [rules.HIGH_CARD, rules.TRIGRAM]),
-        (wildcard("f", "a*"), "wildcard", 10_001, [rules.HIGH_CARD]),
-        # an extra key before "value" is taken for the field
-        ('{"wildcard": {"user_id": {"boost": 1, "value": "k*"}}}', "keyword", 9, []),
-    ],
-)
-def test_wildcard_rules(spark, statement, kind, cardinality, expected):
-    field = re.findall(rules.WILDCARD_CLAUSE, statement, re.I)[0][0]
-    row = one(spark, statement, types=[(field, kind)], counts=[(field, cardinality)])
-    assert codes(row) == expected
-    assert row.affected_fields == [field]
-    assert row.field_types == {field: kind}
+WILDCARD_CASES = [
+    (wildcard("user_id", "john*"), "keyword", 50_000, [rules.HIGH_CARD, rules.TRIGRAM]),
+    (wildcard("message", "*error*"), "keyword", 50_000,
+     [rules.LEADING, rules.HIGH_CARD, rules.TRIGRAM]),
+    (wildcard("message", "?rror"), "text", 0, [rules.LEADING]),
+    (wildcard("status", "act*"), "keyword", 10, []),
+    (wildcard("body", "error*"), "text", 0, []),
+    (wildcard("f", "a*"), "keyword", 1_000, []),
+    (wildcard("f", "a*"), "keyword", 1_001, [rules.HIGH_CARD]),
+    (wildcard("f", "a*"), "text", 10_000, [rules.HIGH_CARD]),
+    (wildcard("f", "a*"), "text", 10_001, [rules.HIGH_CARD, rules.TRIGRAM]),
+    (wildcard("f", "a*"), "wildcard", 10_001, [rules.HIGH_CARD]),
+    # an extra key before "value" is taken for the field
+    ('{"wildcard": {"user_id": {"boost": 1, "value": "k*"}}}', "keyword", 9, []),
+]
+
+
+def test_wildcard_rules(spark):
+    """Every case is an index of its own, so all run at once and both ways."""
+    names = [f"i{n}" for n in range(len(WILDCARD_CASES))]
+    fields = [re.findall(rules.WILDCARD_CLAUSE, c[0], re.I)[0][0] for c in WILDCARD_CASES]
+    triples = list(zip(names, fields, WILDCARD_CASES))
+    stats = spark.createDataFrame(
+        [(name, case[0]) for name, _, case in triples], "index_name string, statement string"
+    )
+    types = spark.createDataFrame(
+        [(name, field, case[1]) for name, field, case in triples],
+        "index_name string, field_name string, field_type string",
+    )
+    cards = spark.createDataFrame(
+        [(name, field, case[2]) for name, field, case in triples],
+        "index_name string, field_name string, cardinality bigint",
+    )
+    facts = diagnosis.measure_facts(types, cards)
+    for facts.narrow in (True, False):
+        got = {row.index_name: row for row in diagnosis.diagnose(stats, facts).collect()}
+        for name, field, case in triples:
+            assert codes(got[name]) == case[3], case
+            assert got[name].affected_fields == [field]
+            assert got[name].field_types == {field: case[1]}
 
 
 def test_extra_key_is_taken_for_the_field(spark):
@@ -91,26 +104,27 @@ def test_extra_key_is_taken_for_the_field(spark):
     assert one(spark, '{"wildcard": {"f": "*k"}}').affected_fields == []
 
 
-@pytest.mark.parametrize(
-    "statement, expected",
-    [
-        (BREAKER_LONG, [rules.BREAKER]),
-        (BREAKER_SHORT, [rules.BREAKER]),
-        (CLEAN, []),
-        (TERMS, [rules.UNBOUNDED]),
-        (TERMS_SIZED, []),
-        ('{"query": {"terms": {"user": ["kim"]}}}', [rules.UNBOUNDED]),
-        ('{"aggs": {"a": {"terms": {"field": "x"}}}, "size": 3}', [rules.UNBOUNDED]),
-        (NESTED_TWO, [rules.NESTING]),
-        (NESTED_ONE, []),
-        (SCRIPT, [rules.SCRIPT]),
-        (REGEXP, [rules.REGEXP]),
-        ('{"fuzzy": {"user": "ki"}}', []),
-        ("", []),
-    ],
-)
-def test_text_rules(spark, statement, expected):
-    assert codes(one(spark, statement)) == expected
+TEXT_CASES = [
+    (BREAKER_LONG, [rules.BREAKER]),
+    (BREAKER_SHORT, [rules.BREAKER]),
+    (CLEAN, []),
+    (TERMS, [rules.UNBOUNDED]),
+    (TERMS_SIZED, []),
+    ('{"query": {"terms": {"user": ["kim"]}}}', [rules.UNBOUNDED]),
+    ('{"aggs": {"a": {"terms": {"field": "x"}}}, "size": 3}', [rules.UNBOUNDED]),
+    (NESTED_TWO, [rules.NESTING]),
+    (NESTED_ONE, []),
+    (SCRIPT, [rules.SCRIPT]),
+    (REGEXP, [rules.REGEXP]),
+    ('{"fuzzy": {"user": "ki"}}', []),
+    ("", []),
+]
+
+
+def test_text_rules(spark):
+    frame = spark.createDataFrame([(text,) for text, _ in TEXT_CASES], "statement string")
+    rows = diagnosis.statement_detectors(frame).collect()
+    assert [[i.code for i in row.text_findings] for row in rows] == [want for _, want in TEXT_CASES]
 
 
 def test_texts_are_filled(spark):
@@ -175,7 +189,16 @@ def test_order_and_empty_input(spark):
 
 def test_two_clauses_keep_their_order_and_fields(spark):
     text = wildcard("b", "*1") + wildcard("a", "?2") + wildcard("b", "3*")
-    row = one(spark, text, types=[("a", "text"), ("b", "keyword")], counts=[("b", 2_000)])
+    stats = spark.createDataFrame([("logs", text)], "index_name string, statement string")
+    facts = spark.createDataFrame(
+        [("logs", "a", "text", 0), ("logs", "b", "keyword", 2_000)],
+        "index_name string, field string, field_type string, cardinality bigint",
+    )
+    row, same = (
+        diagnosis.diagnose(stats, diagnosis.Facts(facts, True, narrow)).head()
+        for narrow in (True, False)
+    )
+    assert row == same
     assert [(i.code, i.field) for i in row.anti_patterns] == [
         (rules.LEADING, "b"), (rules.HIGH_CARD, "b"), (rules.LEADING, "a"), (rules.HIGH_CARD, "b"),
     ]
