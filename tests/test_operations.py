@@ -200,6 +200,9 @@ def test_month_to_date(spark):
 
     assert at("2024-06-10") == {"aws": (30.0, 90.0), "gcp": (0.0, 0.0)}
     assert at("2024-06-01") == {"aws": (0.0, 0.0), "gcp": (0.0, 0.0)}
+    recent = cost.month_to_date(lines, "2024-06-10", since="2024-05-01").collect()
+    assert [(r.provider, r.month_to_date_cost) for r in recent] == [("aws", 30.0)]
+    assert cost.month_to_date(lines, "2024-06-10", since="2024-06-09").head().month_to_date_cost == 30.0
 
 
 # --- ledger ------------------------------------------------------------------

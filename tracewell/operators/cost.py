@@ -16,14 +16,20 @@ def node_cost(nodes: Column | int = 1, rate: float = rules.NODE_MONTHLY_RATE) ->
     return count * F.lit(float(rate))
 
 
-def month_to_date(lines: DataFrame, as_of: date | str) -> DataFrame:
+def month_to_date(
+    lines: DataFrame, as_of: date | str, since: date | str | None = None
+) -> DataFrame:
     """Cost so far this month and its 30-day projection, per provider and currency.
 
     The range is [first of month, as_of). Every provider seen in ``lines`` gets
-    a row, so on the first of a month all sums are 0. The rows of other months
-    are only read for their keys.
+    a row, so on the first of a month all sums are 0. Providers are looked for
+    from ``since`` on (no later than the first of the month); this reaches the
+    scan, where without it all of history is read for the keys.
     """
     day = F.lit(as_of).cast("date")
+    if since is not None:
+        start = F.least(F.lit(since).cast("date"), F.trunc(day, "month"))
+        lines = lines.where(F.col("usage_date") >= start)
     in_range = (F.col("usage_date") >= F.trunc(day, "month")) & (F.col("usage_date") < day)
     spent = F.coalesce(F.sum(F.when(in_range, F.col("amount"))), F.lit(0.0))
     return (

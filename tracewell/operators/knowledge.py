@@ -79,11 +79,10 @@ def embed_chunks(
 ) -> DataFrame:
     """Add ``chunk_id`` and ``embedding``.
 
-    One long page can give many chunks; ``partitions`` deals them out evenly
-    before the model runs.
+    One long page can give many chunks, so they are dealt out evenly before the
+    model runs: into ``partitions``, or else into parts of the advisory size.
     """
-    if partitions:
-        chunks = chunks.repartition(partitions)
+    chunks = chunks.repartition(partitions) if partitions else chunks.hint("rebalance")
     chunk_id = F.sha2(F.concat_ws("#", "url", F.col("chunk_idx").cast("string")), 256)
     return chunks.select(
         chunk_id.alias("chunk_id"),

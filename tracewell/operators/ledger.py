@@ -172,13 +172,15 @@ def cycle_outcome(
     Turns of ``tool_role`` count as rounds; a last turn of that role ends the
     cycle unless the rounds were used up first.
     """
+    is_tool = F.coalesce((F.col("role") == tool_role).cast("bigint"), F.lit(0))
     seen = turns.groupBy("conv_id").agg(
         F.count_if(F.col("role") == tool_role).alias("rounds"),
-        F.max_by("role", "turn").alias("last_role"),
+        # turn number, and in the last bit whose turn it was: a plain hash aggregate
+        F.max(F.col("turn").cast("bigint") * 2 + is_tool).alias("last"),
     )
     status = (
         F.when(F.col("rounds") >= max_rounds, "max_rounds_reached")
-        .when(F.col("last_role") == tool_role, "completed")
+        .when(F.pmod("last", F.lit(2)) == 1, "completed")
         .otherwise("running")
     )
     return seen.select("conv_id", "rounds", status.alias("status"))

@@ -128,6 +128,7 @@ def _enriched(spark, sf):
         views.index_stats(spark, sf),
         views.index_aliases(spark, sf),
         F.lit(views.AS_OF),
+        max_depth=8,  # deeper raises; a shallower expression is planned faster
     )
 
 
@@ -338,7 +339,7 @@ def latency_compare(spark, sf):
 
 
 def cost_mtd_projection(spark, sf):
-    out = cost.month_to_date(views.cost_line(spark, sf), views.COST_AS_OF)
+    out = cost.month_to_date(views.cost_line(spark, sf), views.COST_AS_OF, since="1998-01-01")
     return out.select(
         "provider",
         "currency",
