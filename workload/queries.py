@@ -403,7 +403,9 @@ def table_rewrite(spark, sf):
 def template_match(spark, sf):
     part = views.table(spark, sf, "part")
     names = part.select(
-        F.concat_ws("-", F.lit("logs"), F.lower("p_type"), F.lower("p_brand"), F.col("p_partkey").cast("string")).alias("name")
+        F.concat_ws(
+            "-", F.lit("logs"), F.lower("p_type"), F.lower("p_brand"), F.col("p_partkey").cast("string")
+        ).alias("name")
     )
     kinds = part.select(
         F.concat(F.lit("t-"), F.lower("p_type")).alias("template_name"),

@@ -273,8 +273,10 @@ def workflow_step_event(spark, sf_dir) -> DataFrame:
     turn = F.col("o_orderkey") % 6
 
     def event(step: str, status: Column, seconds: Column | int):
-        return F.struct(F.lit(step).alias("step"), status.alias("status"),
-                        (F.lit(seconds) if isinstance(seconds, int) else seconds).cast("int").alias("seconds"))
+        after = F.lit(seconds) if isinstance(seconds, int) else seconds
+        return F.struct(
+            F.lit(step).alias("step"), status.alias("status"), after.cast("int").alias("seconds")
+        )
 
     ok_a = F.when(turn == 0, "rejected").otherwise("applied")
     ok_b = F.when(turn == 1, "rejected").otherwise("started")
