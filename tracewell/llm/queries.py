@@ -13,6 +13,7 @@ from tracewell.llm import (
     pii,
     quality,
     shingle_join,
+    suffix_dedup,
     warc,
 )
 from tracewell.session import work_path
@@ -40,6 +41,10 @@ def op4_warc_revisits(spark, sf):
     return warc.resolve_revisits(warc.read_archives(spark, path))
 
 
+def op5_suffix_array_dedup(spark, sf):
+    return suffix_dedup.repeated_passages(table(spark, sf, "documents")).drop("kept")
+
+
 def op6_quality_classifier(spark, sf):
     docs = table(spark, sf, "documents")
     model = quality.train(docs, table(spark, sf, "labels"))
@@ -89,6 +94,7 @@ QUERIES = {
         op2_exact_dedup,
         op3_html_extraction,
         op4_warc_revisits,
+        op5_suffix_array_dedup,
         op6_quality_classifier,
         op7_source_mixing,
         op8_license_scan,

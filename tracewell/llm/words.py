@@ -55,21 +55,12 @@ class WordSlices:
         self.up = self.down = np.empty(0, np.uint64)
 
     def slices(self, column: pa.Array) -> Iterator[Slice]:
-        column = column.cast(pa.large_string()).fill_null("")
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        if not len(column):
-            return
-        data = column.buffers()[2]
-        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-        first = 0
-        while first < len(column):
-            last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
-            last = min(max(last, first + 1), len(column))
-            yield self._slice(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first)
-            first = last
-
-    def _slice(self, data: np.ndarray, offsets: np.ndarray, first: int) -> Slice:
-        n = len(data)
+        """The column's texts with their words."""
+        for piece in byte_slices(column):
+            yield self._words(piece)
+
+    def _words(self, piece: Slice) -> Slice:
+        data, offsets, n = piece.data, piece.offsets, len(piece.data)
         if n > len(self.up):
             size = max(n, 2 * SLICE_BYTES)
             self.up, self.down = powers(size + 1, _MULTIPLIER), powers(size + 1, _INVERSE)
@@ -86,13 +77,29 @@ class WordSlices:
         np.cumsum(self.value[data] * self.up[:n], out=total[1:])
         hashes = mixed((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
         word_of = np.searchsorted(start, offsets)  # first word of each document
-        return Slice(data, offsets, first, start, end, hashes, word_of)
+        return Slice(data, offsets, piece.first, start, end, hashes, word_of)
+
+
+def byte_slices(column: pa.Array) -> Iterator[Slice]:
+    """The column's texts, null as empty, without words."""
+    if not len(column):
+        return
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    first = 0
+    while first < len(column):
+        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
+        last = min(max(last, first + 1), len(column))
+        yield Slice(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first)
+        first = last
 
 
 class Slice:
     """Documents ``first`` and on of a batch: their bytes and words."""
 
-    def __init__(self, data, offsets, first, start, end, hashes, word_of):
+    def __init__(self, data, offsets, first, start=None, end=None, hashes=None, word_of=None):
         self.data, self.offsets, self.first = data, offsets, first
         self.start, self.end, self.hashes, self.word_of = start, end, hashes, word_of
         self.n = len(offsets) - 1
