@@ -3,11 +3,12 @@
 Texts are compared as words in lower case with one space between, punctuation
 out. In every document item-sized windows are laid so that a word of the item's
 rarest (its anchors, by counts over the whole corpus) stands where the item has
-it. A CGK random walk embeds windows and items: it reads a symbol, writes it, and
-a random bit of that symbol and step says whether to move on. Texts a few edits
-apart get embeddings that agree in many places, so windows that agree with the
-item in a few sampled places are candidates; sampling is repeated, with several
-walks, as often as the target recall asks (measured on edited copies of items).
+it. A CGK random walk embeds windows and items, from the anchor towards the
+farther end: it reads a symbol, writes it, and a random bit of that symbol and
+step says whether to move on. Texts a few edits apart get embeddings that agree
+in many places, so windows that agree with the item in a few sampled places are
+candidates; sampling is repeated, with several walks, as often as the target
+recall asks (measured on edited copies of items).
 Every candidate is then checked by exact edit distance, wherever it begins or
 ends around its window.
 
@@ -37,14 +38,17 @@ from tracewell.operators.sizes import landed
 
 MAX_EDITS = 0.10
 RECALL = 0.95
-ANCHORS = 6
+ANCHORS = 10
+RARE = 5e-6  # words of at most this share of the corpus are equally good anchors
+RARE_LEAST = 50
 WALKS = 4
 BITS = 4
-REACH = 0.9  # places are sampled up to this share of an item's length
+NEAR, REACH = 0.12, 0.6  # places are sampled between these shares of a ray
 WINDOWS = 8192  # embedded at a time
 MAX_REPEATS = 256
 BLOCK_ITEMS = 5_000
 BLOCK_CHARS = 4_000_000
+TOTAL = (1 << 64) - 1  # stands for all words among their hashes
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 SCHEMA = "doc_id long, item_id long, start_char int, end_char int, edits int, item_length int"
 
@@ -80,23 +84,30 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Item:
     item_id: int
     text: bytes
-    anchors: tuple[tuple[int, int], ...]  # (hash, first byte of the word in the text)
+    anchors: tuple[tuple[int, int, int], ...]  # (hash, first byte, byte after) of words in the text
+
+    def ray(self, start: int, end: int) -> tuple[bool, bytes]:
+        """Is the farther end ahead of an anchor? What is read from the anchor to there."""
+        if start + end <= len(self.text):
+            return True, self.text[start:]
+        return False, self.text[:end][::-1]
 
 
 def sampling(items: list[Item], max_edits: float = MAX_EDITS, recall: float = RECALL, bits: int = BITS) -> list[tuple[int, tuple[float, ...]]]:
     """(walk, sampled places as shares of the walk) for as many repeats as recall asks.
 
-    Up to 64 items are edited at the limit, their walks compared with the
-    originals', and repeats added until ``recall`` of the copies agree in one.
+    Rays of up to 64 items are edited at the limit, behind their anchor, their
+    walks compared with the originals', and repeats added until ``recall`` of
+    the copies agree in one.
     """
     random = np.random.default_rng(7)
-    some = [i.text for i in items[:: max(1, len(items) // 64)]][:64]
+    some = [i.ray(*i.anchors[0][1:])[1] for i in items[:: max(1, len(items) // 64)]][:64]
     letters = np.frombuffer(b"etaoinshrdlu ", np.uint8)
     copies, originals = [], []
     for text in some * max(1, 128 // max(1, len(some))):
         changed = list(text)
         for _ in range(int(max_edits * len(text))):
-            k, kind = int(random.integers(len(changed))), random.integers(3)
+            k, kind = int(random.integers(min(4, len(changed) - 1), len(changed))), random.integers(3)
             if kind == 0:
                 changed[k] = int(random.choice(letters))
             elif kind == 1 and len(changed) > 1:
@@ -113,8 +124,8 @@ def sampling(items: list[Item], max_edits: float = MAX_EDITS, recall: float = RE
     found, out = np.zeros(len(originals), bool), []
     while found.mean() < recall and len(out) < MAX_REPEATS:
         walk = len(out) % WALKS
-        # early places first agree more often, so they are drawn more often
-        places = tuple(float(x) for x in np.sort(random.random(bits) ** 2 * REACH))
+        # not too near to the anchor, where all agree, nor at the end, where few do
+        places = tuple(float(x) for x in np.sort(NEAR + random.random(bits) * (REACH - NEAR)))
         a, b, n = agree[walk]
         hit = np.ones(len(originals), bool)
         for p in places:
@@ -167,18 +178,31 @@ def _closest_end(pattern: bytes, text: bytes, limit: int, anchored: bool = False
     return best, end
 
 
+def _anchors(words: list[tuple[int, int, int]], counts: dict[int, int], rare: float) -> tuple[tuple[int, int, int], ...]:
+    """Rare words spread over an item, or else its rarest.
+
+    The very rarest may be those that every edited copy has lost.
+    """
+    good = [w for w in words if counts.get(w[0], 0) <= rare]
+    if len(good) >= ANCHORS:
+        return tuple(good[i * (len(good) - 1) // (ANCHORS - 1)] for i in range(ANCHORS))
+    return tuple(sorted(words, key=lambda w: (counts.get(w[0], 0), w[1]))[:ANCHORS])
+
+
 def _anchor_counts(wanted: np.ndarray):
-    """Counts the words with ``wanted`` hashes (sorted) in a task's texts."""
+    """Counts the words with ``wanted`` hashes (sorted) in a task's texts, and all words as TOTAL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, total = WordSlices(PUNCTUATION_TOO), np.zeros(len(wanted), np.int64)
+        cut, total, words = WordSlices(PUNCTUATION_TOO), np.zeros(len(wanted), np.int64), 0
         seen = _Members(wanted)
         for batch in batches:
             for s in cut.slices(batch.column("text")):
                 _, which = seen.of(s.hashes)
                 total += np.bincount(which, minlength=len(wanted))
+                words += len(s.hashes)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], ["h", "n"])
+        h = np.append(wanted[some], np.uint64(TOTAL)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.append(total[some], words))], ["h", "n"])
 
     return run
 
@@ -201,10 +225,10 @@ class _Members:
         return maybe[real], k[real]
 
 
-def _item_words(text: bytes) -> list[tuple[int, int]]:
-    """(hash, first byte) of every word."""
+def _item_words(text: bytes) -> list[tuple[int, int, int]]:
+    """(hash, first byte, byte after) of every word."""
     s = next(WordSlices(PUNCTUATION_TOO).slices(pa.array([text.decode()])))
-    return list(zip(s.hashes.tolist(), s.start.tolist(), strict=True))
+    return list(zip(s.hashes.tolist(), s.start.tolist(), s.end.tolist(), strict=True))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -245,27 +269,27 @@ class _Search:
 
     def _prepare(self) -> None:
         self.cut = WordSlices(PUNCTUATION_TOO)
-        uses: dict[int, list[tuple[int, int]]] = {}
-        for k, item in enumerate(self.items):
-            for h, at in item.anchors:
-                uses.setdefault(h, []).append((k, at))
-        wanted = np.array(sorted(uses), np.uint64)
-        pairs = [uses[int(h)] for h in wanted]
-        # for each anchor word the run of (item, place) that it stands for
-        self.first = np.concatenate(([0], np.cumsum([len(p) for p in pairs]))).astype(np.int64)
-        self.pair_item = np.array([k for p in pairs for k, _ in p], np.int64)
-        self.pair_at = np.array([at for p in pairs for _, at in p], np.int64)
+        pairs = sorted((h, k, a, b) for k, item in enumerate(self.items) for h, a, b in item.anchors)
+        hashes = np.array([h for h, *_ in pairs], np.uint64)
+        # for each anchor word the run of pairs (item, place) that it stands for
+        wanted, self.first = np.unique(hashes, return_index=True)
+        self.first = np.append(self.first, len(hashes))
         self.members = _Members(wanted)
-        texts, self.sizes = padded([i.text for i in self.items])
+        self.item = np.array([k for _, k, _, _ in pairs], np.int64)
+        self.at = np.array([a for _, _, a, _ in pairs], np.int64)
+        rays = [self.items[k].ray(a, b) for _, k, a, b in pairs]
+        self.ahead = np.array([ahead for ahead, _ in rays], bool)
+        texts, self.reach = padded([text for _, text in rays])
+        self.sizes = np.array([len(i.text) for i in self.items], np.int64)
         self.limits = (self.max_edits * self.sizes).astype(np.int64)
-        self.steps = int(self.sizes.max() * REACH) + 1
-        self.own = {w: cgk(texts, self.sizes, self.steps, w) for w in {w for w, _ in self.repeats}}
+        self.steps = int(self.reach.max() * REACH) + 1
+        self.own = {w: cgk(texts, self.reach, self.steps, w) for w in {w for w, _ in self.repeats}}
 
     def _windows(self, s):
-        """The plain bytes of a slice, and (document, its low and high byte, item, start) of windows."""
+        """The plain bytes of a slice, and (document, its low and high byte, pair, anchor's place) of windows."""
         word, which = self.members.of(s.hashes)
         if not len(word):
-            return np.empty(0, np.uint8), np.empty((0, 5), np.int64)
+            return np.empty(0, np.uint8), np.empty((0, 6), np.int64)
         inside = self.cut.inside[s.data]
         space = np.zeros(len(s.data), bool)
         after = s.end[s.end < len(s.data)]
@@ -276,13 +300,14 @@ class _Search:
         where = np.concatenate(([0], np.cumsum(keep)))
         count = self.first[which + 1] - self.first[which]
         pair = np.arange(count.sum()) + np.repeat(self.first[which] - (np.cumsum(count) - count), count)
-        word, item = np.repeat(word, count), self.pair_item[pair]
+        word = np.repeat(word, count)
         doc = np.searchsorted(s.word_of, word, "right") - 1
         low, high = where[s.offsets[doc]], where[s.offsets[doc + 1]]
-        start = np.maximum(where[s.start[word]] - self.pair_at[pair], low)
         # a document smaller than the item less the edits cannot hold it
+        item = self.item[pair]
         fits = high - low >= self.sizes[item] - self.limits[item]
-        return flat, np.unique(np.column_stack([doc + s.first, low, high, item, start])[fits], axis=0)
+        columns = (doc + s.first, low, high, pair, where[s.start[word]], where[s.end[word] - 1] + 1)
+        return flat, np.column_stack(columns)[fits]
 
     def _check(self, held, best) -> None:
         held = [(flat, w) for flat, w in held if len(w)]
@@ -290,27 +315,30 @@ class _Search:
             return
         width = int(self.steps)
         blocks, lengths = [], []
-        for flat, (_, _, high, item, start) in ((flat, w.T) for flat, w in held):
-            n = np.minimum(self.sizes[item], high - start)
-            at = np.minimum(start[:, None] + np.arange(width), len(flat) - 1)
-            blocks.append(np.where(np.arange(width) < n[:, None], flat[at], np.uint8(0)))
-            lengths.append(np.minimum(n, width))
+        for flat, (_, low, high, pair, start, end) in ((flat, w.T) for flat, w in held):
+            ahead = self.ahead[pair]
+            n = np.minimum(np.minimum(self.reach[pair], np.where(ahead, high - start, end - low)), width)
+            step = np.arange(width)
+            at = np.where(ahead[:, None], start[:, None] + step, end[:, None] - 1 - step)
+            at = np.clip(at, 0, len(flat) - 1)
+            blocks.append(np.where(step < n[:, None], flat[at], np.uint8(0)))
+            lengths.append(n)
         windows, lengths = np.concatenate(blocks), np.concatenate(lengths)
-        item = np.concatenate([w[:, 3] for _, w in held])
-        picked, rows = np.zeros(len(item), bool), np.arange(len(item))
+        pair = np.concatenate([w[:, 3] for _, w in held])
+        picked, rows = np.zeros(len(pair), bool), np.arange(len(pair))
         for walk, own in self.own.items():
             mine = cgk(windows, lengths, self.steps, walk)
             for w, places in self.repeats:
                 if w == walk:
-                    same = np.ones(len(item), bool)
+                    same = np.ones(len(pair), bool)
                     for p in places:
-                        k = (p * self.sizes[item]).astype(np.int64)
-                        same &= mine[k, rows] == own[k, item]
+                        k = (p * self.reach[pair]).astype(np.int64)
+                        same &= mine[k, rows] == own[k, pair]
                     picked |= same
         at = 0
         for flat, w in held:
-            for doc, low, high, k, start in w[picked[at : at + len(w)]].tolist():
-                self._verify(flat, doc, low, high, k, start, best)
+            for doc, low, high, pair, start, _ in w[picked[at : at + len(w)]].tolist():
+                self._verify(flat, doc, low, high, int(self.item[pair]), start - int(self.at[pair]), best)
             at += len(w)
 
     def _verify(self, flat, doc, low, high, k, start, best) -> None:
@@ -319,7 +347,7 @@ class _Search:
             return
         limit = int(self.limits[k])
         slack = limit + 8
-        a, b = max(low, start - slack), min(high, start + int(self.sizes[k]) + slack)
+        a, b = max(low, start - slack), min(high, max(low, start) + int(self.sizes[k]) + slack)
         if m := edit_match(self.items[k].text, flat[a:b].tobytes(), limit):
             new = (m[0], a - low + m[1], a - low + m[2])
             best[doc, k] = min(best.get((doc, k), new), new)
@@ -361,13 +389,13 @@ def benchmark_matches(
     parts = []
     for block in _blocks(benchmark):
         words = {item: _item_words(text) for item, (_, text) in enumerate(block)}
-        wanted = np.array(sorted({h for w in words.values() for h, _ in w}), np.uint64)
+        wanted = np.array(sorted({w[0] for found in words.values() for w in found}), np.uint64)
         counts = rows.select("text").mapInArrow(_anchor_counts(wanted), "h long, n long")
-        counts = {np.uint64(np.int64(h).view(np.uint64)): n for h, n in counts.groupBy("h").agg(F.sum("n")).collect()}
+        counts = {h % (1 << 64): n for h, n in counts.groupBy("h").agg(F.sum("n")).collect()}
+        total = counts.pop(TOTAL, 0)
         items = []
         for k, (item_id, text) in enumerate(block):
-            rare = sorted(words[k], key=lambda w: (counts.get(np.uint64(w[0]), 0), w[1]))
-            items.append(Item(item_id, text, tuple(rare[:ANCHORS])))
+            items.append(Item(item_id, text, _anchors(words[k], counts, max(RARE_LEAST, RARE * total))))
         repeats = sampling(items, max_edits, recall)
         parts.append(rows.mapInArrow(_Search(items, repeats, max_edits), SCHEMA))
     if not parts:
