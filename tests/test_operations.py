@@ -352,7 +352,9 @@ def test_report(spark, sf):
     assert doc.summary == doc.report[:500]
     assert report.report_document(found.limit(0)).head().report == rules.EMPTY_REPORT
     long = found.limit(1).withColumn("statement", F.lit("y" * 500))
-    assert report.finding_report(long).head().text.split("\n")[1] == "[1] Statement: " + "y" * 200
+    assert report.finding_report(long).head().text.split("\n")[1] == "[1] Statement: " + "y" * 500
+    cut = report.finding_report(long, statement_chars=200).head()
+    assert cut.text.split("\n")[1] == "[1] Statement: " + "y" * 200
 
 
 def test_expected_findings(spark, sf):

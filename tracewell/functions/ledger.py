@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tracewell.functions.text import strip_whitespace
+
 # --- Fixed values: id length and accepted answers -------------------------
 APPROVAL_ID_CHARS = 12
 YES_ANSWERS = ("yes", "y")
@@ -30,7 +32,7 @@ def approval_id(action: Column, target: Column, payload: Column) -> Column:
 
 def decision_from_answer(answer: Column) -> Column:
     """A typed answer: yes or y approves, all else, no answer included, rejects."""
-    yes = F.lower(F.trim(answer)).isin(*YES_ANSWERS)
+    yes = F.lower(strip_whitespace(answer)).isin(*YES_ANSWERS)
     return F.when(F.coalesce(yes, F.lit(False)), "approved").otherwise("rejected")
 
 

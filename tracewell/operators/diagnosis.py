@@ -56,7 +56,8 @@ def field_facts(catalog: DataFrame, cardinality: DataFrame) -> DataFrame:
     types = catalog.select("index_name", F.col("field_name").alias("field"), "field_type")
     counts = cardinality.select("index_name", F.col("field_name").alias("field"), "cardinality")
     both = types.join(counts, ["index_name", "field"], "full_outer")
-    return both.select(
+    # a fact without a name can match no clause, and a map has no key for it
+    return both.where("index_name is not null and field is not null").select(
         "index_name",
         "field",
         F.coalesce("field_type", F.lit(rules.UNKNOWN_TYPE)).alias("field_type"),

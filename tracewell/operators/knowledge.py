@@ -24,7 +24,7 @@ def with_prefix(sitemap: DataFrame, prefixes: Iterable[str]) -> DataFrame:
 def discover_urls(
     sitemap: DataFrame,
     prefixes: Iterable[str],
-    max_urls: int | None = rules.MAX_URLS,
+    max_urls: int | None = None,
     cap_first: bool = True,
 ) -> DataFrame:
     """Distinct page addresses in sitemap order: (url, sitemap_seq, url_seq).

@@ -16,9 +16,17 @@ def change_requests(changes: DataFrame) -> DataFrame:
     )
 
 
-def pending_approvals(requests: DataFrame, decisions: DataFrame) -> DataFrame:
+def pending_approvals(
+    requests: DataFrame,
+    decisions: DataFrame,
+    as_of: str | None = None,
+    timeout_seconds: int = rules.APPROVAL_TIMEOUT_SECONDS,
+) -> DataFrame:
     """Requests still open: the newest per approval id, if no decision came at or after it.
 
+    With ``as_of`` a request that has waited longer than the timeout is closed,
+    as rejected; without it time stands still and none times out.
+
     An anti join written as one grouping over both tables: everything is merged
     before the shuffle, so an id that was asked or answered a million times
     sends one row per task.
@@ -48,7 +56,11 @@ def pending_approvals(requests: DataFrame, decisions: DataFrame) -> DataFrame:
         )
     )
     still_open = F.col("answered_ts").isNull() | (F.col("answered_ts") < F.col("request.ts"))
-    return state.where(F.col("request").isNotNull() & still_open).select("request.*")
+    state = state.where(F.col("request").isNotNull() & still_open)
+    if as_of is not None:
+        limit = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(timeout_seconds))
+        state = state.where(F.col("request.ts").cast("timestamp") >= limit)
+    return state.select("request.*")
 
 
 def resolve_approvals(
@@ -123,13 +135,17 @@ def action_tally(actions: DataFrame) -> DataFrame:
 
 
 def workflow_status(
-    events: DataFrame, timeout_seconds: int = rules.WORKFLOW_TIMEOUT_SECONDS
+    events: DataFrame,
+    timeout_seconds: int = rules.WORKFLOW_TIMEOUT_SECONDS,
+    as_of: str | None = None,
 ) -> DataFrame:
     """Final state of each three-step table rewrite from its step events.
 
     Step a must be ``applied``, b ``started``, a copy task that was started must
     be ``completed`` in time, and c ``applied``. Without a ``task`` event the
-    wait is skipped. The newest event of a step counts.
+    wait is skipped; with ``as_of``, a copy that was started longer than the
+    timeout before and has no ``task`` event has timed out, whatever followed.
+    The newest event of a step counts.
     """
     def newest(step: str, wanted: str) -> Column:
         """Time of the newest event of a step, and in the last bit whether it is as wanted.
@@ -150,6 +166,10 @@ def workflow_status(
     def micros(step: str) -> Column:
         return F.shiftright(step, 1)
 
+    waited = F.lit(False)
+    if as_of is not None:
+        now = F.unix_micros(F.lit(as_of).cast("timestamp"))
+        waited = now - micros("b") > timeout_seconds * 1_000_000
     late = failed("task") | (micros("task") - micros("b") > timeout_seconds * 1_000_000)
     status = (
         F.when(F.col("a").isNull(), "incomplete")
@@ -157,6 +177,7 @@ def workflow_status(
         .when(F.col("b").isNull(), "incomplete")
         .when(failed("b"), "halted_at_step_b")
         .when(F.col("task").isNotNull() & late, "reindex_timeout")
+        .when(F.col("task").isNull() & waited, "reindex_timeout")
         .when(F.col("c").isNull(), "incomplete")
         .when(failed("c"), "halted_at_step_c")
         .otherwise("completed")

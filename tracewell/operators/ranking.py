@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.sizes import landed
 
-# A quantile sketch of this accuracy is off by at most count/ACCURACY ranks.
-ACCURACY = 10_000
-MARGIN = 3 / ACCURACY  # bracket half-width, three times that error
-SMALL_GROUP = 20_000  # below this, 3/10,000 of a group is too few ranks to be safe
-SMALL_MARGIN = 0.05
+BUCKETS = 4096
+LEVELS = 3  # a bucket of the last level is a 2 ** -36 part of a group's range
 
 MAX_TOP_ROWS = 100_000
 SLOT_ROWS = 50_000
@@ -29,57 +26,78 @@ def nearest_rank(
 ) -> DataFrame:
     """Exact element ``floor(n * share)`` (0-based) of each group's sorted values.
 
-    1. One grouping gives the aggregates in ``also`` and a quantile sketch that
-       brackets the rank; both are merged before the shuffle.
-    2. Rows are counted per distinct value inside the bracket, and as one
-       number below it; again summed before the shuffle.
-    3. Only the distinct values inside the bracket, 6/10,000 of a large group,
-       are put in order to find the exact element.
-
-    A bracket that missed the rank would raise; it cannot give a wrong value.
-    Starts a job for step 1.
+    Values of a group are counted in BUCKETS equal parts of its range, before the
+    shuffle; running sums over the buckets show which one holds the rank. That
+    bucket is divided again, LEVELS times, and the distinct values that are left
+    are put in order. No task gets more of a group than its buckets, and the
+    counts are exact, so no rank is missed. A null key is a group like any
+    other; NaN counts as the largest value. Starts a job per level.
     """
     keys = list(keys)
-    rows = rows.where(F.col(value).isNotNull())
-    shares = [share - SMALL_MARGIN, share - MARGIN, share + MARGIN]
-    edges = F.percentile_approx(value, [min(max(s, 0.0), 1.0) for s in shares], ACCURACY)
-    per_group = rows.groupBy(*keys).agg(
-        *also, F.count(F.lit(1)).alias("_n"), edges.alias("_edge")
-    )
-    large = F.col("_n") >= SMALL_GROUP
-    bounds = per_group.withColumns(
-        {
-            "_rank": F.least(F.floor(F.col("_n") * share), F.col("_n") - 1),
-            "_low": F.when(large, F.col("_edge")[1]).otherwise(F.col("_edge")[0]),
-            "_high": F.when(large, F.col("_edge")[2]),
-        }
-    ).drop("_n", "_edge")
-    bounds = landed(bounds, "rank-bounds")
-    carried = [c for c in bounds.columns if c not in ("_low", "_high")]
-
-    in_reach = F.col("_high").isNull() | (F.col(value) <= F.col("_high"))
-    counted = (
-        rows.select(*keys, value)
-        .join(bounds, keys)
-        .where(in_reach)
-        .withColumn("_v", F.when(F.col(value) >= F.col("_low"), F.col(value)))
-        .groupBy(*carried, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    number = F.when(~F.isnan(value), F.col(value))
+    groups = rows.groupBy(*keys).agg(
+        *also,
+        F.count(F.lit(1)).alias("_n"),
+        F.min(number).alias("_low"),
+        F.max(number).alias("_high"),
     )
-    cumulative = counted.withColumn("_upto", F.sum("_c").over(upto))
-    reached = F.min(F.when(F.col("_upto") > F.col("_rank"), F.struct("_upto", "_v")))["_v"]
-    missed = F.raise_error(F.lit(f"rank bracket of {value} missed its rank")).cast("double")
-    return (
-        cumulative.groupBy(*carried)
-        .agg(reached.alias(name))
-        .withColumn(name, F.coalesce(name, missed))
-        .drop("_rank")
+    rank = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
+    groups = landed(groups.withColumn("_rank", rank).drop("_n"), "rank-groups")
+    carried = [c for c in groups.columns if c not in (*keys, "_low", "_high", "_rank")]
+    place = F.when(F.isnan(value), BUCKETS + 2).when(F.col("_low") == F.col("_high"), 1)
+    place = place.otherwise(F.width_bucket(value, "_low", "_high", F.lit(BUCKETS))).alias("_bucket")
+    up_to = Window.partitionBy(*keys).orderBy("_bucket")
+    for level in range(LEVELS + 1):
+        last = level == LEVELS
+        inside = F.col(value).between(F.col("_low"), F.col("_high"))
+        if level == 0:
+            inside = inside | F.isnan(value)
+        reached = _joined(rows.select(*keys, value), groups.select(*keys, "_low", "_high", "_rank"), keys)
+        reached = reached.where(inside)
+        bucket = F.col(value).alias("_bucket") if last else place
+        counted = reached.groupBy(*keys, "_rank", bucket).agg(
+            F.count(F.lit(1)).alias("_c"), F.min(value).alias("_low"), F.max(value).alias("_high")
+        )
+        counted = counted.withColumn("_before", F.sum("_c").over(up_to) - F.col("_c"))
+        holds = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
+        found = counted.where(holds).select(
+            *keys, "_low", "_high", (F.col("_rank") - F.col("_before")).alias("_rank")
+        )
+        kept = groups.select(*keys, *carried)
+        groups = landed(_joined(kept, found, keys), f"rank-level-{level}")
+    return groups.select(*keys, *carried, F.col("_low").alias(name))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, null equal to null."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one group: one row
+    right = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return left.join(right, same).drop(*(f"_key_{k}" for k in keys))
+
+
+def numbered_rows(rows: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """Number rows from 1 in a total order without one task for all of them. Starts jobs.
+
+    Rows are range-sorted and written with their place within the part; the sizes
+    of the parts, one small row each, make that a place among all.
+    """
+    placed = rows.orderBy(*order).select(
+        "*",
+        F.spark_partition_id().alias("_part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_in_part"),
     )
+    placed = landed(placed, "numbered")
+    counts = dict(placed.groupBy("_part").count().collect())
+    before, total = [], 0
+    for part in sorted(counts):
+        before.append((part, total))
+        total += counts[part]
+    offsets = rows.sparkSession.createDataFrame(before, "_part int, _before long")
+    place = (F.col("_before") + F.col("_in_part") + 1).alias(name)
+    return placed.join(F.broadcast(offsets), "_part").select(*rows.columns, place)
 
 
 def first_rows(

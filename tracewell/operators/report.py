@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import rules
 from tracewell.functions.statements import ns_to_ms
 from tracewell.operators.diagnosis import order_findings, report_order
+from tracewell.operators.ranking import numbered_rows
 
 
 def _lines(head: str, items: Column) -> Column:
@@ -16,8 +17,14 @@ def _lines(head: str, items: Column) -> Column:
     return F.when(F.size(items) > 0, F.concat(F.array(F.lit(head)), items)).otherwise(none)
 
 
-def finding_text(findings: DataFrame) -> DataFrame:
-    """Add ``body``: the block of one finding without its number. Works row by row."""
+def finding_text(findings: DataFrame, statement_chars: int | None = None) -> DataFrame:
+    """Add ``body``: the block of one finding without its number. Works row by row.
+
+    ``statement_chars`` cuts the statement for display; None shows all of it.
+    """
+    statement = F.col("statement")
+    if statement_chars is not None:
+        statement = F.substring(statement, 1, statement_chars)
     facts = F.concat(
         F.lit("    Avg Duration: "),
         F.format_string("%.1f", ns_to_ms(F.col("avg_duration"))),
@@ -41,10 +48,7 @@ def finding_text(findings: DataFrame) -> DataFrame:
     )
     body = F.concat(
         F.array(
-            F.concat(
-                F.lit("Statement: "),
-                F.substring("statement", 1, rules.REPORT_STATEMENT_CHARS),
-            ),
+            F.concat(F.lit("Statement: "), statement),
             facts,
         ),
         _lines("    Anti-Patterns Detected:", patterns),
@@ -56,21 +60,26 @@ def finding_text(findings: DataFrame) -> DataFrame:
     return findings.withColumn("body", F.array_join(body, "\n"))
 
 
-def finding_report(findings: DataFrame, top_n: int = rules.TOP_STATEMENTS) -> DataFrame:
-    """The ``top_n`` worst findings, numbered: (position, text).
-
-    Numbering uses one window, over no more than ``top_n`` rows.
-    """
-    worst = order_findings(findings).limit(top_n)
-    order = Window.orderBy(*report_order())
-    numbered = finding_text(worst).withColumn("position", F.row_number().over(order))
+def finding_report(
+    findings: DataFrame, top_n: int | None = None, statement_chars: int | None = None
+) -> DataFrame:
+    """All findings, or the ``top_n`` worst, numbered in report order: (position, text). Starts jobs."""
+    worst = order_findings(findings)
+    if top_n is not None:
+        worst = worst.limit(top_n)
+    numbered = numbered_rows(finding_text(worst, statement_chars), *report_order(), name="position")
     head = F.concat(F.lit("\n["), F.col("position").cast("string"), F.lit("] "))
     return numbered.select("position", F.concat(head, F.col("body")).alias("text"))
 
 
-def report_document(findings: DataFrame, top_n: int = rules.TOP_STATEMENTS) -> DataFrame:
-    """The whole report in one row: (report, summary); no finding gives a fixed sentence."""
-    blocks = finding_report(findings, top_n).agg(
+def report_document(
+    findings: DataFrame, top_n: int = rules.TOP_STATEMENTS, statement_chars: int | None = None
+) -> DataFrame:
+    """The ``top_n`` worst findings as one text: (report, summary); none gives a fixed sentence.
+
+    One row must hold it, so ``top_n`` bounds it; ``finding_report`` has them all.
+    """
+    blocks = finding_report(findings, top_n, statement_chars).agg(
         F.array_sort(F.collect_list(F.struct("position", "text"))).alias("blocks")
     )
     report = F.when(F.size("blocks") == 0, rules.EMPTY_REPORT).otherwise(

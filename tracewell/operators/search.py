@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import rules
 from tracewell.functions.vectors import EmbedderFactory, embed
+from tracewell.operators.sizes import landed
 
 MAX_QUERY_BYTES = 32 * 1024 * 1024  # of query vectors sent to every task
 TILE_ROWS = 50_000  # corpus rows, and queries, per tile beyond that
@@ -19,14 +21,18 @@ BROADCAST_HITS = 1_000_000  # hit rows (no vectors) joined back by broadcast
 SCORE_DECIMALS = 9  # scores equal to this many places are ties, decided by id
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column as a (rows, dims) double array."""
+def _matrix(column: pa.ChunkedArray | pa.Array, dims: int | None = None) -> np.ndarray:
+    """A list column as a (rows, dims) double array; vectors of another length raise."""
     if not len(column):
-        return np.zeros((0, 0))
+        return np.zeros((0, dims or 0))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    dims = int(sizes[0]) if dims is None else dims
+    if (sizes != dims).any():
+        raise ValueError(f"a vector has {sizes[sizes != dims][0]} numbers, not {dims}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), dims)
 
 
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -45,7 +51,10 @@ class _Best:
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for block in range(len(self.kept)):
             span = slice(block * BLOCK_QUERIES, (block + 1) * BLOCK_QUERIES)
-            scores = np.round(vectors @ self.vectors[span].T, SCORE_DECIMALS)
+            with np.errstate(invalid="ignore", over="ignore"):
+                scores = np.round(vectors @ self.vectors[span].T, SCORE_DECIMALS)
+            # a score that is no number is no hit, and takes the place of none
+            scores[~np.isfinite(scores)] = -np.inf
             if self.skip_self:
                 scores[ids[:, None] == self.query_ids[span][None, :]] = -np.inf
             floor = np.full(scores.shape[1], -np.inf)
@@ -93,7 +102,7 @@ def _by_broadcast(corpus, queries, table: pa.Table, k: int, skip_self: bool) ->
         best = _Best(*sent.value, k, skip_self)
         for batch in batches:
             if batch.num_rows:
-                best.add(_ids(batch.column("id")), _matrix(batch.column("embedding")))
+                best.add(_ids(batch.column("id")), _matrix(batch.column("embedding"), sent.value[1].shape[1] or None))
         yield from best.batches()
 
     return corpus.mapInArrow(score, _hits_schema(corpus, queries))
@@ -125,8 +134,9 @@ def _by_tiles(
         if not rows.num_rows or not asked.num_rows:
             return kinds.empty_table()
         best = _Best(_ids(asked["query_id"]), _matrix(asked["embedding"]), k, skip_self)
+        dims = best.vectors.shape[1]
         for batch in rows.to_batches(max_chunksize=10_000):
-            best.add(_ids(batch.column("id")), _matrix(batch.column("embedding")))
+            best.add(_ids(batch.column("id")), _matrix(batch.column("embedding"), dims))
         found = list(best.batches())
         return pa.Table.from_batches(found) if found else kinds.empty_table()
 
@@ -158,6 +168,8 @@ def vector_topk(
     """
     corpus = corpus.select("id", "embedding").where(F.col("embedding").isNotNull())
     queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    # written once: a model behind the queries runs once, whatever is asked of them here
+    queries = landed(queries, "query-vectors")
     first = queries.select(F.size("embedding").alias("dims")).head()
     dims = first.dims if first else 1
     fit = max(1, max_query_bytes // (8 * max(dims, 1)))

@@ -28,7 +28,7 @@ def look_back(
         as_of = F.current_timestamp()
     elif not isinstance(as_of, Column):
         as_of = F.lit(as_of).cast("timestamp")
-    cutoff = as_of - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(int(hours % 1 * 60)))
+    cutoff = as_of - F.make_dt_interval(secs=F.lit(round(hours * 3600)))
     recent = log.where(F.col("ts") >= cutoff.cast(log.schema["ts"].dataType))
     return recent.where(F.col(date_column) >= cutoff.cast("date")) if date_column else recent
 

@@ -12,7 +12,7 @@ from tracewell.functions.vectors import EmbedderFactory
 from tracewell.operators import catalog as cat
 from tracewell.operators import diagnosis, knowledge, rewrite, telemetry
 from tracewell.operators.cardinality import field_cardinality, referenced_fields
-from tracewell.operators.sizes import broadcast_if_small
+from tracewell.operators.sizes import broadcast_if_small, landed
 from tracewell.sources.docs import read_knowledge_base, write_knowledge_base
 
 
@@ -61,15 +61,17 @@ def run_cycle(
     hours: float | None = rules.LOOKBACK_HOURS,
     as_of=None,
     min_count: int = rules.MIN_COUNT,
-    top_n: int | None = rules.TOP_STATEMENTS,
+    top_n: int | None = None,
 ) -> Cycle:
-    """Everything one look at the system gives.
+    """Everything one look at the system gives, over all statements or the top ``top_n``.
 
-    Starts jobs to find which columns of ``tables`` are searched, and to count
-    the values of those.
+    Starts jobs to aggregate the log once (one row per statement, written to the
+    shared folder), to find which columns of ``tables`` are searched, and to
+    count the values of those.
     """
-    stats = telemetry.slowest_statements(
-        slowlog, hours, as_of, min_count, top_n, by=diagnosis.KEYS
+    stats = landed(
+        telemetry.slowest_statements(slowlog, hours, as_of, min_count, top_n, by=diagnosis.KEYS),
+        "statement-stats",
     )
     wanted = referenced_fields(diagnosis.wildcard_clauses(stats), tables)
     spark = slowlog.sparkSession
@@ -110,7 +112,7 @@ def build_knowledge_base(
     prefixes: Iterable[str],
     path: str,
     factory: EmbedderFactory,
-    max_urls: int | None = rules.MAX_URLS,
+    max_urls: int | None = None,
     size: int = rules.CHUNK_SIZE,
     overlap: int = rules.CHUNK_OVERLAP,
 ) -> DataFrame:

@@ -32,13 +32,17 @@ def build_session(app: str = "tracewell", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Where the session names none (a test on one machine) a fresh local folder
-    is taken and kept for the rest of the session.
+    Where the session names none and runs on one machine, as in tests, a fresh
+    local folder is taken and kept for the rest of the session. On a cluster
+    executors would write to disks of their own, so there it must be named.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
         "tracewell.local.dir", None
     )
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("tracewell.local.dir", base)
     return base.rstrip("/")

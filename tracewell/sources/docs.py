@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schemas
 from tracewell.functions.text import strip_whitespace
+from tracewell.operators.sizes import landed
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +61,13 @@ def fetched_pages(pages: DataFrame) -> DataFrame:
 def write_knowledge_base(chunks: DataFrame, path: str) -> bool:
     """Full rebuild: chunk text and vector side by side in one Parquet table.
 
-    Starts a job. No chunks leave the table as it is and return False.
+    Starts jobs. Chunks are embedded once, into a folder of their own, and moved
+    over the table from there; no chunks leave the table as it is and return False.
     """
-    if chunks.isEmpty():
+    fresh = landed(chunks, "knowledge-base")
+    if fresh.isEmpty():
         return False
-    chunks.write.mode("overwrite").parquet(path)
+    fresh.write.mode("overwrite").parquet(path)
     return True
 
 

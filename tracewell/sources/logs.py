@@ -76,9 +76,12 @@ def source_coverage(required: Iterable[str], tables: dict[str, DataFrame]) -> Da
             F.max("ts").alias("latest_ts"),
         )
         reports.append(seen.select(F.lit(name).alias("source"), "*"))
-    spark = next(iter(tables.values())).sparkSession
+    spark = next((t.sparkSession for t in tables.values()), None) or SparkSession.getActiveSession()
     wanted = spark.createDataFrame([(name,) for name in required], "source string")
-    found = reduce(DataFrame.unionByName, reports)
+    none = spark.createDataFrame(
+        [], "source string, row_count bigint, earliest_ts timestamp, latest_ts timestamp"
+    )
+    found = reduce(DataFrame.unionByName, reports) if reports else none
     return wanted.join(found, "source", "left").select(
         "source",
         (F.coalesce("row_count", F.lit(0)) > 0).alias("present"),

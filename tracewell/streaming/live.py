@@ -14,7 +14,6 @@ from tracewell.functions import statements as st
 from tracewell.functions.ledger import is_decision
 from tracewell.functions.vectors import EmbedderFactory
 from tracewell.operators import diagnosis, knowledge
-from tracewell.operators.sizes import broadcast_if_small
 
 DELAY = "10 minutes"
 
@@ -208,12 +207,19 @@ def run_knowledge_base(
     size: int = rules.CHUNK_SIZE,
     overlap: int = rules.CHUNK_OVERLAP,
 ) -> None:
-    """Chunk and embed pages as they arrive; each batch owns one folder."""
+    """Chunk and embed pages as they arrive; each batch owns one folder.
+
+    A page without a long chunk leaves a row too (``chunk_idx`` -1, no text), so
+    that its older version is known to be outdated. Of several fetches of one
+    page in a batch one is taken.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        texts = knowledge.page_texts(batch)
+        texts = knowledge.page_texts(batch).dropDuplicates(["url"])
         chunks = knowledge.chunk_texts(texts, size=size, overlap=overlap)
         embedded = knowledge.embed_chunks(chunks, factory)
+        seen = texts.select("url", F.lit(-1).alias("chunk_idx"))
+        embedded = embedded.unionByName(seen, allowMissingColumns=True)
         embedded.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
@@ -229,4 +235,5 @@ def read_incremental_knowledge_base(spark: SparkSession, path: str) -> DataFrame
     """Chunks of the newest version of each page over all batches."""
     chunks = spark.read.parquet(path)
     newest = chunks.groupBy("url").agg(F.max("batch").alias("batch"))
-    return chunks.join(broadcast_if_small(newest), ["url", "batch"], "left_semi").drop("batch")
+    chunks = chunks.where("chunk_idx >= 0")
+    return chunks.join(newest, ["url", "batch"], "left_semi").drop("batch")

@@ -100,7 +100,12 @@ def field_cardinality_exact(spark, sf):
 
 
 def field_cardinality_approx(spark, sf):
-    return _cardinality(spark, sf, exact=False)
+    """Is the sketch within 5 % of the exact count?"""
+    keys = ["index_name", "field_name"]
+    exact = _cardinality(spark, sf).withColumnRenamed("cardinality", "exact")
+    both = _cardinality(spark, sf, exact=False).join(exact, keys)
+    off = F.abs(F.col("cardinality") - F.col("exact"))
+    return both.select(*keys, "exact", (off <= F.col("exact") * 0.05).alias("within_5_percent"))
 
 
 def catalog_like(spark, sf):
@@ -234,7 +239,7 @@ def recommended_searches(spark, sf):
 
 
 def finding_report(spark, sf):
-    return report.finding_report(findings(spark, sf), top_n=5)
+    return report.finding_report(findings(spark, sf))
 
 
 # --- pages, chunks, vectors ------------------------------------------------
@@ -266,7 +271,7 @@ def doc_chunks(spark, sf):
 
 
 def url_discovery(spark, sf):
-    out = knowledge.discover_urls(views.sitemap(spark, sf), views.PREFIXES, max_urls=200)
+    out = knowledge.discover_urls(views.sitemap(spark, sf), views.PREFIXES)
     return out.select("url", F.col("sitemap_seq").cast("bigint").alias("sitemap_seq"), "url_seq")
 
 
@@ -339,7 +344,7 @@ def latency_compare(spark, sf):
 
 
 def cost_mtd_projection(spark, sf):
-    out = cost.month_to_date(views.cost_line(spark, sf), views.COST_AS_OF, since="1998-01-01")
+    out = cost.month_to_date(views.cost_line(spark, sf), views.COST_AS_OF)
     return out.select(
         "provider",
         "currency",

@@ -285,6 +285,8 @@ ORACLE = {
       SELECT source, n > 0 AS present, n AS row_count,
         strftime(lo, '%Y-%m-%d %H:%M:%S') AS earliest_ts,
         strftime(hi, '%Y-%m-%d %H:%M:%S') AS latest_ts FROM seen""",
+    "field_cardinality_approx": f"""WITH {CARDINALITY} SELECT index_name, field_name,
+        cardinality AS exact, true AS within_5_percent FROM cards""",
     "field_cardinality_exact": f"WITH {CARDINALITY} SELECT * FROM cards",
     "catalog_like": f"""WITH {HISTORY} SELECT index_name, field_name, field_type, shards
       FROM history WHERE index_name LIKE 'idx$_1%' ESCAPE '$'""",
@@ -328,10 +330,8 @@ ORACLE = {
       SELECT url, title, chunk_idx, text FROM chunks""",
     "doc_chunks": f"""WITH texts AS (SELECT doc_id, text AS whole FROM documents),
       {chunks("texts", "doc_id")} SELECT doc_id, chunk_idx, text FROM chunks""",
-    "url_discovery": f"""WITH {URLS}, capped AS (
-        SELECT *, row_number() OVER (ORDER BY sitemap_seq, url_seq) AS place FROM urls
-        QUALIFY place <= 200)
-      SELECT url, CAST(sitemap_seq AS BIGINT) AS sitemap_seq, url_seq FROM capped
+    "url_discovery": f"""WITH {URLS}
+      SELECT url, CAST(sitemap_seq AS BIGINT) AS sitemap_seq, url_seq FROM urls
       QUALIFY row_number() OVER (PARTITION BY url ORDER BY sitemap_seq, url_seq) = 1""",
     "kb_summary": f"""WITH {URLS}, {PAGE_TEXTS}, {chunks("texts", "url")}, n AS (
         SELECT (SELECT count(DISTINCT url) FROM urls) AS url_count,
