@@ -52,21 +52,16 @@ ROWS = [
 @pytest.mark.parametrize("block", [16, 64, 4096])
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ed, "BLOCK_BYTES", block)
-    out = ed.exact_duplicates(frame(spark, ROWS)).drop("doc_hash").collect()
+    out = ed.exact_duplicates(frame(spark, ROWS)).drop("doc_hash", "raw_hash").collect()
     assert sorted(map(tuple, out), key=str) == brute(ROWS)
 
 
 def test_hot_blocks_and_hash_collisions(spark, monkeypatch):
     rows = [(i, "hot text " * 30) for i in range(150)] + [(200 + i, f"text {i % 7}") for i in range(40)]
     monkeypatch.setattr(ed, "HOT_COUNT", 20)
-    whole = ed._blocks
-
-    def collide(docs):
-        return whole(docs).withColumn("h", F.lit(7).cast("long") + F.length("block") % 2)
-
-    for blocks in (whole, collide):
-        monkeypatch.setattr(ed, "_blocks", blocks)
-        out = ed.exact_duplicates(frame(spark, rows)).drop("doc_hash").collect()
+    for digest in (ed._hash, lambda block: len(block) % 2):
+        monkeypatch.setattr(ed, "_hash", digest)
+        out = ed.exact_duplicates(frame(spark, rows)).drop("doc_hash", "raw_hash").collect()
         assert sorted(map(tuple, out), key=str) == brute(rows)
 
 

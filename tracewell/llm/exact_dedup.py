@@ -14,37 +14,112 @@ of them. A text of any length is cut by byte offsets. Columns other than
 
 from __future__ import annotations
 
-import string
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewell.llm.words import byte_slices
 from tracewell.operators.sizes import landed
 
 BLOCK_BYTES = 4096
 HOT_BLOCKS = 1000  # blocks compared without a shuffle: at most 4 MB of content
 HOT_COUNT = 100
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
-def normalised(text: Column) -> Column:
+
+def _normalised(column: pa.Array) -> Iterator[bytes]:
     """Null as empty, A-Z in lower case, nothing else changed."""
-    return F.translate(
-        F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase
-    )
+    for s in byte_slices(column):
+        raw, bounds = _LOWER[s.data].tobytes(), s.offsets.tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield raw[a:b]
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """One row per block: doc_id, doc_hash, n (blocks of the text), pos, block, h."""
-    body = docs.select("doc_id", normalised(F.col("text")).cast("binary").alias("body"))
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / BLOCK_BYTES)).cast("int")
-    parts = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.substring(F.col("body"), i * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)),
-    )
-    cut = body.select("doc_id", F.xxhash64("body").alias("doc_hash"), n.alias("n"), parts.alias("parts"))
-    rows = cut.select("doc_id", "doc_hash", "n", F.posexplode("parts").alias("pos", "block"))
-    return rows.withColumn("h", F.xxhash64("block"))
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _hash(block: bytes) -> int:
+    return _number(hashlib.blake2b(block, digest_size=8).digest())
+
+
+def _cut(text: bytes, size: int) -> list[bytes]:
+    return [text[a : a + size] for a in range(0, len(text), size)] or [b""]
+
+
+HEADS = "doc_id long, raw_hash long, doc_hash long, text_sha256 string, hashes array<long>"
+BLOCKS = "doc_id long, doc_hash long, n int, pos int, h long, rank int, block binary"
+
+
+def _heads(size: int):
+    """Per row the digests of its normalised text and of the text's blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, digests, hashes = [], [], []
+            for text in _normalised(batch.column("text")):
+                digest = hashlib.sha256(text)
+                names.append(_number(digest.digest()))
+                digests.append(digest.hexdigest())
+                hashes.append([_hash(block) for block in _cut(text, size)])
+            columns = [pa.array(names, pa.int64()), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("raw_hash"), *columns],
+                ["doc_id", "raw_hash", "doc_hash", "text_sha256", "hashes"],
+            )
+
+    return run
+
+
+def _hot_contents(size: int, hot: frozenset[int]):
+    """The different contents of hot blocks in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for text in _normalised(batch.column("text")):
+                seen.update((h, block) for block in _cut(text, size) if (h := _hash(block)) in hot)
+        rows = sorted(seen)
+        columns = [pa.array([h for h, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["h", "block"])
+
+    return run
+
+
+def _blocks(size: int, ranks: dict[tuple[int, bytes], int], hot: frozenset[int]):
+    """One row per block: hot ones with their rank, others with their content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [field.split()[0] for field in BLOCKS.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _normalised(batch.column("text")), strict=True):
+                name, blocks = _number(hashlib.sha256(text).digest()), _cut(text, size)
+                for pos, block in enumerate(blocks):
+                    h = _hash(block)
+                    if h in hot:
+                        rows.append((doc_id, name, len(blocks), pos, h, ranks[h, block], None))
+                    else:
+                        rows.append((doc_id, name, len(blocks), pos, h, None, block))
+                if len(rows) >= 4096:
+                    yield _table(rows, kinds, names)
+                    rows = []
+            yield _table(rows, kinds, names)
+
+    return run
+
+
+def _table(rows, kinds, names) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _named(rows: DataFrame, cols: list[str], label: str) -> DataFrame:
@@ -54,38 +129,36 @@ def _named(rows: DataFrame, cols: list[str], label: str) -> DataFrame:
     return rows.join(names, cols).drop(*cols)
 
 
-def _block_ranks(blocks: DataFrame) -> DataFrame:
+def _block_ranks(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """The rank of a block's content among the contents that share its hash.
 
     A rank over 1 is a collision, told apart by content. The most frequent
-    blocks are compared with a broadcast of their contents (bounded by
+    blocks are compared with a copy of their contents in every task (bounded by
     HOT_BLOCKS times BLOCK_BYTES); the others meet by hash, in groups of which
     none is as large as those.
     """
-    keep = ["doc_id", "doc_hash", "n", "pos", "h"]
-    counts = blocks.groupBy("h").count().where(F.col("count") >= HOT_COUNT)
-    hot = landed(counts.orderBy(F.desc("count"), "h").limit(HOT_BLOCKS), "hot-blocks")
-    contents = (
-        blocks.join(F.broadcast(hot.select("h")), "h")
-        .groupBy("h", "block")
-        .agg(F.lit(1).alias("one"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("block")))
-        .drop("one")
-    )
-    contents = landed(contents, "hot-contents")
-    often = blocks.join(F.broadcast(contents), ["h", "block"]).select(*keep, "rank")
-    seldom = blocks.join(F.broadcast(hot.select("h")), "h", "left_anti").withColumn(
-        "rank", F.dense_rank().over(Window.partitionBy("h").orderBy("block"))
-    )
-    return often.unionByName(seldom.select(*keep, "rank"))
-
-
-def text_names(docs: DataFrame) -> DataFrame:
+    texts = rows.select("text")
+    counts = heads.select(F.explode("hashes").alias("h")).groupBy("h").count()
+    top = counts.where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "h").limit(HOT_BLOCKS)
+    hot = frozenset(r.h for r in top.collect())
+    ranks: dict[tuple[int, bytes], int] = {}
+    if hot:
+        found = texts.mapInArrow(_hot_contents(BLOCK_BYTES, hot), "h long, block binary").distinct()
+        for h, block in sorted((r.h, bytes(r.block)) for r in found.collect()):
+            ranks[h, block] = 1 + sum(x == h for x, _ in ranks)
+    cut = rows.select("doc_id", "text").mapInArrow(_blocks(BLOCK_BYTES, ranks, hot), BLOCKS)
+    keep = ["doc_id", "doc_hash", "n", "pos", "h", "rank"]
+    by_content = F.dense_rank().over(Window.partitionBy("h").orderBy("block"))
+    seldom = cut.where("rank is null").withColumn("rank", by_content)
+    return cut.where("rank is not null").select(*keep).unionByName(seldom.select(*keep))
+
+
+def text_names(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """One (level, name) per distinct (doc_id, doc_hash); equal exactly for equal texts.
 
     Starts a few jobs per level; a text of n blocks takes log2(n) levels.
     """
-    now = landed(_named(_block_ranks(_blocks(docs)), ["h", "rank"], "0"), "level-0")
+    now = landed(_named(_block_ranks(rows, heads), ["h", "rank"], "0"), "level-0")
     key, level, done = ["doc_id", "doc_hash"], 0, []
     longest = now.agg(F.max("n")).first()[0] or 1
     while True:
@@ -110,23 +183,21 @@ def text_names(docs: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, doc_hash.
+    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, doc_hash, raw_hash.
 
     Of equal texts the row with the largest ``doc_id`` stays.
     """
-    text = normalised(F.col("text"))
-    heads = docs.select(
-        "doc_id", F.xxhash64(text.cast("binary")).alias("doc_hash"), F.sha2(text, 256).alias("text_sha256")
-    )
-    ids = landed(text_names(docs).withColumnsRenamed({"doc_id": "d", "doc_hash": "x"}), "text-names")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _raw_hash().alias("raw_hash"))
+    heads = landed(rows.mapInArrow(_heads(BLOCK_BYTES), HEADS), "heads")
+    ids = landed(text_names(rows, heads).withColumnsRenamed({"doc_id": "d", "doc_hash": "x"}), "text-names")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_hash") == F.col("x"))
-    rows = landed(heads.join(ids, same).drop("d", "x"), "named-rows")
-    groups = rows.groupBy("level", "name").agg(
+    named = landed(heads.drop("hashes").join(ids, same).drop("d", "x"), "named-rows")
+    groups = named.groupBy("level", "name").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
     # most texts occur once: only the groups of several are joined back
     several = landed(groups.where("group_size > 1"), "groups")
-    out = rows.join(several, ["level", "name"], "left")
+    out = named.join(several, ["level", "name"], "left")
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id",
@@ -135,22 +206,25 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
         "doc_hash",
+        "raw_hash",
     )
 
 
+def _raw_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text occurs under a larger ``doc_id``."""
-    found = exact_duplicates(docs)
-    kept = found.where("kept").groupBy("doc_id", "doc_hash").agg(F.count(F.lit(1)).alias("copies"))
-    kept = landed(kept.withColumnsRenamed({"doc_id": "kept_id", "doc_hash": "kept_hash"}), "kept")
-    d = docs.alias("d").join(
-        kept.alias("k"),
-        F.col("d.doc_id").eqNullSafe(F.col("k.kept_id"))
-        & (F.xxhash64(normalised(F.col("d.text")).cast("binary")) == F.col("k.kept_hash")),
-    )
-    once = d.where("k.copies = 1").select("d.*")
-    again = d.where("k.copies > 1")
-    if kept.where("copies > 1").isEmpty():
+    found = exact_duplicates(docs).where("kept").groupBy("doc_id", "doc_hash", "raw_hash").count()
+    # rows of one doc_id that differ in case only are one text too
+    kept = found.groupBy("doc_id", "doc_hash").agg(F.max(F.struct("raw_hash", "count")).alias("one"))
+    kept = kept.select(F.col("doc_id").alias("__id"), "one.*").withColumnRenamed("raw_hash", "__hash")
+    kept = landed(kept.withColumnRenamed("count", "__copies"), "kept")
+    same = docs["doc_id"].eqNullSafe(kept["__id"]) & (_raw_hash() == kept["__hash"])
+    rows = docs.join(kept, same).drop("__id")
+    once = rows.where("__copies = 1").drop("__hash", "__copies")
+    if kept.where("__copies > 1").isEmpty():
         return once
-    again = again.withColumn("__kept_hash", F.col("k.kept_hash")).select("d.*", "__kept_hash")
-    return once.unionByName(again.dropDuplicates(["doc_id", "__kept_hash"]).drop("__kept_hash"))
+    again = rows.where("__copies > 1").dropDuplicates(["doc_id", "__hash"]).drop("__hash", "__copies")
+    return once.unionByName(again)

@@ -28,7 +28,7 @@ def op1_ngram_jaccard_join(spark, sf):
 
 
 def op2_exact_dedup(spark, sf):
-    return exact_dedup.exact_duplicates(table(spark, sf, "documents")).drop("doc_hash")
+    return exact_dedup.exact_duplicates(table(spark, sf, "documents")).drop("doc_hash", "raw_hash")
 
 
 def op3_html_extraction(spark, sf):
