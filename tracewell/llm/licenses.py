@@ -1,6 +1,6 @@
 """Licence scans by canonical digest lookup.
 
-A text is brought into canonical form: A-Z in lower case, copyright lines out,
+A text is brought into canonical form: lower case, copyright lines out,
 equivalent spellings made one, punctuation and white space turned into
 blanks. The SHA-256 of the canonical form is looked up among the digests of
 known licence texts. Entire texts are compared, never parts: a document as a
@@ -14,8 +14,6 @@ with equal canonical forms count under the first name in order.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +84,7 @@ KNOWN = (
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null if nothing is left of it."""
-    out = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    out = F.lower(text)
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
     # two spaces between words, so that neighbours of equal spelling are both seen
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, PUNCTUATION, "  ")), F.lit(" "))

@@ -14,7 +14,7 @@ def _quoted(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    out = f"translate({text}, {_LOWER})"
+    out = f"lower({text})"
     out = f"regexp_replace({out}, {_quoted(licenses.COPYRIGHT_LINE)}, '', 'g')"
     out = f"(' ' || trim(regexp_replace({out}, {_quoted(licenses.PUNCTUATION)}, '  ', 'g')) || ' ')"
     for one, other in licenses.SPELLINGS:
