@@ -40,7 +40,7 @@ from tracewell.llm.words import byte_slices, mixed, powers
 from tracewell.operators.sizes import landed
 
 LENGTH = 400
-GRAM = 32
+GRAM = 100
 PIECE = 8192
 BATCH = 1 << 20  # bytes that are sorted together
 SALT_ROWS = 2000  # rows of a shard that go to one part
