@@ -15,8 +15,9 @@ Scoring and the search for confident documents cover all rows.
 Cases: null text is empty; null source, language and length are values of their
 own; documents labelled more than once count as good only if all labels say so;
 without labels of both classes everything is kept with probability 1. Repeated
-rows get equal scores. ``scored`` keeps all columns, and names that clash with
-its own are an error of the caller's choice of ``prefix``.
+rows get equal scores. ``scored`` keeps all columns and adds its own with a
+``prefix``, to be chosen so that none is there already. An empty table gives an
+empty result; a text of any length is read as a whole.
 """
 
 from __future__ import annotations
