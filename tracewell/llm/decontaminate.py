@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.words import PUNCTUATION_TOO, WordSlices, mixed
 from tracewell.operators.sizes import landed
 
-MAX_EDITS = 0.10
+MAX_EDITS = 0.15
 RECALL = 0.95
 ANCHORS = 10
 RARE = 5e-6  # words of at most this share of the corpus are equally good anchors
