@@ -38,9 +38,10 @@ from tracewell.operators.sizes import landed
 
 MAX_EDITS = 0.15
 RECALL = 0.95
-ANCHORS = 10
-RARE = 5e-6  # words of at most this share of the corpus are equally good anchors
-RARE_LEAST = 50
+ANCHORS = 6
+RARE = 1e-6  # words of at most this share of the corpus are equally good anchors
+RARE_LEAST = 20
+GRAM = 4  # one edit changes so many grams of this length
 WALKS = 4
 BITS = 4
 NEAR, REACH = 0.12, 0.6  # places are sampled between these shares of a ray
@@ -282,6 +283,7 @@ class _Search:
         texts, self.reach = padded([text for _, text in rays])
         self.sizes = np.array([len(i.text) for i in self.items], np.int64)
         self.limits = (self.max_edits * self.sizes).astype(np.int64)
+        self.grams = [[i.text[k : k + GRAM] for k in range(len(i.text) - GRAM + 1)] for i in self.items]
         self.steps = int(self.reach.max() * REACH) + 1
         self.own = {w: cgk(texts, self.reach, self.steps, w) for w in {w for w, _ in self.repeats}}
 
@@ -348,7 +350,13 @@ class _Search:
         limit = int(self.limits[k])
         slack = limit + 8
         a, b = max(low, start - slack), min(high, max(low, start) + int(self.sizes[k]) + slack)
-        if m := edit_match(self.items[k].text, flat[a:b].tobytes(), limit):
+        text = flat[a:b].tobytes()
+        # a match within the limit leaves so many of the item's grams whole
+        if self.grams[k]:
+            there = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+            if sum(g in there for g in self.grams[k]) < len(self.grams[k]) - GRAM * limit:
+                return
+        if m := edit_match(self.items[k].text, text, limit):
             new = (m[0], a - low + m[1], a - low + m[2])
             best[doc, k] = min(best.get((doc, k), new), new)
 
