@@ -158,7 +158,8 @@ def text_names(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
     Starts a few jobs per level; a text of n blocks takes log2(n) levels.
     """
-    now = landed(_named(_block_ranks(rows, heads), ["h", "rank"], "0"), "level-0")
+    ranks = landed(_block_ranks(rows, heads), "block-ranks")  # contents are shuffled once
+    now = landed(_named(ranks, ["h", "rank"], "0"), "level-0")
     key, level, done = ["doc_id", "doc_hash"], 0, []
     longest = now.agg(F.max("n")).first()[0] or 1
     while True:
