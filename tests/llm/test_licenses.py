@@ -37,10 +37,16 @@ def test_matches(spark):
 def test_neighbouring_spellings_and_empty_table(spark):
     rows = spark.createDataFrame([("licence licence, Licence",), ("license. license license",), ("...",)], "t string")
     out = [r[0] for r in rows.select(li.canonical(F.col("t"))).collect()]
-    assert out[0] == out[1] and out[2] is None
+    assert out[0] == out[1] and out[2] == ""
     assert found(spark, []) == []
 
 
+def test_anchors_are_in_every_known_text():
+    words = li.anchor_words()
+    assert words and all(any(w in text.lower() for w in words) for _, text in li.KNOWN)
+    assert li.anchor_words([("x", "licence licenses"), ("y", "Odd words")]) == ["", "words"]
+
+
 def test_no_python_runs(spark, sf):
     plan = li.license_matches(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

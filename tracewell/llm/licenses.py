@@ -5,7 +5,8 @@ equivalent spellings made one, punctuation and white space turned into
 blanks. The SHA-256 of the canonical form is looked up among the digests of
 known licence texts. Entire texts are compared, never parts: a document as a
 whole, and each of its lines as a text of its own (licence notices stand on
-lines). Only built-in functions run.
+lines). A text without any of a few words, one of each known text, can match
+none and is not brought into canonical form. Only built-in functions run.
 
 Cases: null and empty texts and lines have no canonical form and match nothing;
 a text repeated is found for each row; other columns are ignored. Known texts
@@ -14,6 +15,10 @@ with equal canonical forms count under the first name in order.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +88,7 @@ KNOWN = (
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; null if nothing is left of it."""
+    """The canonical form of a text; empty if nothing is left of it, null for null."""
     out = F.lower(text)
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
     # two spaces between words, so that neighbours of equal spelling are both seen
@@ -91,23 +96,45 @@ def canonical(text: Column) -> Column:
     for one, other in SPELLINGS:
         one, other = one.replace(" ", "  "), other.replace(" ", "  ")
         out = F.replace(out, F.lit(f" {one} "), F.lit(f" {other} "))
-    return F.nullif(F.trim(out), F.lit(""))
+    return F.trim(out)
+
+
+def anchor_words(known=KNOWN) -> list[str]:
+    """A word of each known text that no spelling touches: what lacks them all matches none.
+
+    A known text without such a word gives the empty word, which every text has.
+    """
+    touched = {word for pair in SPELLINGS for side in pair for word in side.split()}
+    anchors: set[str] = set()
+    for _, text in known:
+        words = {w for w in re.findall(r"[a-z]+", text.lower()) if w not in touched}
+        lines = [w for w in words if re.search(rf"(?<![a-z0-9]){w}(?![a-z0-9])", text.lower())]
+        if not anchors & set(lines):
+            anchors.add(max(lines, key=lambda w: (len(w), w), default=""))
+    return sorted(anchors)
+
+
+def _has_anchor(text: Column, anchors: list[str]) -> Column:
+    low = F.lower(text)
+    return reduce(or_, (F.contains(low, F.lit(word)) for word in anchors), F.lit(False))
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     """(digest, license) of known texts, given as a bounded list of (name, text)."""
     rows = spark.createDataFrame(list(known), "license string, known_text string")
     rows = rows.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("digest"))
-    return rows.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def license_matches(docs: DataFrame, known=KNOWN) -> DataFrame:
     """doc_id, line_no (-1: the whole text, else from 0), license, digest of every match."""
-    text = docs.select("doc_id", "text")
+    anchors = anchor_words(known)
+    text = docs.select("doc_id", "text").where(_has_anchor(F.col("text"), anchors))
     parts = F.concat(F.array("text"), F.split("text", "\n"))
     # a text of one line is the whole text: not found twice
     parts = F.when(F.contains("text", F.lit("\n")), parts).otherwise(F.array("text"))
     rows = text.select("doc_id", F.posexplode(parts).alias("place", "part"))
+    rows = rows.where(_has_anchor(F.col("part"), anchors))
     rows = rows.select("doc_id", (F.col("place") - 1).alias("line_no"), F.sha2(canonical(F.col("part")), 256).alias("digest"))
     found = rows.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest")
     return found.select("doc_id", "line_no", "license", "digest")
