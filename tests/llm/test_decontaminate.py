@@ -101,6 +101,42 @@ def test_planted_passages(spark, planted):
         assert m.edits <= dc.MAX_EDITS * m.item_length
 
 
+def random_edits(r, text, n):
+    text = list(text)
+    for _ in range(n):
+        k = r.randrange(len(text))
+        text[k : k + r.choice([0, 1, 1])] = r.choice(["", "q", "e", "t"])
+    return "".join(text)
+
+
+@pytest.mark.parametrize("share", [0.10, 0.15])
+@pytest.mark.parametrize("least,most", [(12, 40), (2, 5)])
+def test_recall_of_passages_edited_everywhere(spark, share, least, most):
+    r = random.Random(9)
+    items = [(i, words(r, r.randint(least, most))) for i in range(120)]
+    rows = []
+    for i, text in items:
+        # many verbatim copies: the words that the edited copy has lost are the item's rarest
+        rows += [(i, f"{words(r, 9)}. {text}. {words(r, 9)}")] * 25
+        rows.append((1000 + i, f"{words(r, 9)}. {random_edits(r, text, int(share * len(text)))}. {words(r, 9)}"))
+    plain = {k: dc.plain(t) for k, t in rows}
+    within = set()
+    for i, text in items:
+        if closest(dc.plain(text), plain[1000 + i]) <= int(dc.MAX_EDITS * len(dc.plain(text))):
+            within.add((1000 + i, i))
+    got = {(m.doc_id, m.item_id) for m in run(spark, items, rows)}
+    assert {(i, i) for i, _ in items} <= got
+    assert len(within) > 100 and len(got & within) >= 0.95 * len(within), (len(got & within), len(within))
+
+
+def test_words_that_the_corpus_has_not_are_no_anchors(spark):
+    words_of_item = [(h, h * 8, h * 8 + 7) for h in range(1, 30)]
+    counts = {h: 30 for h in range(12, 30)}
+    chosen = dc._anchors(words_of_item, counts, 20, 29 * 8, 30, 0.02)
+    assert chosen and {h for h, *_ in chosen} <= set(counts)
+    assert dc._anchors(words_of_item, {}, 20, 29 * 8, 30, 0.02) == ()
+
+
 def test_blocks_of_items_give_the_same(spark, planted, monkeypatch):
     items, rows, _ = planted
     want = sorted(map(tuple, run(spark, items, rows)))

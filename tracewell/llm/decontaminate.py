@@ -1,19 +1,21 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit check.
 
 Texts are compared as words in lower case with one space between, punctuation
-out. In every document item-sized windows are laid so that a word of the item's
-rarest (its anchors, by counts over the whole corpus) stands where the item has
-it. A CGK random walk embeds windows and items, from the anchor towards the
+out. In every document item-sized windows are laid so that a word of the item
+(one of its anchors) stands where the item has it. An item has as many anchors as
+it takes until hardly an edited copy loses them all. A CGK random walk embeds windows and items, from the anchor towards the
 farther end: it reads a symbol, writes it, and a random bit of that symbol and
 step says whether to move on. Texts a few edits apart get embeddings that agree
 in many places, so windows that agree with the item in a few sampled places are
 candidates; sampling is repeated, with several walks, as often as the target
-recall asks (measured on edited copies of items).
+recall asks (measured on copies of items that are edited everywhere, anchors too).
+Items with too few words for that are cut into one piece more than edits are
+allowed, one of which every copy still has; windows are laid where a piece occurs.
 Every candidate is then checked by exact edit distance, wherever it begins or
 ends around its window.
 
-An item is found if at most ``MAX_EDITS`` of its length was changed and a word
-of its anchors is left. The benchmark is sent to tasks in blocks of at most
+Copies with no edit are always found, and ``RECALL`` of those with random edits
+up to ``MAX_EDITS`` of the item's length. The benchmark is sent to tasks in blocks of at most
 ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters; every block meets all rows.
 
 Cases: null or empty texts hold nothing; items without words are never found;
@@ -24,7 +26,9 @@ read in slices. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,14 +42,16 @@ from tracewell.operators.sizes import landed
 
 MAX_EDITS = 0.15
 RECALL = 0.95
-ANCHORS = 6
+ANCHORS_LOST = 0.2  # of the loss that RECALL allows, so much may come from copies without an anchor
 RARE = 1e-6  # words of at most this share of the corpus are equally good anchors
 RARE_LEAST = 20
+PIECE = 8  # bytes of a piece that are looked up
+COPIES = 512  # edited copies on which recall is measured
 GRAM = 4  # one edit changes so many grams of this length
 WALKS = 4
 BITS = 4
 NEAR, REACH = 0.12, 0.6  # places are sampled between these shares of a ray
-WINDOWS = 8192  # embedded at a time
+WINDOWS = 32768  # embedded at a time
 MAX_REPEATS = 256
 BLOCK_ITEMS = 5_000
 BLOCK_CHARS = 4_000_000
@@ -59,13 +65,17 @@ def plain(text: str) -> bytes:
     return b" ".join(m[0].encode() for m in WORD.finditer(text)).lower()
 
 
+def _walk_bits(steps: int, seed: int) -> np.ndarray:
+    """Does a walk move on? By step and symbol."""
+    return (mixed(np.arange(256 * steps, dtype=np.uint64) + np.uint64(seed << 40)) & np.uint64(1)).astype(np.int64)
+
+
 def cgk(texts: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.ndarray:
     """The walk's output for each row of padded ``texts``: ``steps`` symbols, 0 past the end."""
     place = np.zeros(len(texts), np.int64)
     out = np.zeros((steps, len(texts)), np.uint8)
     rows = np.arange(len(texts))
-    bits = (mixed(np.arange(256 * steps, dtype=np.uint64) + np.uint64(seed << 40)) & np.uint64(1)).astype(np.int64)
-    bits = bits.reshape(steps, 256)
+    bits = _walk_bits(steps, seed).reshape(steps, 256)
     wide = np.column_stack([texts, np.zeros(len(texts), np.uint8)])
     for step in range(steps):
         symbol = wide[rows, np.minimum(place, lengths)]
@@ -77,7 +87,7 @@ def cgk(texts: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.nda
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(t) for t in texts], np.int64)
     width = int(lengths.max()) if len(lengths) else 0
-    flat = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8)
+    flat = np.frombuffer(bytearray().join(t.ljust(width, b"\0") for t in texts), np.uint8) if width else np.empty(0, np.uint8)
     return flat.reshape(len(texts), width), lengths
 
 
@@ -85,7 +95,7 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Item:
     item_id: int
     text: bytes
-    anchors: tuple[tuple[int, int, int], ...]  # (hash, first byte, byte after) of words in the text
+    anchors: tuple[tuple[int, int, int], ...]  # (hash, first byte, byte after) of words in the text; none: by pieces
 
     def ray(self, start: int, end: int) -> tuple[bool, bytes]:
         """Is the farther end ahead of an anchor? What is read from the anchor to there."""
@@ -94,47 +104,76 @@ class Item:
         return False, self.text[:end][::-1]
 
 
-def sampling(items: list[Item], max_edits: float = MAX_EDITS, recall: float = RECALL, bits: int = BITS) -> list[tuple[int, tuple[float, ...]]]:
+def edited(text: bytes, edits: int, random: np.random.Generator) -> tuple[bytes, list[int]]:
+    """A copy with so many random edits, and of each byte its place in ``text`` (-1: new)."""
+    letters = np.frombuffer(b"etaoinshrdlu ", np.uint8)
+    changed = [(c, k) for k, c in enumerate(text)]
+    for _ in range(edits):
+        k, kind = int(random.integers(len(changed))), random.integers(3)
+        if kind == 0:
+            changed[k] = (int(random.choice(letters)), -1)
+        elif kind == 1 and len(changed) > 1:
+            del changed[k]
+        else:
+            changed.insert(k, (int(random.choice(letters)), -1))
+    return bytes(c for c, _ in changed), [k for _, k in changed]
+
+
+def _rays_left(item: Item, copy: bytes, origin: list[int]) -> Iterator[tuple[bytes, bytes]]:
+    """The item's ray and the copy's, of each anchor that the copy still has as a word."""
+    at = {place: k for k, place in enumerate(origin)}
+    for _, start, end in item.anchors:
+        a = at.get(start, -1)
+        b = a + end - start
+        if a < 0 or origin[a:b] != list(range(start, end)):
+            continue
+        if (a and copy[a - 1] != 32) or (b < len(copy) and copy[b] != 32):
+            continue
+        ahead, ray = item.ray(start, end)
+        yield ray, copy[a:] if ahead else copy[:b][::-1]
+
+
+def sampling(
+    items: list[Item], max_edits: float = MAX_EDITS, recall: float = RECALL, bits: int = BITS
+) -> list[tuple[int, tuple[float, ...]]] | None:
     """(walk, sampled places as shares of the walk) for as many repeats as recall asks.
 
-    Rays of up to 64 items are edited at the limit, behind their anchor, their
-    walks compared with the originals', and repeats added until ``recall`` of
-    the copies agree in one.
+    Copies of up to 64 items are edited at the limit, anchors too; the walks from
+    the anchors left are compared with the items' own, and repeats added until
+    ``recall`` of the copies agree in one. Where MAX_REPEATS are too few, fewer
+    bits are sampled; None if that is not enough either.
     """
     random = np.random.default_rng(7)
-    some = [i.ray(*i.anchors[0][1:])[1] for i in items[:: max(1, len(items) // 64)]][:64]
-    letters = np.frombuffer(b"etaoinshrdlu ", np.uint8)
-    copies, originals = [], []
-    for text in some * max(1, 128 // max(1, len(some))):
-        changed = list(text)
-        for _ in range(int(max_edits * len(text))):
-            k, kind = int(random.integers(min(4, len(changed) - 1), len(changed))), random.integers(3)
-            if kind == 0:
-                changed[k] = int(random.choice(letters))
-            elif kind == 1 and len(changed) > 1:
-                del changed[k]
-            else:
-                changed.insert(k, int(random.choice(letters)))
-        originals.append(text)
-        copies.append(bytes(changed))
-    steps = int(max(len(t) for t in originals) * REACH) + 1
-    agree = []
+    some = items[:: max(1, len(items) // 64)][:64]
+    mine, theirs, whose = [], [], []
+    n_copies = len(some) * max(1, COPIES // max(1, len(some)))
+    for k in range(n_copies):
+        item = some[k % len(some)]
+        for ray, other in _rays_left(item, *edited(item.text, int(max_edits * len(item.text)), random)):
+            mine.append(ray)
+            theirs.append(other)
+            whose.append(k)
+    if not mine:
+        return None if some else []
+    whose, n = np.array(whose), np.array([len(t) for t in mine])
+    steps, rows = int(n.max() * REACH) + 1, np.arange(len(mine))
+    same = []
     for walk in range(WALKS):
-        a, b = cgk(*padded(originals), steps, walk), cgk(*padded(copies), steps, walk)
-        agree.append((a, b, np.array([len(t) for t in originals])))
-    found, out = np.zeros(len(originals), bool), []
-    while found.mean() < recall and len(out) < MAX_REPEATS:
-        walk = len(out) % WALKS
-        # not too near to the anchor, where all agree, nor at the end, where few do
-        places = tuple(float(x) for x in np.sort(NEAR + random.random(bits) * (REACH - NEAR)))
-        a, b, n = agree[walk]
-        hit = np.ones(len(originals), bool)
-        for p in places:
-            at = (p * n).astype(np.int64)
-            hit &= a[at, np.arange(len(n))] == b[at, np.arange(len(n))]
-        found |= hit
-        out.append((walk, places))
-    return out
+        same.append(cgk(*padded(mine), steps, walk) == cgk(*padded(theirs), steps, walk))
+    for some_bits in range(bits, 0, -1):
+        found, out = np.zeros(n_copies, bool), []
+        while found.mean() < recall and len(out) < MAX_REPEATS:
+            walk = len(out) % WALKS
+            # not too near to the anchor, where all agree, nor at the end, where few do
+            places = tuple(float(x) for x in np.sort(NEAR + random.random(some_bits) * (REACH - NEAR)))
+            hit = np.ones(len(mine), bool)
+            for p in places:
+                hit &= same[walk][(p * n).astype(np.int64), rows]
+            found[whose[hit]] = True
+            out.append((walk, places))
+        if found.mean() >= recall:
+            return out
+    return None
 
 
 def edit_match(pattern: bytes, text: bytes, limit: int) -> tuple[int, int, int] | None:
@@ -179,15 +218,38 @@ def _closest_end(pattern: bytes, text: bytes, limit: int, anchored: bool = False
     return best, end
 
 
-def _anchors(words: list[tuple[int, int, int]], counts: dict[int, int], rare: float) -> tuple[tuple[int, int, int], ...]:
-    """Rare words spread over an item, or else its rarest.
+def _anchors(
+    words: list[tuple[int, int, int]], counts: dict[int, int], rare: float, size: int, edits: int, lost: float
+) -> tuple[tuple[int, int, int], ...]:
+    """Words of an item of ``size`` bytes, until at most ``lost`` of its copies with so many edits lack them all.
 
-    The very rarest may be those that every edited copy has lost.
+    None if its words are too few. Words that the corpus has not can lead
+    nowhere. Rarer words come first by the size of their counts only: among many
+    verbatim copies and an edited one, the least count is of the words that the
+    edited copy has lost.
     """
-    good = [w for w in words if counts.get(w[0], 0) <= rare]
-    if len(good) >= ANCHORS:
-        return tuple(good[i * (len(good) - 1) // (ANCHORS - 1)] for i in range(ANCHORS))
-    return tuple(sorted(words, key=lambda w: (counts.get(w[0], 0), w[1]))[:ANCHORS])
+    ordered = []
+    for h, start, end in words:
+        if n := counts.get(h, 0):
+            luck = int(mixed(np.array([h ^ start], np.uint64))[0]) / 2**64
+            # bounds of size that are each word's own, so that no step separates counts that are nearly equal
+            ordered.append((math.floor(math.log2(max(n, rare)) + luck), luck * 997 % 1, h, start, end))
+    if not edits:
+        return tuple(w[2:] for w in sorted(ordered)[:1])
+    chosen, none_left = [], 1.0
+    for *_, h, start, end in sorted(ordered):
+        chosen.append((h, start, end))
+        # an edit spoils a word inside it and at the separators around it
+        none_left *= 1 - max(0.0, 1 - (end - start + 2) / size) ** edits
+        if none_left <= lost:
+            return tuple(chosen)
+    return ()
+
+
+def _pieces(size: int, edits: int) -> tuple[int, list[int]]:
+    """Bytes and places of one disjoint piece more than edits, so that one is whole in every copy."""
+    step = size // (edits + 1)
+    return min(PIECE, step), [k * step for k in range(edits + 1)] if step else []
 
 
 def _anchor_counts(wanted: np.ndarray):
@@ -247,6 +309,14 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
+def _codes(flat: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every ``size`` bytes in a row, up to eight."""
+    codes = np.zeros(max(0, len(flat) - size + 1), np.uint64)
+    for k in range(size):
+        codes = codes << np.uint64(8) | flat[k : k + len(codes)]
+    return mixed(codes)
+
+
 class _Search:
     """Finds a block of items in a task's texts."""
 
@@ -257,19 +327,18 @@ class _Search:
         self._prepare()
         for batch in batches:
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            held, n = [], 0
             for s in self.cut.slices(batch.column("text")):
-                windows = self._windows(s)
-                held.append(windows)
-                n += len(windows[1])
-                if n >= WINDOWS:
-                    self._check(held, best)
-                    held, n = [], 0
-            self._check(held, best)
+                flat, windows = self._windows(s, best)
+                for at in range(0, len(windows), WINDOWS):
+                    self._check(flat, windows[at : at + WINDOWS], best)
             yield self._found(best, batch)
 
     def _prepare(self) -> None:
         self.cut = WordSlices(PUNCTUATION_TOO)
+        self.sizes = np.array([len(i.text) for i in self.items], np.int64)
+        self.limits = (self.max_edits * self.sizes).astype(np.int64)
+        self.grams = [[i.text[k : k + GRAM] for k in range(len(i.text) - GRAM + 1)] for i in self.items]
+        self.pieces = self._piece_tables()
         pairs = sorted((h, k, a, b) for k, item in enumerate(self.items) for h, a, b in item.anchors)
         hashes = np.array([h for h, *_ in pairs], np.uint64)
         # for each anchor word the run of pairs (item, place) that it stands for
@@ -281,16 +350,52 @@ class _Search:
         rays = [self.items[k].ray(a, b) for _, k, a, b in pairs]
         self.ahead = np.array([ahead for ahead, _ in rays], bool)
         texts, self.reach = padded([text for _, text in rays])
-        self.sizes = np.array([len(i.text) for i in self.items], np.int64)
-        self.limits = (self.max_edits * self.sizes).astype(np.int64)
-        self.grams = [[i.text[k : k + GRAM] for k in range(len(i.text) - GRAM + 1)] for i in self.items]
-        self.steps = int(self.reach.max() * REACH) + 1
-        self.own = {w: cgk(texts, self.reach, self.steps, w) for w in {w for w, _ in self.repeats}}
-
-    def _windows(self, s):
-        """The plain bytes of a slice, and (document, its low and high byte, pair, anchor's place) of windows."""
+        self.steps = int(self.reach.max(initial=0) * REACH) + 1
+        self.walks = []
+        for walk in {w for w, _ in self.repeats}:
+            asked = [places for w, places in self.repeats if w == walk]
+            # (share of the ray, repeat, is it the repeat's last place?) along the walk
+            stops = sorted((p, k, p == max(places)) for k, places in enumerate(asked) for p in places)
+            own = cgk(texts, self.reach, self.steps, walk)
+            self.walks.append((own, _walk_bits(self.steps, walk), stops, len(asked)))
+
+    def _piece_tables(self):
+        """By piece length: the pieces' hashes and for each its run of (item, place)."""
+        found = defaultdict(list)
+        for k, item in enumerate(self.items):
+            if not item.anchors:
+                size, places = _pieces(len(item.text), int(self.limits[k]))
+                for at in places:
+                    codes = _codes(np.frombuffer(item.text[at : at + size], np.uint8), size)
+                    found[size].append((int(codes[0]), k, at))
+        tables = []
+        for size, rows in sorted(found.items()):
+            rows.sort()
+            wanted, first = np.unique(np.array([h for h, *_ in rows], np.uint64), return_index=True)
+            tables.append((size, _Members(wanted), np.append(first, len(rows)), [(k, at) for _, k, at in rows]))
+        return tables
+
+    def _by_pieces(self, s, flat, where, best) -> None:
+        """Checks around every piece that occurs in a slice."""
+        begins = where[s.offsets]
+        for size, members, first, rows in self.pieces:
+            place, which = members.of(_codes(flat, size))
+            doc = np.searchsorted(begins, place, "right") - 1
+            for p, piece, d in zip(place.tolist(), which.tolist(), doc.tolist(), strict=True):
+                low, high = int(begins[d]), int(begins[d + 1])
+                if p + size > high:
+                    continue
+                for k, at in rows[first[piece] : first[piece + 1]]:
+                    if high - low >= self.sizes[k] - self.limits[k]:
+                        self._verify(flat, d + s.first, low, high, k, p - at, best)
+
+    def _windows(self, s, best):
+        """The plain bytes of a slice, and (document, its low and high byte, pair, anchor's place) of windows.
+
+        Items that go by pieces are checked at once.
+        """
         word, which = self.members.of(s.hashes)
-        if not len(word):
+        if not len(word) and not self.pieces:
             return np.empty(0, np.uint8), np.empty((0, 6), np.int64)
         inside = self.cut.inside[s.data]
         space = np.zeros(len(s.data), bool)
@@ -300,6 +405,8 @@ class _Search:
         keep = inside | space
         flat = np.where(space, np.uint8(32), self.cut.lower[s.data])[keep]
         where = np.concatenate(([0], np.cumsum(keep)))
+        if self.pieces:
+            self._by_pieces(s, flat, where, best)
         count = self.first[which + 1] - self.first[which]
         pair = np.arange(count.sum()) + np.repeat(self.first[which] - (np.cumsum(count) - count), count)
         word = np.repeat(word, count)
@@ -311,37 +418,43 @@ class _Search:
         columns = (doc + s.first, low, high, pair, where[s.start[word]], where[s.end[word] - 1] + 1)
         return flat, np.column_stack(columns)[fits]
 
-    def _check(self, held, best) -> None:
-        held = [(flat, w) for flat, w in held if len(w)]
-        if not held:
-            return
-        width = int(self.steps)
-        blocks, lengths = [], []
-        for flat, (_, low, high, pair, start, end) in ((flat, w.T) for flat, w in held):
-            ahead = self.ahead[pair]
-            n = np.minimum(np.minimum(self.reach[pair], np.where(ahead, high - start, end - low)), width)
-            step = np.arange(width)
-            at = np.where(ahead[:, None], start[:, None] + step, end[:, None] - 1 - step)
-            at = np.clip(at, 0, len(flat) - 1)
-            blocks.append(np.where(step < n[:, None], flat[at], np.uint8(0)))
-            lengths.append(n)
-        windows, lengths = np.concatenate(blocks), np.concatenate(lengths)
-        pair = np.concatenate([w[:, 3] for _, w in held])
-        picked, rows = np.zeros(len(pair), bool), np.arange(len(pair))
-        for walk, own in self.own.items():
-            mine = cgk(windows, lengths, self.steps, walk)
-            for w, places in self.repeats:
-                if w == walk:
-                    same = np.ones(len(pair), bool)
-                    for p in places:
-                        k = (p * self.reach[pair]).astype(np.int64)
-                        same &= mine[k, rows] == own[k, pair]
-                    picked |= same
-        at = 0
-        for flat, w in held:
-            for doc, low, high, pair, start, _ in w[picked[at : at + len(w)]].tolist():
-                self._verify(flat, doc, low, high, int(self.item[pair]), start - int(self.at[pair]), best)
-            at += len(w)
+    def _check(self, flat, windows, best) -> None:
+        picked = self._agreeing(flat, windows)
+        for doc, low, high, pair, start, _ in windows[picked].tolist():
+            self._verify(flat, doc, low, high, int(self.item[pair]), start - int(self.at[pair]), best)
+
+    def _agreeing(self, flat, windows) -> np.ndarray:
+        """Which windows agree with their item in all places of a repeat?
+
+        A window is walked only as long as some repeat has agreed so far.
+        """
+        _, low, high, pair, start, end = windows.T
+        ahead, reach = self.ahead[pair], self.reach[pair]
+        base, sign = np.where(ahead, start, end - 1), np.where(ahead, 1, -1)
+        last = np.minimum(reach, np.where(ahead, high - start, end - low)) - 1
+        picked = np.zeros(len(pair), bool)
+        for own, bits, stops, n_repeats in self.walks:
+            rows = np.flatnonzero(~picked)
+            agreed = np.ones((n_repeats, len(rows)), bool)
+            place, step = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            for p, k, is_last in stops:
+                stop = (p * reach[rows]).astype(np.int64)
+                order = np.argsort(step - stop, kind="stable")  # those with most steps to go first
+                rows, agreed, place, step, stop = rows[order], agreed[:, order], place[order], step[order], stop[order]
+                to_go, b, d, e = stop - step, base[rows], sign[rows], last[rows]
+                for done in range(int(to_go.max(initial=0))):
+                    n = int(np.searchsorted(-to_go, -done, "left"))
+                    now = place[:n]
+                    symbol = np.where(now <= e[:n], flat[b[:n] + d[:n] * np.minimum(now, e[:n])], np.uint8(0))
+                    now += bits[(step[:n] + done) * 256 + symbol]
+                symbol = np.where(place <= e, flat[b + d * np.minimum(place, e)], np.uint8(0))
+                agreed[k] &= symbol == own[stop, pair[rows]]
+                if is_last:
+                    picked[rows[agreed[k]]] = True
+                    agreed[k] = False
+                some = agreed.any(axis=0) & ~picked[rows]
+                rows, agreed, place, step = rows[some], agreed[:, some], place[some], stop[some]
+        return picked
 
     def _verify(self, flat, doc, low, high, k, start, best) -> None:
         """Exact edit distance around a window; keeps the best place of each document and item."""
@@ -401,10 +514,17 @@ def benchmark_matches(
         counts = rows.select("text").mapInArrow(_anchor_counts(wanted), "h long, n long")
         counts = {h % (1 << 64): n for h, n in counts.groupBy("h").agg(F.sum("n")).collect()}
         total = counts.pop(TOTAL, 0)
-        items = []
+        items, rare, lost = [], max(RARE_LEAST, RARE * total), ANCHORS_LOST * (1 - recall)
         for k, (item_id, text) in enumerate(block):
-            items.append(Item(item_id, text, _anchors(words[k], counts, max(RARE_LEAST, RARE * total))))
-        repeats = sampling(items, max_edits, recall)
+            edits = int(max_edits * len(text))
+            anchors = _anchors(words[k], counts, rare, len(text), edits, lost)
+            if not anchors and not edits:
+                continue  # nowhere in the corpus
+            items.append(Item(item_id, text, anchors))
+        repeats = sampling([i for i in items if i.anchors], max_edits, recall)
+        if repeats is None:
+            # no sampling is good enough: all by pieces
+            items, repeats = [Item(i.item_id, i.text, ()) for i in items], []
         parts.append(rows.mapInArrow(_Search(items, repeats, max_edits), SCHEMA))
     if not parts:
         return rows.sparkSession.createDataFrame([], SCHEMA)
