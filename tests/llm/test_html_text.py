@@ -28,6 +28,26 @@ def test_without_article():
     assert ht.main_text(PAGE % body) == "Head\nLong enough, and more of it. Yes.\nAgain, a long one; with marks."
 
 
+def test_a_long_block_is_no_container():
+    long, short = "Long, and more. " * 600, "Short, and less. " * 30
+    body = f"<div><h1>Title</h1><p>{long}</p><p>{short}</p></div>"
+    assert ht.main_text(PAGE % body) == "\n".join(["Title", long.strip(), short.strip()])
+    body = f"<div><p>{long}</p></div><section><h2>Part</h2><p>{short}</p></section>"
+    assert ht.main_text(PAGE % body) == "\n".join([long.strip(), "Part", short.strip()])
+    body = f"<h1>Title</h1><div><span>{long}</span></div>"
+    assert ht.main_text(PAGE % body) == "Title\n" + long.strip()
+
+
+def test_short_articles_and_text_around_them_are_kept():
+    long, short = "Long, and more. " * 600, "Short, and less. " * 3
+    body = f"<article><h2>A</h2><p>{long}</p></article><article><h2>B</h2><p>{short}</p></article>"
+    assert ht.main_text(PAGE % body) == "\n".join(["A", long.strip(), "B", short.strip()])
+    body = f"<main><h1>Head</h1><p>{short}</p><article><p>{long}</p></article></main>"
+    assert ht.main_text(PAGE % body) == "\n".join(["Head", short.strip(), long.strip()])
+    body = f"<article><p>{long}</p></article><div><p>{long}</p></div>"
+    assert ht.main_text(PAGE % body) == "\n".join([long.strip(), long.strip()])
+
+
 def test_odd_markup():
     assert ht.main_text(None) == ht.main_text("") == ht.main_text("<p>  </p>") == ""
     assert ht.main_text("plain text, no tags.") == "plain text, no tags."

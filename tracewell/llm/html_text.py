@@ -4,10 +4,12 @@ A page is a sequence of text nodes, each with the path of open tags from the
 root. Per path, text length and punctuation are summed and divided by the number
 of nodes; both ratios are smoothed over paths with the same parent, fused into
 one score, and compared with a threshold from the page itself. The nodes of the
-paths above it show where the content is: the innermost container that holds
-them. All blocks of that container are kept, except what is never content by its
-tag, role, class or id (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments).
+paths above it show where the content is: every ``article`` and ``main`` with some
+of them if these hold half of the content, or else the innermost sectioning tag
+around all of them that has no text of its own. All blocks of those containers
+are kept, and content paths outside, except what is never content by its tag,
+role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments).
 
 White space in a block becomes one space, character references are decoded,
 blocks are joined by a newline in page order.
@@ -48,6 +50,8 @@ NEVER_NAMES = re.compile(
     r"|respond|replies|disqus|widgets?|toolbar|pagination|pager|skip|login|signup)($|[-_ ])",
     re.I,
 )
+#: Tags that may be the container of a page without articles.
+SECTIONS = frozenset("article body center div html main section td".split())
 CLOSES_P = BLOCKS - {"body", "html", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -175,7 +179,8 @@ def main_text(page: str | None) -> str:
     total = sum(weight[x] for x in scores)
     mean = sum(scores[x] * weight[x] for x in scores) / total
     spread = math.sqrt(sum(weight[x] * (scores[x] - mean) ** 2 for x in scores) / total)
-    content = {x for x in scores if scores[x] >= mean - spread}
+    # where one path has nearly all text there is no spread; prose of a few lines is content beside it
+    content = {x for x in scores if scores[x] >= min(mean - spread, mean / 3)}
     keep = _containers(nodes, content)
     lines, block_now = [], None
     for block, stack, words in nodes:
@@ -191,41 +196,24 @@ def main_text(page: str | None) -> str:
 
 def _containers(nodes, content: set[str]):
     """A test of open tags: inside what holds the content?"""
-    held, below = defaultdict(int), defaultdict(int)
+    held, inside, total = defaultdict(int), 0, 0
+    spine, holders = None, set()
     for _, stack, words in nodes:
-        size = len(words.strip())
-        if size and stack[-1].path in content:
-            for tag in stack:
-                below[tag.number] += size
-                if tag.tag in ("article", "main"):
-                    held[tag.number] += size
-    total = below[0]
-    best = max(held.values(), default=0)
-    if best and 2 * sum(held.values()) >= total:
-        # articles as large as a fair part of the largest; an article list keeps all of them
-        chosen = {k for k, v in held.items() if 10 * v >= best}
-        inner = {k for _, stack, _ in nodes for k in _outer_to_drop(stack, chosen)}
-        chosen -= inner
-        return lambda stack: any(tag.number in chosen for tag in stack)
-    # no article: the innermost tag with nine tenths of the content, and its content paths
-    deepest, number = 0, 0
-    for _, stack, _ in nodes:
-        for depth, tag in enumerate(stack):
-            if 10 * below[tag.number] >= 9 * total and depth > deepest:
-                deepest, number = depth, tag.number
-    if number:
-        return lambda stack: any(tag.number == number for tag in stack)
-    return lambda stack: stack[-1].path in content
-
-
-def _outer_to_drop(stack, chosen):
-    """``main`` around a chosen ``article`` gives way to it."""
-    inside = False
-    for tag in reversed(stack):
-        if tag.number in chosen:
-            if inside and tag.tag == "main":
-                yield tag.number
-            inside = inside or tag.tag == "article"
+        if not (size := len(words.strip())):
+            continue
+        holders.add(next((tag.number for tag in reversed(stack) if tag.tag in BLOCKS), 0))
+        if stack[-1].path in content:
+            total += size
+            around = {tag.number for tag in stack if tag.tag in ("article", "main")}
+            inside += size if around else 0
+            for number in around:
+                held[number] += size
+            shared = stack if spine is None else [a for a, b in zip(spine, stack, strict=False) if a is b]
+            spine = shared
+    if held and 2 * inside >= total:
+        return lambda stack: stack[-1].path in content or any(tag.number in held for tag in stack)
+    number = next((tag.number for tag in reversed(spine) if tag.tag in SECTIONS and tag.number not in holders), 0)
+    return lambda stack: any(tag.number == number for tag in stack)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
