@@ -68,5 +68,26 @@ def test_disclosing_terms(spark):
     assert clean[None] == "x [EMAIL] y" and len(clean) == len(rows)
 
 
+def test_any_word_may_be_a_term(spark):
+    r = random.Random(3)
+    fill = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+
+    def words(k):
+        return " ".join(r.choice(fill) for _ in range(k))
+
+    # a customer number, a user name, a plate and a name of two letters; long words between
+    terms = ["4711", "ann77", "B2", "Xu"]
+    rows = [(i, f"{words(9)} {terms[i % 4]} {words(2)} u{i % 4}x@x.org {words(9)}") for i in range(40)]
+    rows += [(40 + i, f"{words(9)} Farov {'-' * 70} {words(3)} {'z' * 180} far@x.org {words(9)}") for i in range(9)]
+    rows += [(100 + i, words(30)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {row.doc_id: row for row in pii.personal_data(docs).collect()}
+    for i in range(49):
+        found = {rows[i][1][d.start : d.end] for d in out[i].disclosed}
+        assert found == ({terms[i % 4]} if i < 40 else {"Farov", "z" * 180})
+    clean = {row.doc_id: row.text for row in pii.sanitised(docs).collect()}
+    assert not any(t in clean[i] for i in range(40) for t in [f" {terms[i % 4]} "])
+
+
 def test_empty_table(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []

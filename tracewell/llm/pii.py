@@ -6,7 +6,9 @@ and an entity e, the disclosure is PMI(t; e) / IC(e), which is 1 where t occurs
 with e only and falls the more t occurs elsewhere. Terms that reach
 ``GENERALISE`` are generalised, those that reach ``REMOVE`` are removed. A term
 must stand by the entity in ``SUPPORT`` different contexts, so that copies of
-one passage prove nothing. All counts are over all documents.
+one passage prove nothing. All counts are over all documents. Every word may be
+a term, of any length, with digits or without. Only the ``NEAR`` words on either
+side of an entity stand by it: what is always further off is not found.
 
 Cases: null text is empty; repeated rows are handled each for itself; a text of
 any length is read once, in time that grows with its length; columns other than
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
-LONGEST = 200  # characters on either side in which near words are looked for
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 CONTEXTS = "array<struct<entity: string, term: string, context: long, start: int, end: int>>"
@@ -90,25 +92,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """The words around each entity that are part of none, with their places."""
     out = []
+    terms = [m.span() for m in TERM.finditer(text)]
+    starts, ends = [a for a, _ in terms], [b for _, b in terms]
+    taken = _taken(terms, spans)
     for kind, start, end in spans:
         if start == 0 and end == len(text):
             continue
-        low, high = max(0, start - LONGEST), min(len(text), end + LONGEST)
-        before = [m.span() for m in TERM.finditer(text, low, start)][-NEAR:]
-        after = [m.span() for m in TERM.finditer(text, end, high)][:NEAR]
-        # words cut by the window's edge don't count
-        places = [
-            (a, b)
-            for a, b in before + after
-            if (a > low or low == 0) and (b < high or high == len(text))
-            and not any(a < y and x < b for _, x, y in spans)
-        ]
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        near = [*range(max(0, before - NEAR), before), *range(after, min(len(terms), after + NEAR))]
+        places = [terms[k] for k in near if not taken[k]]
         words = [text[a:b].translate(ASCII_LOWER) for a, b in places]
         context = int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "big", signed=True)
         entity = f"{kind}:{text[start:end].translate(ASCII_LOWER)}"
         for (a, b), word in zip(places, words, strict=True):
-            if len(word) > 2 and not DIGIT.search(word):
-                out.append({"entity": entity, "term": word, "context": context, "start": a, "end": b})
+            out.append({"entity": entity, "term": word, "context": context, "start": a, "end": b})
+    return out
+
+
+def _taken(terms: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[bool]:
+    """Which words are part of an entity?"""
+    out, k, reach = [], 0, 0
+    spans = sorted((x, y) for _, x, y in spans)
+    for a, b in terms:
+        while k < len(spans) and spans[k][0] < b:
+            reach = max(reach, spans[k][1])
+            k += 1
+        out.append(a < reach)
     return out
 
 
