@@ -25,10 +25,15 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each component of similar documents."""
-    found = shingle_join.similar_components(docs)
+    """Keep the smallest doc_id of each component of similar documents.
+
+    Documents without doc_id go by a hash of their text, after those with one (below 2^62).
+    """
+    by_text = F.expr("(xxhash64(coalesce(text, '')) & 4611686018427387903L) | 4611686018427387904L")
+    key = F.coalesce(F.col("doc_id").cast("long"), by_text)
+    found = shingle_join.similar_components(docs.select(key.alias("doc_id"), "text"))
     drop = landed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "drop")
-    return docs.join(drop, docs["doc_id"] == drop["__drop"], "left_anti")
+    return docs.join(drop, key == drop["__drop"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,24 @@ def test_stages(spark, sf):
     assert out == {r.doc_id for r in kept["source_mixing"].collect()}
 
 
+def test_decisions_reach_documents_without_id(spark, sf):
+    text = " ".join(f"word{k}" for k in range(200))
+    alone = " ".join(f"other{k}" for k in range(200))
+    rows = [(5, text), (None, text + " more"), (None, alone), (None, alone + " more"), (None, "short"), (6, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()]
+    # of near copies without doc_id one is kept
+    assert sum(t in (alone, alone + " more") for _, t in left) == 1
+    rest = [(i, t or "") for i, t in left if not (t or "").startswith("other")]
+    assert sorted(rest, key=str) == sorted([(5, text), (None, "short"), (6, ""), (None, "")], key=str)
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, f"before {item} after"), (None, "clean"), (1, f"again {item}"), (2, "clean too"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {tuple(r) for r in corpus_pipeline.decontamination(spark, docs, sf).collect()}
+    assert left == {(None, "clean"), (2, "clean too"), (None, None)}
+
+
 def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:

@@ -535,6 +535,8 @@ def benchmark_matches(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without those in which an item was found."""
-    found = landed(benchmark_matches(docs, benchmark, **settings).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"] == found["__leak"], "left_anti")
+    """``docs`` without those in which an item was found. Rows are told by a hash of their text, so doc_id may be null."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = benchmark_matches(docs.select(text.alias("doc_id"), "text"), benchmark, **settings)
+    found = landed(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(found, text == found["__leak"], "left_anti")
