@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from tracewell.llm import (
     decontaminate,
     exact_dedup,
+    filter_audit,
     html_text,
     licenses,
+    merkle,
     mixing,
     pii,
     quality,
     shingle_join,
     suffix_dedup,
+    token_files,
     warc,
 )
 from tracewell.session import work_path
@@ -87,6 +90,37 @@ def op10_personal_data(spark, sf):
     )
 
 
+def op11_filter_audit(spark, sf):
+    return filter_audit.filter_interactions(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_merkle_manifest(spark, sf):
+    struck = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    claimed = F.when(struck, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf, "documents"), claimed)
+
+    def hexed(x):
+        return F.lower(F.hex(x))
+
+    proof = F.sha2(hexed(merkle.proof_bytes(F.col("path"))), 256)
+    found = found.withColumn("folded_root", merkle.folded(F.col("claimed_leaf"), F.col("path")))
+    return found.select(
+        "doc_id",
+        *(hexed(x).alias(x) for x in ("leaf", "subroot", "root")),
+        proof.alias("proof_sha256"),
+        hexed("folded_root").alias("folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_token_files(spark, sf):
+    import public_tokenizers
+
+    path = work_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.ids_crc32(token_files.read_documents(spark, path))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,5 +134,8 @@ QUERIES = {
         op8_license_scan,
         op9_benchmark_decontamination,
         op10_personal_data,
+        op11_filter_audit,
+        op12_merkle_manifest,
+        op13_token_files,
     )
 }
