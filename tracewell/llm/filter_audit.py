@@ -46,6 +46,7 @@ DISTINCT_SHARE = 50  # least distinct words in 100
 CAPITAL_SHARE = 3  # most capitals in 100 characters
 SYMBOLS = "#$%&*|"
 FILTERS = "ABCDE"
+BLOCK_BYTES = 8 << 20  # text of a block: a larger one repeats fewer words
 
 _BLOCK = pa.schema(
     [
@@ -110,7 +111,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     byte = np.arange(256)
     capital, leads = (byte >= 65) & (byte <= 90), (byte & 0xC0) != 0x80
     for batch in batches:
-        for s in byte_slices(batch.column("text")):
+        for s in byte_slices(batch.column("text"), BLOCK_BYTES):
             own = batch.slice(s.first, s.n)
             words, indptr, indices, counts = local_terms(s.data, s.offsets)
             per_text = (
@@ -148,11 +149,10 @@ def document_term_shards(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = landed(blocks, "term-blocks")
     words = blocks.select("block", F.posexplode("words").alias("place", "word"))
     dictionary = numbered_rows(words.select("word").distinct(), "word", name="term_id")
-    dictionary = landed(dictionary.withColumn("term_id", F.col("term_id") - 1), "dictionary")
+    dictionary = dictionary.withColumn("term_id", F.col("term_id") - 1)
     numbers = words.join(dictionary, "word").groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("place", "term_id"))).alias("terms")
+        F.collect_list(F.struct("place", "term_id")).alias("terms")
     )
-    numbers = numbers.select("block", F.col("terms.term_id").alias("terms"))
     shards = blocks.drop("words").join(numbers, "block", "left")
     kinds = ", ".join(x for x in _BLOCK_SQL.split(", ") if not x.startswith(("indices", "words")))
     return dictionary, shards.mapInArrow(_renumbered, f"{kinds}, indices array<long>")
@@ -163,7 +163,9 @@ def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             block = batch.slice(k, 1)
-            terms = block.column("terms").flatten().to_numpy(zero_copy_only=False)
+            place, number = (x.to_numpy(zero_copy_only=False) for x in block.column("terms").flatten().flatten())
+            terms = np.empty(len(place), np.int64)
+            terms[place] = number
             local = block.column("indices").flatten().to_numpy(zero_copy_only=False)
             indices = pa.ListArray.from_arrays(pa.array([0, len(local)], pa.int32()), pa.array(terms[local], pa.int64()))
             out = block.drop_columns(["indices", "terms"])

@@ -80,8 +80,8 @@ class WordSlices:
         return Slice(data, offsets, piece.first, start, end, hashes, word_of)
 
 
-def byte_slices(column: pa.Array) -> Iterator[Slice]:
-    """The column's texts, null as empty, without words."""
+def byte_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
+    """The column's texts, null as empty, without words, in slices of ``most`` bytes or one text."""
     if not len(column):
         return
     column = column.cast(pa.large_string()).fill_null("")
@@ -90,7 +90,7 @@ def byte_slices(column: pa.Array) -> Iterator[Slice]:
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     first = 0
     while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
         last = min(max(last, first + 1), len(column))
         yield Slice(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first)
         first = last
