@@ -7,10 +7,11 @@ and removes, what an earlier step had removed already, and what it costs.
 
 1. Blocks of documents are cut into words; a block numbers its own words and
    holds its counts as compressed sparse rows (``indptr``, ``indices``, ``data``).
-2. The words of all blocks are numbered once, in byte order, over the whole
-   corpus: the global dictionary.
+2. The words of all blocks are dealt by hash into ranges, numbered in each and
+   then throughout: the global dictionary. A task holds one range's distinct words.
 3. Each block gets the global numbers of its words, which turns it into a shard
-   of the one document-term matrix. Words travel once per block, not per text.
+   of the one document-term matrix. Words travel once per block, not per text,
+   and packed: a row per block and range.
 4. A text's row sum is its number of words, its nonzero entries are its distinct
    words: they decide A and B. The other flags and labels are attached, and all
    is counted per part and set of failed filters, 32 sets at most a part.
@@ -34,11 +35,11 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import SPACES, byte_slices
-from tracewell.operators.ranking import numbered_rows
+from tracewell.llm.words import SPACES, byte_slices, mixed
 from tracewell.operators.sizes import landed
 
 MIN_WORDS = 200
@@ -48,9 +49,14 @@ SYMBOLS = "#$%&*|"
 FILTERS = "ABCDE"
 BLOCK_BYTES = 8 << 20  # text of a block: a larger one repeats fewer words
 
+RANGES = 4  # ranges of words per shuffle partition: one is numbered at a time
+
+# a block's texts and sparse rows (packed int32), or its words of one range, a line each
 _BLOCK = pa.schema(
     [
         ("block", pa.int64()),
+        ("r", pa.int32()),
+        ("words", pa.string()),
         ("doc_id", pa.list_(pa.int64())),
         ("part", pa.list_(pa.string())),
         ("digest", pa.list_(pa.binary())),
@@ -58,16 +64,16 @@ _BLOCK = pa.schema(
         ("points", pa.list_(pa.int64())),
         ("symbol", pa.list_(pa.bool_())),
         ("indptr", pa.list_(pa.int64())),
-        ("indices", pa.list_(pa.int32())),
-        ("data", pa.list_(pa.int32())),
-        ("words", pa.list_(pa.string())),
+        ("local", pa.binary()),
+        ("counts", pa.binary()),
     ]
 )
-_BLOCK_SQL = (
-    "block long, doc_id array<long>, part array<string>, digest array<binary>, capitals array<long>, "
-    "points array<long>, symbol array<boolean>, indptr array<long>, indices array<int>, data array<int>, "
-    "words array<string>"
+_TEXTS = (
+    "doc_id array<long>, part array<string>, digest array<binary>, capitals array<long>, points array<long>, "
+    "symbol array<boolean>, indptr array<long>"
 )
+_TEXT_COLUMNS = [field.split()[0] for field in _TEXTS.split(", ")]
+_BLOCK_SQL = f"block long, r int, words string, {_TEXTS}, local binary, counts binary"
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -101,75 +107,139 @@ def local_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nda
     counts = np.diff(np.concatenate((first, [len(cell)]))).astype(np.int32)
     row, indices = np.divmod(cell[first], np.int64(max(1, len(distinct))))
     indptr = np.searchsorted(row, np.arange(len(offsets)))
-    return distinct.cast(pa.large_string()), indptr, indices.astype(np.int32), counts
+    return distinct, indptr, indices.astype(np.int32), counts
+
+
+def _ranges_of(words: pa.Array, ranges: int) -> np.ndarray:
+    """The range of each word, by a hash of its bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    if not len(words):
+        return np.empty(0, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]].astype(np.uint64)
+    within = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    at = mixed(data + (within.astype(np.uint64) << np.uint64(8)))
+    return (mixed(np.add.reduceat(at, offsets[:-1])) % np.uint64(ranges)).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per slice of texts: who they are, their flags, their words as local sparse rows."""
+def _blocks(ranges: int):
+    """Slices of texts: who they are, their flags, their words in sparse rows; and the words by range."""
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
     byte = np.arange(256)
     capital, leads = (byte >= 65) & (byte <= 90), (byte & 0xC0) != 0x80
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for s in byte_slices(batch.column("text"), BLOCK_BYTES):
+                own = batch.slice(s.first, s.n)
+                words, indptr, indices, counts = local_terms(s.data, s.offsets)
+                # number the words range by range
+                r = _ranges_of(words, ranges)
+                order = np.argsort(r, kind="stable")
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                per_text = [own.column(c) for c in ("doc_id", "part", "digest")] + [
+                    pa.array(_sums(capital[s.data], s.offsets)),
+                    pa.array(_sums(leads[s.data], s.offsets)),
+                    pa.array(_sums(symbol[s.data], s.offsets) > 0),
+                    pa.array(indptr, pa.int64()),
+                ]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in per_text]
+                packed = [pa.array([x.tobytes()]) for x in (place[indices], counts)]
+                row = [pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())]
+                yield pa.RecordBatch.from_arrays([*row, *lists, *packed], schema=_BLOCK)
+                names, edges = words.take(pa.array(order)).to_pylist(), np.searchsorted(r[order], np.arange(ranges + 1))
+                some = np.flatnonzero(np.diff(edges)).tolist()
+                texts = [b"\n".join(names[edges[k] : edges[k + 1]]) for k in some]
+                row = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(texts).cast(pa.string())]
+                rest = [pa.nulls(len(some), field.type) for field in list(_BLOCK)[3:]]
+                yield pa.RecordBatch.from_arrays([*row, *rest], schema=_BLOCK)
+                block += 1
+
+    return run
+
+
+_NUMBERED = "block long, r int, words string, numbers binary"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers, from 0 in each range, of the words of blocks; then the range's words (block null).
+
+    Rows come sorted by range. Only a range's distinct words are held.
+    """
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.binary())
+    names = [field.split()[0] for field in _NUMBERED.split(", ")]
+    now, known = None, {}
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
+
     for batch in batches:
-        for s in byte_slices(batch.column("text"), BLOCK_BYTES):
-            own = batch.slice(s.first, s.n)
-            words, indptr, indices, counts = local_terms(s.data, s.offsets)
-            per_text = (
-                own.column("doc_id"),
-                own.column("part"),
-                own.column("digest"),
-                pa.array(_sums(capital[s.data], s.offsets)),
-                pa.array(_sums(leads[s.data], s.offsets)),
-                pa.array(_sums(symbol[s.data], s.offsets) > 0),
-                pa.array(indptr, pa.int64()),
-                pa.array(indices),
-                pa.array(counts),
-                words.cast(pa.string()),
-            )
-            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in per_text]
-            # the number that names a block is given when blocks are written
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *columns], schema=_BLOCK)
+        rows = []
+        for block, r, words in zip(*(batch.column(c).to_pylist() for c in ("block", "r", "words")), strict=True):
+            if r != now:
+                if known:
+                    rows.append((None, now, "\n".join(known), None))
+                now, known = r, {}
+            numbers = [known.setdefault(word, len(known)) for word in words.split("\n")]
+            rows.append((block, r, None, np.array(numbers, np.int32).tobytes()))
+        if rows:
+            yield out(rows)
+    if known:
+        yield out([(None, now, "\n".join(known), None)])
 
 
 def document_term_shards(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dictionary, shards) of the document-term matrix of ``docs``. Starts jobs.
 
-    ``dictionary``: word, term_id (from 0, in byte order of words). ``shards``:
-    per block the arrays doc_id, part, digest, capitals, points, symbol, one value
-    a text, and the sparse rows ``indptr``, ``indices`` (term ids), ``data`` (counts).
+    ``dictionary``: term_id (from 0, without gaps), word. ``shards``: per block
+    the arrays doc_id, part, digest, capitals, points, symbol, one value a text,
+    and the sparse rows ``indptr``, ``indices`` (term ids) and ``data`` (counts).
     """
-    text = F.coalesce("text", F.lit(""))
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("lang", F.lit("")).alias("part"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
         text.alias("text"),
     )
-    blocks = rows.mapInArrow(_blocks, _BLOCK_SQL).withColumn("block", F.monotonically_increasing_id())
-    blocks = landed(blocks, "term-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    dictionary = numbered_rows(words.select("word").distinct(), "word", name="term_id")
-    dictionary = dictionary.withColumn("term_id", F.col("term_id") - 1)
-    numbers = words.join(dictionary, "word").groupBy("block").agg(
-        F.collect_list(F.struct("place", "term_id")).alias("terms")
-    )
-    shards = blocks.drop("words").join(numbers, "block", "left")
-    kinds = ", ".join(x for x in _BLOCK_SQL.split(", ") if not x.startswith(("indices", "words")))
-    return dictionary, shards.mapInArrow(_renumbered, f"{kinds}, indices array<long>")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = landed(rows.mapInArrow(_blocks(RANGES * partitions), _BLOCK_SQL), "term-blocks")
+    words = blocks.where("r is not null").select("block", "r", "words")
+    words = words.repartition(partitions, "r").sortWithinPartitions("r", "block")
+    numbered = landed(words.mapInArrow(_numbered, _NUMBERED), "term-numbers")
+    terms = numbered.where("block is null").select("r", F.split("words", "\n").alias("words"))
+    sizes = dict(terms.groupBy("r").agg(F.sum(F.size("words"))).collect())  # one row per range
+    first = np.array([sizes.get(r, 0) for r in range(RANGES * partitions)], np.int64)
+    first = np.cumsum(first) - first
+    offsets = spark.createDataFrame(list(enumerate(first.tolist())), "r int, first long")
+    dictionary = terms.join(F.broadcast(offsets), "r").select("first", F.posexplode("words").alias("place", "word"))
+    dictionary = dictionary.select((F.col("first") + F.col("place")).alias("term_id"), "word")
+    numbers = numbered.where("block is not null").groupBy(F.col("block").alias("_block"))
+    numbers = numbers.agg(F.collect_list(F.struct("r", "numbers")).alias("numbers"))
+    shards = blocks.where("r is null").drop("r", "words").join(numbers, F.col("block") == F.col("_block"), "left")
+    schema = f"block long, {_TEXTS}, indices array<long>, data array<int>"
+    return dictionary, shards.drop("_block").mapInArrow(_renumbered(first), schema)
 
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _renumbered(first: np.ndarray):
     """Sparse rows with the corpus's numbers of words in place of the block's own."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            block = batch.slice(k, 1)
-            place, number = (x.to_numpy(zero_copy_only=False) for x in block.column("terms").flatten().flatten())
-            terms = np.empty(len(place), np.int64)
-            terms[place] = number
-            local = block.column("indices").flatten().to_numpy(zero_copy_only=False)
-            indices = pa.ListArray.from_arrays(pa.array([0, len(local)], pa.int32()), pa.array(terms[local], pa.int64()))
-            out = block.drop_columns(["indices", "terms"])
-            yield out.append_column("indices", indices)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = batch.slice(k, 1)
+                ranges = sorted((x["r"], x["numbers"]) for x in block.column("numbers")[0].as_py() or ())
+                terms = [first[r] + np.frombuffer(numbers, np.int32) for r, numbers in ranges]
+                terms = np.concatenate(terms) if terms else np.empty(0, np.int64)
+                local, counts = (np.frombuffer(block.column(c)[0].as_py(), np.int32) for c in ("local", "counts"))
+                edges = pa.array([0, len(local)], pa.int32())
+                cells = (pa.ListArray.from_arrays(edges, pa.array(x)) for x in (terms[local], counts))
+                kept = [block.column(c) for c in ("block", *_TEXT_COLUMNS)]
+                yield pa.RecordBatch.from_arrays([*kept, *cells], ["block", *_TEXT_COLUMNS, "indices", "data"])
+
+    return run
 
 
 _ROW = "doc_id long, part string, digest binary, n_words long, n_distinct long, capitals long, points long, symbol boolean"
