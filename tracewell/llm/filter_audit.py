@@ -47,7 +47,7 @@ DISTINCT_SHARE = 50  # least distinct words in 100
 CAPITAL_SHARE = 3  # most capitals in 100 characters
 SYMBOLS = "#$%&*|"
 FILTERS = "ABCDE"
-BLOCK_BYTES = 8 << 20  # text of a block: a larger one repeats fewer words
+BLOCK_BYTES = 4 << 20  # text of a block: a larger one repeats fewer words
 
 RANGES = 4  # ranges of words per shuffle partition: one is numbered at a time
 
@@ -76,10 +76,9 @@ _TEXT_COLUMNS = [field.split()[0] for field in _TEXTS.split(", ")]
 _BLOCK_SQL = f"block long, r int, words string, {_TEXTS}, local binary, counts binary"
 
 
-def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many flags are set in each text."""
-    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return total[offsets[1:]] - total[offsets[:-1]]
+def _count(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text; flags are set at few bytes."""
+    return np.diff(np.searchsorted(np.flatnonzero(flags), offsets))
 
 
 def local_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +125,7 @@ def _blocks(ranges: int):
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
     byte = np.arange(256)
-    capital, leads = (byte >= 65) & (byte <= 90), (byte & 0xC0) != 0x80
+    capital, inner = (byte >= 65) & (byte <= 90), (byte & 0xC0) == 0x80  # inner: bytes that begin no character
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -140,9 +139,9 @@ def _blocks(ranges: int):
                 place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order), dtype=np.int32)
                 per_text = [own.column(c) for c in ("doc_id", "part", "digest")] + [
-                    pa.array(_sums(capital[s.data], s.offsets)),
-                    pa.array(_sums(leads[s.data], s.offsets)),
-                    pa.array(_sums(symbol[s.data], s.offsets) > 0),
+                    pa.array(_count(capital[s.data], s.offsets)),
+                    pa.array(np.diff(s.offsets) - _count(inner[s.data], s.offsets)),
+                    pa.array(_count(symbol[s.data], s.offsets) > 0),
                     pa.array(indptr, pa.int64()),
                 ]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in per_text]
