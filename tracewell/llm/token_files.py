@@ -1,17 +1,18 @@
 """Token ids as Parquet list columns, one row per document, in order of doc_id.
 
-Texts are encoded where they are read; ids are written packed, once. They are
-then range-sorted by doc_id and written as the file format: columns ``part`` (the
-file's number), ``doc_id``, ``first`` (ids before the document in its file),
-``n_tokens`` and ``ids`` (``list<int>``). Ids are dictionary-encoded and the counters delta-encoded (or
-both delta: ``encoding="delta"``), row groups and pages are kept small and carry
-column and offset indexes. So a reader of counts touches no token page, and a
-reader of some documents only the pages that hold them.
-
-The tokenizer merges within pieces of text only, and a piece never crosses a
-single space between two other characters. Texts are cut there, each distinct
-piece of a task is encoded once by the library, and ids are put together by
-gathering; texts without such spaces go to the library whole.
+Texts are range-sorted by doc_id, encoded in that order and written as the file
+format: columns ``part`` (the file's number), ``doc_id``, ``first`` (ids before
+the document in its file), ``n_tokens`` and ``ids`` (``list<int>``). Ids are
+dictionary-encoded and the counters delta-encoded (or both delta:
+``encoding="delta"``), row groups and pages are kept small and carry column and
+offset indexes. So a reader of counts touches no token page, and a reader of some
+documents only the pages that hold them.
+
+A byte-level tokenizer splits texts by a pattern first and merges within the
+pieces only. Texts are cut where that pattern splits whatever stands around, each
+distinct piece of a task is encoded once by the library, and ids are put together
+by gathering. A text that holds an added token is not cut, nor are texts at
+characters whose kind is not plain.
 
 Cases: null and empty texts hold the end id only; null doc_id comes first; rows
 of one doc_id go by the hash of their ids, and rows repeated in full are rows of
@@ -25,6 +26,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,28 +44,57 @@ PAGE_ROWS = 2000
 LONGEST = 64  # bytes of a piece that is remembered
 REMEMBERED = 400_000  # pieces; when a task has met more, it starts anew
 
-IDS_AT_ONCE = 2_000_000  # ids handed to the writer in one batch, or one document
 PARTS = 1000  # files whose totals are summed together
 
 FILE = "part int, doc_id long, first long, n_tokens long, ids array<int>"
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Places of single spaces between characters that are no white space of any kind.
+# kinds of bytes; at those of kind UNKNOWN a text is not cut
+UNKNOWN, BLANK, BREAK, LETTER, DIGIT, QUOTE, MARK = range(7)
 
-    Beyond ASCII only two-byte characters from U+00C0 on are taken for that;
-    at others a text is simply not cut.
+
+def _byte_kinds() -> np.ndarray:
+    kind = np.full(256, UNKNOWN, np.int8)
+    for byte in range(0x21, 0x7F):
+        kind[byte] = LETTER if chr(byte).isalpha() else DIGIT if chr(byte).isdigit() else MARK
+    kind[ord("'")] = QUOTE
+    kind[ord(" ")] = BLANK
+    kind[list(b"\t\n\r")] = BREAK
+    kind[0xC3:0xC9] = LETTER  # leads of U+00C0 to U+023F, which are letters but for two signs
+    return kind
+
+
+_KINDS = _byte_kinds()
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places where the byte-level pattern splits a text whatever stands around.
+
+    Runs of letters, digits and marks are pieces, with one blank before them; a
+    quote may take letters after it; the last of several blanks and breaks goes
+    with what follows, and a break is a piece of its own.
     """
-    if len(data) < 4:
+    n = len(data)
+    if n < 2:
         return np.empty(0, np.int64)
-    shown = (data > 0x20) & (data < 0x7F)
-    lead = (data >= 0xC3) & (data <= 0xDF)
-    space = data == 0x20
-    before = shown.copy()
-    before[1:] |= lead[:-1]  # the second byte of a two-byte character
-    after = shown | lead
-    at = np.flatnonzero(space[1:-1] & before[:-2] & after[2:]) + 1
-    return at
+    kind = _KINDS[data]
+    lead = kind[:-1] * ((data[:-1] >= 0xC3) & (data[:-1] < 0xC9)) == LETTER
+    sign = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    kind[1:][lead] = LETTER  # the second byte of a two-byte letter
+    kind[:-1][sign] = UNKNOWN
+    kind[1:][sign] = UNKNOWN
+    left, right = kind[:-1], kind[1:]
+    blank = (kind == BLANK) | (kind == BREAK)
+    shown = kind >= LETTER
+    cut = shown[:-1] & blank[1:]
+    cut |= (left == BREAK) & shown[1:]
+    cut |= (left != right) & (left >= LETTER) & (right >= LETTER) & ~((left == QUOTE) & (right != DIGIT))
+    cut &= ~((left == MARK) & (right == QUOTE))
+    last = blank[:-2] & blank[1:-1] & shown[2:]
+    inside = offsets[1:-1]
+    last[inside[(inside >= 2) & (inside < n)] - 2] = False  # what follows belongs to another text
+    cut[:-1] |= last
+    return np.flatnonzero(cut) + 1
 
 
 class Encoder:
@@ -74,6 +105,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.whole = Tokenizer.from_file(path), end, whole
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -84,10 +116,13 @@ class Encoder:
         """Ids of all texts, each with the end id, and where each text's ids begin."""
         begin = offsets[:-1][offsets[:-1] < offsets[1:]]
         if not self.whole:
-            at_edge = np.zeros(len(data) + 1, bool)  # spaces that end a text are not between characters of it
-            at_edge[offsets[1:] - (offsets[1:] > 0)] = True
-            spaces = cuts(data)
-            begin = np.unique(np.concatenate((spaces[~at_edge[spaces]], begin)))
+            at = cuts(data, offsets)
+            whole = self._with_added_tokens(data, offsets)
+            if len(whole):
+                at = at[~np.isin(np.searchsorted(offsets, at, "right") - 1, whole)]
+            begins = np.zeros(len(data) + 1, bool)
+            begins[at] = begins[begin] = True
+            begin = np.flatnonzero(begins)
         bounds = np.concatenate((begin, [len(data)])).astype(np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(begin), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]
@@ -96,27 +131,49 @@ class Encoder:
         ids, reach = self._gathered(slots)
         # ids of each text: those of its pieces, and the end id behind them
         edges = reach[np.searchsorted(begin, offsets)]
-        return np.insert(ids, edges[1:], self.end), edges + np.arange(len(offsets))
+        at = edges + np.arange(len(offsets))
+        out = np.full(at[-1], self.end, np.int32)
+        own = np.ones(at[-1], bool)
+        own[at[1:] - 1] = False
+        out[own] = ids
+        return out, at
+
+    def _with_added_tokens(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that hold a token which the library looks for before it splits anything."""
+        raw, found = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(token, at + 1)
+        return np.array(sorted(found), np.int64)
 
     def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after the other, and where each piece's begin."""
         starts, flat = np.array(self.starts), np.array(self.flat, np.int32)
         self._trim()
-        size = starts[slots + 1] - starts[slots]
+        first = starts[slots]
+        size = starts[slots + 1] - first
         reach = np.concatenate(([0], np.cumsum(size)))
-        return flat[np.arange(reach[-1]) + np.repeat(starts[slots] - reach[:-1], size)], reach
+        at = np.repeat(first - reach[:-1], size)
+        at += np.arange(reach[-1])
+        return flat[at], reach
 
     def _slots(self, pieces: list[bytes]) -> np.ndarray:
         """Where the ids of each piece stand; new pieces are encoded, long ones last."""
         known = self.known
-        new = sorted((p for p in pieces if p not in known), key=lambda p: len(p) > LONGEST)
+        new = [p for p in pieces if p not in known]
+        sizes = list(map(len, new))
+        if max(sizes, default=0) > LONGEST:
+            new.sort(key=lambda p: len(p) > LONGEST)
+        self.long = sum(size > LONGEST for size in sizes)
         encoded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        for piece, e in zip(new, encoded, strict=True):
-            known[piece] = len(self.starts) - 1
-            self.flat.extend(e.ids)
-            self.starts.append(len(self.flat))
-        self.long = sum(len(p) > LONGEST for p in new)
-        slots = np.array([known[p] for p in pieces], np.int64)
+        ids = [e.ids for e in encoded]
+        known.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + len(self.flat)
+        self.flat.extend(chain.from_iterable(ids))
+        self.starts.frombytes(ends.tobytes())
+        slots = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         for piece in new[len(new) - self.long :]:
             del known[piece]
         return slots
@@ -130,55 +187,30 @@ class Encoder:
             del self.flat[self.starts[-1] :]
 
 
-def _encoded(path: str, end: int, whole: bool):
-    """Per text its ids as packed numbers, two bytes each where they fit."""
+def _file_rows(path: str, end: int, whole: bool):
+    """Rows of one file: the part it is, ids that come before each document, and its ids as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        part, before, encoder = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             encoder = encoder or Encoder(path, end, whole)
             for s in byte_slices(batch.column("text")):
                 ids, at = encoder.ids(s.data, s.offsets)
-                width = 2 if int(ids.max()) < 1 << 16 else 4
-                packed = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), s.n, [None, pa.py_buffer((at * width).tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(s.n, part, np.int32)),
+                        batch.column("doc_id").slice(s.first, s.n),
+                        pa.array(before + at[:-1]),
+                        pa.array(np.diff(at)),
+                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),
+                    ],
+                    ["part", "doc_id", "first", "n_tokens", "ids"],
                 )
-                columns = [batch.column("doc_id").slice(s.first, s.n), pa.array(np.diff(at)), packed.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "packed"])
+                before += int(at[-1])
 
     return run
 
 
-def _file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one file: the part it is, ids that come before each document, and its ids as a list."""
-    part, before = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.column("n_tokens").to_numpy()
-        upto = np.cumsum(n)
-        first = 0
-        while first < len(n):
-            done = upto[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(upto, done + IDS_AT_ONCE, "right")))
-            raw = batch.column("packed").slice(first, last - first).to_pylist()
-            counts = n[first:last]
-            ids = np.concatenate(
-                [np.frombuffer(x, f"<u{len(x) // m}").astype(np.int32) for x, m in zip(raw, counts.tolist(), strict=True)]
-            )
-            at = np.concatenate(([0], np.cumsum(counts)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(last - first, part, np.int32)),
-                    batch.column("doc_id").slice(first, last - first),
-                    pa.array(before + at[:-1]),
-                    pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),
-                ],
-                ["part", "doc_id", "first", "n_tokens", "ids"],
-            )
-            before += int(at[-1])
-            first = last
-
-
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end: int = END, encoding: str = "dictionary", whole: bool = False
 ) -> None:
@@ -188,10 +220,8 @@ def write_tokens(
     texts to the library, for tokenizers whose pieces may cross single spaces.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, n_tokens long, packed binary"
-    packed = landed(rows.mapInArrow(_encoded(tokenizer, end, whole), schema), "packed-ids")
     order = F.asc_nulls_first("doc_id")
-    ordered = packed.repartitionByRange(order).sortWithinPartitions(order, "packed")
+    ordered = rows.repartitionByRange(order).sortWithinPartitions(order, F.xxhash64("text"), "text")
     counters = {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "first", "n_tokens")}
     options = {
         "parquet.writer.version": "PARQUET_2_0",  # delta encoding wherever there is no dictionary
@@ -200,7 +230,7 @@ def write_tokens(
         "parquet.page.row.count.limit": str(PAGE_ROWS),
         "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
     }
-    ordered.mapInArrow(_file_rows, FILE).write.options(**options, **counters).parquet(path)
+    ordered.mapInArrow(_file_rows(tokenizer, end, whole), FILE).write.options(**options, **counters).parquet(path)
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
