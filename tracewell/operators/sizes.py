@@ -28,4 +28,18 @@ def landed(rows: DataFrame, name: str) -> DataFrame:
     """
     path = work_path(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table.landed_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of landed tables that nothing reads any more.
+
+    What was built on them must itself be landed: a lost executor's share of it
+    can't be computed again from files that are gone.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.landed_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
