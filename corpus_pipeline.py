@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, exact_dedup, mixing, quality, shingle_join
-from tracewell.operators.sizes import landed
+from tracewell.operators.sizes import dropped, landed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without doc_id go by a hash of their text, after those with one (below 2^62).
     """
-    by_text = F.expr("(xxhash64(coalesce(text, '')) & 4611686018427387903L) | 4611686018427387904L")
+    by_text = F.expr("(xxhash64(coalesce(text, '')) & 2305843009213693951L) | 4611686018427387904L")
     key = F.coalesce(F.col("doc_id").cast("long"), by_text)
     found = shingle_join.similar_components(docs.select(key.alias("doc_id"), "text"))
     drop = landed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "drop")
@@ -61,6 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each on what the one before has kept."""
     docs = _table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = landed(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
