@@ -43,6 +43,7 @@ LENGTH = 400
 GRAM = 100
 PIECE = 8192
 BATCH = 1 << 20  # bytes that are sorted together
+HEAVY = 10_000  # a text that this share of all rows repeat is looked up by broadcast
 SALT_ROWS = 2000  # rows of a shard that go to one part
 
 _BASE = 0x9E3779B97F4A7C15
@@ -323,7 +324,17 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     cut = landed(bodies.select("tid", "text").join(ranges, "tid").mapInArrow(_cut, _KEPT), "cut").dropDuplicates(["tid", "digest"])
 
     copies = texts.groupBy("tid", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    out = texts.join(landed(copies, "copies"), ["tid", "digest"], "left").join(cut, ["tid", "digest"], "left")
+    copies = landed(copies, "copies")
+    # texts that make up a HEAVY-th of all rows are that many at most: their rows look them up in place
+    n = texts.count()
+    heavy = copies.where(F.col("copies") * HEAVY >= n)
+    key = ["tid", "digest"]
+    hot = texts.join(F.broadcast(heavy), key).select(*texts.columns, "copies")
+    rest = texts.join(F.broadcast(heavy), key, "left_anti").join(copies.where(F.col("copies") * HEAVY < n), key, "left")
+    out = rest.unionByName(hot, allowMissingColumns=True).withColumn("alone", F.col("copies").isNull())
+    # a text with copies is removed as a whole or too short to be cut, so only single ones need the cut
+    single = out.where("alone").join(cut, key, "left")
+    out = single.unionByName(out.where("not alone"), allowMissingColumns=True)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     empty = F.lit(b"")
 
