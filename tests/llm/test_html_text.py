@@ -59,6 +59,51 @@ def test_odd_markup():
     assert ht.main_text(long) == "\n".join(["word, and word."] * 20_000)
 
 
+PROSE = "Long enough, and more of it. Yes; and again, a long one with marks."
+KEPT = f"<h1>Head</h1><p>{PROSE}</p><p>{PROSE}</p>"
+LINES = f"Head\n{PROSE}\n{PROSE}"
+
+
+def test_names_that_only_hold_a_word_are_no_reason():
+    for opened in (
+        "div class='content with-sidebar'",
+        "article class='post no-sidebar'",
+        "main class='page has-header'",
+        "article class='post category-social-policy'",
+        "div id=sidebar-wrapper",  # said to be a sidebar, but it holds the heading
+        "section class='hasNavbar'",
+    ):
+        tag = opened.split()[0]
+        assert ht.main_text(PAGE % f"<{opened}>{KEPT}</{tag}>") == LINES, opened
+    inside = f"<article>{KEPT}<section id='related-work'><p>{PROSE}</p></section><div class='site-footer'>Me, 2020.</div></article>"
+    assert ht.main_text(PAGE % inside) == f"{LINES}\n{PROSE}"
+    for name in ("main-nav", "comments_list", "ad-2", "cookieNotice", "SIDEBAR left", "post share-links"):
+        assert ht.main_text(PAGE % f"<article>{KEPT}<div class='{name}'><p>Not, this. Nor this.</p></div></article>") == LINES, name
+    comments = "<article class='comment'><p>Nice, post. Very, nice.</p></article>" * 30
+    assert ht.main_text(PAGE % f"<article>{KEPT}</article>{comments}") == LINES
+
+
+def test_head_without_end():
+    page = f"<html><head><title>T</title><meta charset=utf-8><body><nav><a>A</a></nav><article>{KEPT}</article></body></html>"
+    assert ht.main_text(page) == LINES
+    assert ht.main_text(f"<title>T</title><head><meta charset=utf-8><article>{KEPT}</article>") == LINES
+
+
+def test_plain_pages():
+    links = "<a href=/>Home</a> <a href=/a>About</a> <a href=/c>Contact us</a>"
+    page = f"<html><body><div>{links}</div><div>{KEPT}</div><div>Copyright Me 2020</div></body></html>"
+    assert ht.main_text(page) == LINES
+    page = f"<body><table><tr><td><ul><li>{links}</ul></td><td>{KEPT}</td></tr><tr><td>Me 2020</td></tr></table></body>"
+    assert ht.main_text(page) == LINES
+    page = f"<body><div><h2><a href=/x>Head</a></h2><p>{PROSE} <a href=/y>{PROSE}</a></p><p>{PROSE}</p></div></body>"
+    assert ht.main_text(page) == f"Head\n{PROSE} {PROSE}\n{PROSE}"
+
+
+def test_unseen_text():
+    unseen = "<div style='color:red; display: none'>Not, seen. Never.</div><p hidden>Nor, this. Never.</p>"
+    assert ht.main_text(PAGE % f"<article>{KEPT}{unseen}</article>") == LINES
+
+
 def article_text(page):
     body = re.search(r"<article>(.*?)(</article>|$)", page or "", re.S)
     blocks = re.split(r"</?(?:p|h1)>", body[1].replace("<br>", " ")) if body else []

@@ -8,8 +8,12 @@ paths above it show where the content is: every ``article`` and ``main`` with so
 of them if these hold half of the content, or else the innermost sectioning tag
 around all of them that has no text of its own. All blocks of those containers
 are kept, and content paths outside, except what is never content by its tag,
-role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments).
+role, style, class or id (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments). A class or id counts if it says nothing
+else, and not on what holds the article. Where the container is no article,
+blocks without a content path go too if they are links for the most part or come
+behind all content. Sections of the page and cells of a row carry their place in
+the path, so that a menu and prose under like tags are different paths.
 
 White space in a block becomes one space, character references are decoded,
 blocks are joined by a newline in page order.
@@ -43,13 +47,26 @@ NEVER = frozenset(
     "title menu dialog object audio video canvas".split()
 )
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NEVER_NAMES = re.compile(
-    r"(^|[-_ ])(ads?|adverts?|advertisements?|advertising|sponsor(ed)?|promos?|promotions?|nav|navbar|navigation"
-    r"|menus?|sidebars?|sidenav|header|masthead|footer|breadcrumbs?|cookies?|consent|gdpr|notices?|banners?"
-    r"|popups?|modals?|newsletter|subscribe|subscription|share|sharing|social|related|comments?|commentlist"
-    r"|respond|replies|disqus|widgets?|toolbar|pagination|pager|skip|login|signup)($|[-_ ])",
-    re.I,
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion "
+    "promotions nav navbar navigation menu menus sidebar sidebars sidenav header masthead footer breadcrumb "
+    "breadcrumbs cookie cookies consent gdpr notice notices banner banners popup popups modal modals newsletter "
+    "subscribe subscription share sharing social related comment comments commentlist respond replies disqus "
+    "widget widgets toolbar pagination pager skip login signup".split()
 )
+#: Parts that a name may be compounded with: site-header, comments_list, ad-2. Others (no-, has-, -work) make it another name.
+BESIDE = frozenset(
+    "site page main top bottom left right global primary secondary sub mobile sticky fixed area bar box block "
+    "wrapper wrap container list section inner outer links buttons link form count thread posts post articles".split()
+)
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+TOKEN_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^-_\sA-Za-z]+")
+UNSEEN = re.compile(r"style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: What may stand in a head; any other tag ends it.
+HEAD = frozenset("head title meta link script style base noscript template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags whose place among the page's sections or a row's cells is part of the path.
+PLACED = frozenset("center div section td".split())
 #: Tags that may be the container of a page without articles.
 SECTIONS = frozenset("article body center div html main section td".split())
 CLOSES_P = BLOCKS - {"body", "html", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}
@@ -66,26 +83,36 @@ PUNCTUATION = re.compile(r"[.,;:!?…]")
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def _never(tag: str, attributes: str) -> bool:
+def _is_name(token: str, names: frozenset) -> bool:
+    """Does a class or id say nothing but one of these names?"""
+    parts = [p.lower() for p in TOKEN_PARTS.findall(token) if p[0].isalpha()]
+    return any(p in names for p in parts) and all(p in names or p in BESIDE for p in parts)
+
+
+def _never(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Is it no content by its tag, role or style? And is it said to be none by its class or id?"""
     if tag in NEVER:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    if "hidden" in attributes.split() or UNSEEN.search(attributes):
+        return True, False
+    named, names = False, COMMENTS if tag in ("article", "main") else NAMES
     for name, a, b, c in NAMED.findall(attributes):
         value = a or b or c
         if name.lower() == "role":
             if value.strip().lower() in NEVER_ROLES:
-                return True
-        elif NEVER_NAMES.search(re.sub(r"\s+", " ", value)):
-            return True
-    return "hidden" in attributes.split()
+                return True, False
+        elif any(_is_name(token, names) for token in value.split()):
+            named = True
+    return False, named
 
 
 class _Open:
-    __slots__ = ("tag", "never", "number", "path")
+    __slots__ = ("tag", "never", "number", "path", "named", "inner")
 
-    def __init__(self, tag, never, number, path):
-        self.tag, self.never, self.number, self.path = tag, never, number, path
+    def __init__(self, tag, never, number, path, named=False):
+        self.tag, self.never, self.number, self.path, self.named, self.inner = tag, never, number, path, named, 0
 
 
 def text_nodes(page: str) -> list[tuple[int, list[_Open], str]]:
@@ -138,10 +165,18 @@ def text_nodes(page: str) -> list[tuple[int, list[_Open], str]]:
             end = RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag not in HEAD:
+            close("head")
         number += 1
         top = stack[-1]
-        stack.append(_Open(tag, top.never or _never(tag, attributes), number, f"{top.path}/{tag}"))
-    return nodes
+        never, named = _never(tag, attributes)
+        if tag in ("h1", "main", "article") and not (never or named):
+            for around in stack:
+                around.named = False  # what holds the article is no sidebar, whatever it is called
+        top.inner += 1
+        place = f"[{top.inner}]" if tag in PLACED and top.tag in ("", "html", "body", "tr") else ""
+        stack.append(_Open(tag, top.never or never, number, f"{top.path}/{tag}{place}", named))
+    return [node for node in nodes if not any(tag.named for tag in node[1])]
 
 
 def path_scores(nodes) -> dict[str, float]:
@@ -213,7 +248,27 @@ def _containers(nodes, content: set[str]):
     if held and 2 * inside >= total:
         return lambda stack: stack[-1].path in content or any(tag.number in held for tag in stack)
     number = next((tag.number for tag in reversed(spine) if tag.tag in SECTIONS and tag.number not in holders), 0)
-    return lambda stack: any(tag.number == number for tag in stack)
+    dropped = _bare_blocks(nodes, content, number)
+    return lambda stack: any(tag.number == number for tag in stack) and not any(tag.number in dropped for tag in stack)
+
+
+def _bare_blocks(nodes, content: set[str], number: int) -> set[int]:
+    """Blocks in a container without any content path that are links for the most part, or come behind all content."""
+    held, last = set(), 0
+    for k, (_, stack, words) in enumerate(nodes):
+        if stack[-1].path in content and words.strip():
+            held.update(tag.number for tag in stack)
+            last = k
+    size, links, late = defaultdict(int), defaultdict(int), defaultdict(lambda: True)
+    for k, (_, stack, words) in enumerate(nodes):
+        bare = next((tag for tag in stack if tag.number not in held and tag.tag in BLOCKS), None)
+        if bare is None or bare.tag in HEADINGS or not any(tag.number == number for tag in stack):
+            continue
+        n = len(words.strip())
+        size[bare.number] += n
+        links[bare.number] += n if any(tag.tag == "a" for tag in stack) else 0
+        late[bare.number] &= k > last
+    return {x for x in size if late[x] or 2 * links[x] >= size[x] > 0}
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
