@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schemas
 from tracewell.functions.text import strip_whitespace
+from tracewell.operators.ranking import numbered_rows
 from tracewell.operators.sizes import landed
 
 
@@ -53,6 +54,44 @@ def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("loc") != "")
 
 
+#: The name a fetched sitemap is kept under: the last part of its address, as a file or a folder of one part.
+_KEPT_AS = r"(?:^|/)(?:[^/=]+=)?([^/]+?\.xml)(?:\.gz)?(?:/part-[^/]*)?$"
+
+
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, xml) of the sitemap files under a path; a file holds 50,000 addresses at most."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    kept = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), _KEPT_AS, 1))
+    return files.select(kept.alias("name"), F.col("value").alias("xml"))
+
+
+def read_sitemap_tree(spark: SparkSession, index: str, children: str) -> DataFrame:
+    """Page addresses of a sitemap index and its fetched child sitemaps, in their order.
+
+    Gives (sitemap_seq, url_seq, loc): the place of the child in the index and of
+    the address in the child, both from 0. ``index`` is the index file, or a folder
+    of them, read in order of name; ``children`` is a folder where each child is
+    kept under the last part of its address. A child that is missing or no XML, an
+    entry without an address, and a file that no index names give no row; a child
+    that is named twice has its first place. Starts jobs.
+    """
+    entries = F.from_xml("xml", "sitemap array<struct<loc:string>>")["sitemap"]
+    named = _whole_files(spark, index).select("name", F.posexplode(entries).alias("place", "entry"))
+    named = named.select("name", "place", strip_whitespace(F.col("entry.loc")).alias("loc")).where("loc <> ''")
+    last = F.regexp_extract("loc", r"([^/?#]+?)(?:\.gz)?(?:[?#].*)?$", 1)
+    order = numbered_rows(named.select("name", "place", last.alias("child")), "name", "place", name="seq")
+    order = order.groupBy("child").agg((F.min("seq") - 1).alias("sitemap_seq"))
+    # the parser stops at the end of the root, so what is cut off or goes on after it is told here
+    ended = F.col("xml").rlike(r"</(\w+:)?urlset\s*>\s*(<!--[^>]*-->\s*)*$")
+    files = _whole_files(spark, children).where(ended).withColumnRenamed("name", "child")
+    return sitemap_locations(files.join(order, "child").select("sitemap_seq", "xml"))
+
+
+def ordered_urls(urls: DataFrame) -> DataFrame:
+    """Addresses of ``discover_urls`` with ``position``, from 1, in sitemap order. Starts jobs."""
+    return numbered_rows(urls, "sitemap_seq", "url_seq")
+
+
 def fetched_pages(pages: DataFrame) -> DataFrame:
     """Pages that arrived: a 2xx status and a body."""
     return pages.where(F.col("status").between(200, 299) & F.col("html").isNotNull())

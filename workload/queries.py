@@ -27,7 +27,7 @@ from tracewell.plans.cycle import field_facts
 from tracewell.plans.cycle import statement_findings as findings_plan
 from tracewell.session import work_path
 from tracewell.sources import docs, logs
-from tracewell.streaming import live
+from tracewell.streaming import approvals, live
 from workload import views
 
 LOOKBACK = 720
@@ -275,6 +275,16 @@ def url_discovery(spark, sf):
     return out.select("url", F.col("sitemap_seq").cast("bigint").alias("sitemap_seq"), "url_seq")
 
 
+def sitemap_urls(spark, sf):
+    """Sitemap files to addresses in order: index, children, prefix, first of each."""
+    path = work_path(spark, "sitemaps")
+    views.sitemap_files(spark, sf, path)
+    locations = docs.read_sitemap_tree(spark, f"{path}/index", f"{path}/children")
+    return docs.ordered_urls(knowledge.discover_urls(locations, views.PREFIXES)).withColumn(
+        "url_seq", F.col("url_seq").cast("bigint")
+    )
+
+
 def kb_summary(spark, sf):
     urls = knowledge.discover_urls(views.sitemap(spark, sf), views.PREFIXES, max_urls=None)
     known = broadcast_if_small(urls.select("url"))
@@ -495,6 +505,16 @@ def stream_approvals(spark, sf):
     return out.select("approval_id", "payload", "outcome")
 
 
+def stream_approval_outcomes(spark, sf):
+    requests = ledger.change_requests(views.change_of(_stream(spark, sf, "orders")))
+    decisions = views.decision_of(_stream(spark, sf, "orders"))
+    done = _landed(spark, approvals.approval_outcomes(requests, decisions, delay=LATE), "outcomes")
+    orders = views.table(spark, sf, "orders")
+    asked, said = ledger.change_requests(views.change_of(orders)), views.decision_of(orders)
+    last = max(filter(None, (asked.agg(F.max("ts")).first()[0], said.agg(F.max("decision_ts")).first()[0])), default=None)
+    return approvals.with_open_requests(done, asked, said, F.lit(last).cast("timestamp")).select("approval_id", "payload", "outcome")
+
+
 def stream_bursts(spark, sf):
     out = _landed(spark, live.statement_bursts(_log_stream(spark, sf), delay=LATE), "bursts")
     return out.select(_stamp("burst_start"), "statement", "count", *r4("avg_duration"))
@@ -520,13 +540,13 @@ NAMES = [
     "nested_clauses", "script_clauses", "regexp_clauses", "fuzzy_clauses",
     "statement_findings", "statement_findings_by_user", "severity_summary",
     "recommended_searches", "finding_report", "page_text", "page_title", "page_chunks",
-    "doc_chunks", "url_discovery", "kb_summary", "vector_normalize", "vector_topk",
+    "doc_chunks", "url_discovery", "sitemap_urls", "kb_summary", "vector_normalize", "vector_topk",
     "vector_topk_tiled", "knowledge_search", "latency_stats", "latency_compare",
     "cost_mtd_projection", "cost_decisions", "approval_ids", "pending_approvals",
     "approval_resolved", "action_tally", "workflow_status", "conversation_outcome",
     "table_rewrite", "template_match", "stream_hourly_slow", "stream_sliding_slow",
     "stream_top_per_day", "stream_breaker_alert", "stream_findings", "stream_approvals",
-    "stream_bursts", "stream_knowledge_base",
+    "stream_approval_outcomes", "stream_bursts", "stream_knowledge_base",
 ]
 
 QUERIES = {name: globals()[name] for name in NAMES}

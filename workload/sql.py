@@ -333,6 +333,16 @@ ORACLE = {
     "url_discovery": f"""WITH {URLS}
       SELECT url, CAST(sitemap_seq AS BIGINT) AS sitemap_seq, url_seq FROM urls
       QUALIFY row_number() OVER (PARTITION BY url ORDER BY sitemap_seq, url_seq) = 1""",
+    "sitemap_urls": """WITH c AS (
+        SELECT url, page_id // 40 AS child, row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id) - 1 AS place
+        FROM pages),
+      i AS (SELECT child, row_number() OVER (ORDER BY child DESC) AS sitemap_seq FROM (SELECT DISTINCT child FROM c)),
+      u AS (
+        SELECT url, sitemap_seq, 2 * place AS url_seq FROM c JOIN i USING (child)
+        WHERE child % 5 <> 3 AND (starts_with(url, 'https://blog.') OR starts_with(url, 'https://www.')
+          OR starts_with(url, 'https://m.'))
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY sitemap_seq, place) = 1)
+      SELECT *, row_number() OVER (ORDER BY sitemap_seq, url_seq) AS position FROM u""",
     "kb_summary": f"""WITH {URLS}, {PAGE_TEXTS}, {chunks("texts", "url")}, n AS (
         SELECT (SELECT count(DISTINCT url) FROM urls) AS url_count,
           (SELECT count(*) FROM chunks WHERE url IN (SELECT url FROM urls)) AS chunk_count)
@@ -440,6 +450,10 @@ ORACLE = {
       WHERE outcome <> 'rejected_timeout' OR ts + INTERVAL 300 SECOND < (
         SELECT least(max(ts), max(ts + to_seconds(o_orderkey % 600)) FILTER (o_orderstatus <> 'O'))
         FROM requests) - INTERVAL 10 MINUTE""",
+    "stream_approval_outcomes": f"""WITH {RESOLVED} SELECT approval_id, payload,
+        CASE WHEN outcome = 'rejected_timeout' AND ts + INTERVAL 300 SECOND > (
+          SELECT greatest(max(ts), max(ts + to_seconds(o_orderkey % 600)) FILTER (o_orderstatus <> 'O')) FROM requests)
+          THEN 'open' ELSE outcome END AS outcome FROM resolved""",
     "stream_bursts": f"""WITH {SLOWLOG}, g AS (
         SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY statement ORDER BY ts)
           + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM slowlog),

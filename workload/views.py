@@ -221,6 +221,39 @@ def sitemap(spark, sf_dir) -> DataFrame:
     )
 
 
+def sitemap_files(spark, sf_dir, path: str) -> None:
+    """Write the addresses of ``pages`` as a sitemap index and its children, 40 addresses each.
+
+    The index names the children backwards, one of them that does not exist, and
+    one that is broken; entries without an address stand between the others.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    loc = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    entry = F.concat(F.lit("<url><loc>\n "), loc, F.lit(" </loc></url><url><loc> </loc></url>"))
+    child = F.floor(F.col("page_id") / 40)
+    entries = F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry"))))
+    urlset = F.concat(
+        F.lit("<?xml version='1.0' encoding='UTF-8'?><urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"),
+        F.array_join(F.transform("entries", lambda e: e["entry"]), ""),
+        F.when(F.col("child") % 5 == 3, "</broken>").otherwise("</urlset>"),
+    )
+    name = F.concat(F.lit("map-"), F.col("child").cast("string"), F.lit(".xml"))
+    files = pages.groupBy(child.alias("child")).agg(entries.alias("entries")).select(name.alias("name"), urlset.alias("value"))
+    files.write.option("lineSep", "\n").partitionBy("name").text(f"{path}/children")
+    # an index per 1,000 children, named so that names stand in their order
+    listed = pages.select(child.alias("child")).distinct().withColumn("part", F.floor(F.col("child") / 1000))
+    place = F.concat(F.lit("<sitemap><loc>https://docs.example/maps/map-"), F.col("child").cast("string"), F.lit(".xml</loc></sitemap>"))
+    places = F.array_sort(F.collect_list(F.struct((-F.col("child")).alias("child"), place.alias("place"))))
+    index = F.concat(
+        F.lit("<sitemapindex><sitemap><loc>https://docs.example/maps/gone.xml</loc></sitemap>"),
+        F.array_join(F.transform("places", lambda e: e["place"]), ""),
+        F.lit("</sitemapindex>"),
+    )
+    listed = listed.groupBy("part").agg(places.alias("places"))
+    name = F.concat(F.lit("index-"), F.lpad((10**9 - F.col("part")).cast("string"), 10, "0"), F.lit(".xml"))
+    listed.select(name.alias("name"), index.alias("value")).write.partitionBy("name").text(f"{path}/index")
+
+
 def page(pages: DataFrame) -> DataFrame:
     status = F.when(F.col("page_id") % 10 == 9, 404).otherwise(200)
     return pages.select("url", status.alias("status"), "html", "page_id")
