@@ -15,7 +15,7 @@ from tracewell.operators.sizes import landed
 
 
 def test_names():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLE) < set(QUERIES) < set(entry.queries())
     assert "pipeline" in entry.queries() and [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
 
