@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tracewell import rules
 from tracewell.functions import statements as st
@@ -16,6 +17,7 @@ from tracewell.functions.vectors import EmbedderFactory
 from tracewell.operators import diagnosis, knowledge
 
 DELAY = "10 minutes"
+READ, GIVEN = "rows_read", "rows_given"  # counts in the progress of windowed streams
 
 
 def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -42,8 +44,11 @@ def slow_statements(
     windows = F.window("ts", length, slide) if slide else F.window("ts", length)
     stats = (
         log.withWatermark("ts", delay)
-        .groupBy(windows.alias("w"), *by)
+        .withColumn("w", windows)
+        .observe(READ, F.count(F.lit(1)).alias("n"))
+        .groupBy("w", *by)
         .agg(F.avg("duration_ns").alias("avg_duration"), F.count(F.lit(1)).alias("count"))
+        .observe(GIVEN, F.sum("count").alias("n"))
     )
     return stats.where(F.col("count") > min_count).select(
         F.col("w.start").alias("window_start"),
@@ -60,8 +65,10 @@ def statement_bursts(
     """Runs of one statement with no pause longer than ``gap``."""
     bursts = (
         log.withWatermark("ts", delay)
+        .observe(READ, F.count("ts").alias("n"))
         .groupBy(F.session_window("ts", gap).alias("w"), *by)
         .agg(F.avg("duration_ns").alias("avg_duration"), F.count(F.lit(1)).alias("count"))
+        .observe(GIVEN, F.sum("count").alias("n"))
     )
     return bursts.select(
         F.col("w.start").alias("burst_start"),
@@ -81,11 +88,15 @@ def breaker_alerts(
     """Nodes near their memory limit, per time window."""
     means = (
         metrics.withWatermark("ts", delay)
-        .groupBy(F.window("ts", length).alias("w"), "node")
+        .withColumn("w", F.window("ts", length))
+        .observe(READ, F.count(F.lit(1)).alias("n"))
+        .groupBy("w", "node")
         .agg(
             F.avg("breaker_used_bytes").alias("avg_used"),
             F.avg("breaker_limit_bytes").alias("avg_limit"),
+            F.count(F.lit(1)).alias("rows"),
         )
+        .observe(GIVEN, F.sum("rows").alias("n"))
         .withColumn("used_pct", F.try_divide("avg_used", "avg_limit") * 100)
         .where(F.col("used_pct") > threshold_pct)
     )
@@ -160,7 +171,7 @@ def first_outcomes(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy(*keys).agg(first.alias("f")).select(*keys, "f.outcome")
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has arrived and stop; rows go to a Parquet folder exactly once."""
     query = (
         stream.writeStream.format("parquet")
@@ -171,11 +182,12 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+    return query
 
 
 def run_top_per_window(
     stream: DataFrame, path: str, checkpoint: str, top_n: int = rules.TOP_STATEMENTS
-) -> None:
+) -> StreamingQuery:
     """Like ``run_to_files`` with only the slowest ``top_n`` statements of each window.
 
     A window leaves the state in one batch, so it is ranked there. Each batch
@@ -197,6 +209,7 @@ def run_top_per_window(
         .start()
     )
     query.awaitTermination()
+    return query
 
 
 def run_knowledge_base(

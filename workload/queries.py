@@ -27,7 +27,7 @@ from tracewell.plans.cycle import field_facts
 from tracewell.plans.cycle import statement_findings as findings_plan
 from tracewell.session import work_path
 from tracewell.sources import docs, logs
-from tracewell.streaming import approvals, live
+from tracewell.streaming import approvals, live, open_windows
 from workload import views
 
 LOOKBACK = 720
@@ -454,6 +454,14 @@ def _landed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _landed_with_open(spark: SparkSession, stream: DataFrame, name: str, still_open) -> DataFrame:
+    """What a windowed stream gave, and its open windows as they stand."""
+    path, progress = work_path(spark, name), work_path(spark, f"{name}-progress")
+    live.run_to_files(stream, path, progress)
+    given = spark.read.schema(stream.schema).parquet(path)
+    return open_windows.with_open(given, still_open(stream, progress))
+
+
 def _log_stream(spark, sf) -> DataFrame:
     return live.event_time(views.slowlog_of(_stream(spark, sf, "events")))
 
@@ -462,34 +470,41 @@ def _stamp(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
+def _all_statements(stream: DataFrame, progress: str) -> DataFrame:
+    return open_windows.open_statements(stream, progress, min_count=0)
+
+
 def stream_hourly_slow(spark, sf):
     stream = live.slow_statements(_log_stream(spark, sf), "1 hour", min_count=0, delay=LATE)
-    out = _landed(spark, stream, "hourly")
-    return out.select(_stamp("window_start"), "statement", "count", *r4("avg_duration"))
+    out = _landed_with_open(spark, stream, "hourly", _all_statements)
+    return out.select(_stamp("window_start"), "statement", "count", *r4("avg_duration"), "final")
 
 
 def stream_sliding_slow(spark, sf):
     stream = live.slow_statements(
         _log_stream(spark, sf), "1 hour", "10 minutes", min_count=0, delay=LATE
     )
-    out = _landed(spark, stream, "sliding")
-    return out.select(_stamp("window_start"), "statement", "count", *r4("avg_duration"))
+    out = _landed_with_open(spark, stream, "sliding", _all_statements)
+    return out.select(_stamp("window_start"), "statement", "count", *r4("avg_duration"), "final")
 
 
 def stream_top_per_day(spark, sf):
     stream = live.slow_statements(_log_stream(spark, sf), "1 day", min_count=0, delay=LATE)
-    path = work_path(spark, "top")
-    live.run_top_per_window(stream, path, work_path(spark, "top-progress"))
-    out = spark.read.parquet(path)
+    path, progress = work_path(spark, "top"), work_path(spark, "top-progress")
+    live.run_top_per_window(stream, path, progress)
+    still_open = open_windows.top_per_window(_all_statements(stream, progress))
+    given = spark.read.schema(still_open.schema).parquet(path).drop("batch")
+    out = open_windows.with_open(given, still_open)
     return out.select(
-        _stamp("window_start"), F.col("rank").cast("bigint").alias("rank"), "statement", "count"
+        _stamp("window_start"), F.col("rank").cast("bigint").alias("rank"), "statement", "count", "final"
     )
 
 
 def stream_breaker_alert(spark, sf):
     metrics = live.event_time(views.node_metrics_of(_stream(spark, sf, "lineitem")))
-    out = _landed(spark, live.breaker_alerts(metrics, "1 day", delay=LATE), "breaker")
-    return out.select(_stamp("window_start"), "node", *r4("avg_used", "avg_limit", "used_pct"))
+    stream = live.breaker_alerts(metrics, "1 day", delay=LATE)
+    out = _landed_with_open(spark, stream, "breaker", open_windows.open_breaker_alerts)
+    return out.select(_stamp("window_start"), "node", *r4("avg_used", "avg_limit", "used_pct"), "final")
 
 
 def stream_findings(spark, sf):
@@ -516,8 +531,9 @@ def stream_approval_outcomes(spark, sf):
 
 
 def stream_bursts(spark, sf):
-    out = _landed(spark, live.statement_bursts(_log_stream(spark, sf), delay=LATE), "bursts")
-    return out.select(_stamp("burst_start"), "statement", "count", *r4("avg_duration"))
+    stream = live.statement_bursts(_log_stream(spark, sf), delay=LATE)
+    out = _landed_with_open(spark, stream, "bursts", open_windows.open_bursts)
+    return out.select(_stamp("burst_start"), "statement", "count", *r4("avg_duration"), "final")
 
 
 def stream_knowledge_base(spark, sf):

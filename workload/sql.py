@@ -249,9 +249,9 @@ SELECT query_id, rank, id, round(score, 4) AS score FROM ranked WHERE rank <= 5"
 
 def windowed(length: str, closed_after: str) -> str:
     return f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, statement, count(*) AS count,
-    round(avg(duration_ns), 4) AS avg_duration FROM ({length})
-  WHERE w + INTERVAL {closed_after} <= (SELECT max(ts) FROM slowlog) - INTERVAL 10 MINUTE
-  GROUP BY w, statement"""
+    round(avg(duration_ns), 4) AS avg_duration,
+    w + INTERVAL {closed_after} <= (SELECT max(ts) FROM slowlog) - INTERVAL 10 MINUTE AS final
+  FROM ({length}) GROUP BY w, statement"""
 
 
 SLIDES = " UNION ALL ".join(
@@ -426,16 +426,16 @@ ORACLE = {
         SELECT date_trunc('day', ts) AS w, statement, count(*) AS count, avg(duration_ns) AS a
         FROM slowlog GROUP BY ALL)
       SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, row_number() OVER (
-          PARTITION BY w ORDER BY a DESC, statement) AS rank, statement, count
-      FROM d WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM slowlog) - INTERVAL 10 MINUTE
-      QUALIFY rank <= 5""",
+          PARTITION BY w ORDER BY a DESC, statement) AS rank, statement, count,
+        w + INTERVAL 1 DAY <= (SELECT max(ts) FROM slowlog) - INTERVAL 10 MINUTE AS final
+      FROM d QUALIFY rank <= 5""",
     "stream_breaker_alert": f"""WITH {METRICS}, d AS (
         SELECT date_trunc('day', ts) AS w, node, avg(breaker_used_bytes) AS u,
           avg(breaker_limit_bytes) AS l FROM metrics GROUP BY ALL)
       SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, node, round(u, 4) AS avg_used,
-        round(l, 4) AS avg_limit, round(u / l * 100, 4) AS used_pct FROM d
-      WHERE u / l * 100 > 70
-        AND w + INTERVAL 1 DAY <= (SELECT max(ts) FROM metrics) - INTERVAL 10 MINUTE""",
+        round(l, 4) AS avg_limit, round(u / l * 100, 4) AS used_pct,
+        w + INTERVAL 1 DAY <= (SELECT max(ts) FROM metrics) - INTERVAL 10 MINUTE AS final FROM d
+      WHERE u / l * 100 > 70""",
     "stream_findings": f"""WITH {SLOWLOG}, st AS (SELECT DISTINCT index_name, statement FROM slowlog),
       {CATALOG}, {CARDINALITY}, {CLAUSES}, {WILDCARD_HITS}, allhits AS (
         SELECT index_name, statement, code, field, message FROM hits UNION ALL
@@ -460,8 +460,9 @@ ORACLE = {
       b AS (SELECT *, sum(fresh) OVER (PARTITION BY statement ORDER BY ts
           ROWS UNBOUNDED PRECEDING) AS burst FROM g)
       SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS burst_start, statement, count(*) AS count,
-        round(avg(duration_ns), 4) AS avg_duration FROM b GROUP BY statement, burst
-      HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM slowlog) - INTERVAL 10 MINUTE""",
+        round(avg(duration_ns), 4) AS avg_duration,
+        max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM slowlog) - INTERVAL 10 MINUTE AS final
+      FROM b GROUP BY statement, burst""",
     "stream_knowledge_base": f"""WITH {PAGE_TEXTS}, {chunks("texts", "url, title")}
       SELECT url, title, chunk_idx, text FROM chunks""",
 }
