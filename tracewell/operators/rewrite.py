@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tracewell.functions.text import glob_matches, glob_pieces, glob_prefix
 
@@ -74,21 +75,84 @@ def rewrite(
     return apply_mapping(source, types, renames)
 
 
-def write_rewritten(rows: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> int:
+def write_rewritten(
+    rows: DataFrame, table: str, partition_by: tuple[str, ...] = (), path: str | None = None
+) -> int:
     """Write a new table and return its row count; fails if the name is taken.
 
     Starts jobs. The rebalance hint lets AQE cut a hot partition value into
-    several evenly sized files.
+    several evenly sized files. With ``path`` the files lie there and outlive
+    the table's name.
     """
     if partition_by:
         rows = rows.hint("rebalance", *(F.col(c) for c in partition_by))
     writer = rows.write.mode("errorifexists").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(table)
     return rows.sparkSession.table(table).count()
 
 
+class CopyMismatch(ValueError):
+    """A copy that does not hold the rows of its source."""
+
+
+def _hashable(column: Column, kind: DataType) -> Column:
+    """A map as its sorted entries, wherever it is nested: maps have no hash."""
+    if isinstance(kind, MapType):
+        entries = F.transform(
+            F.map_entries(column),
+            lambda e: F.struct(
+                _hashable(e["key"], kind.keyType).alias("key"),
+                _hashable(e["value"], kind.valueType).alias("value"),
+            ),
+        )
+        return F.array_sort(entries)
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, StructType) and kind.fields:
+        parts = (_hashable(column.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)
+        return F.when(column.isNotNull(), F.struct(*parts))
+    return column
+
+
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """(rows, hash_xor, hash_sum): one row that does not depend on the order of rows.
+
+    Equal rows cancel out in the xor, but not in the sum. Only a row of numbers
+    leaves a task. A null and an empty value hash alike in places, so whether each
+    column is null is hashed too.
+    """
+    columns = [F.col(f"`{f.name}`") for f in rows.schema.fields]
+    values = [_hashable(c, f.dataType) for c, f in zip(columns, rows.schema.fields, strict=True)]
+    digest = F.xxhash64(*values, *(c.isNull() for c in columns)) if values else F.lit(0).cast("bigint")
+    return rows.select(digest.alias("h")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.bit_xor("h"), F.lit(0).cast("bigint")).alias("hash_xor"),
+        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"),
+    )
+
+
+def prove_copy(rows: DataFrame, table: str) -> int:
+    """Compare ``rows`` with the table they were written to, by fingerprint; returns their count.
+
+    Both are read in full. Raises ``CopyMismatch`` where rows are missing, there
+    twice or changed, where the source gives other rows when it is read again,
+    or where columns differ. Partition columns may have moved.
+    """
+    copy = rows.sparkSession.table(table)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    if {f.name: f.dataType for f in copy.schema.fields} != kinds:
+        raise CopyMismatch(f"{table}: columns {copy.dtypes} are not {rows.dtypes}")
+    source, target = fingerprint(rows), fingerprint(copy.select(*(f"`{c}`" for c in rows.columns)))
+    want, got = source.head(), target.head()
+    if want != got:
+        raise CopyMismatch(f"{table}: copied {got.rows} rows of {want.rows}, {got} is not {want}")
+    return got.rows
+
+
 def swap_alias(spark: SparkSession, alias: str, table: str) -> None:
     """Point the view ``alias`` at ``table``: one metadata change, old target dropped with it."""
     spark.sql(f"CREATE OR REPLACE VIEW {alias} AS SELECT * FROM {table}")

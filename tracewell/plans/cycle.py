@@ -144,12 +144,22 @@ def rewrite_table(
     types: Mapping[str, str],
     where: Column | str | None = None,
     partition_by: tuple[str, ...] = (),
+    renames: Mapping[str, str] | None = None,
+    path: str | None = None,
 ) -> int:
-    """Copy into new types, then point the alias at the copy; returns the rows written.
+    """Copy into new types, prove the copy, then point the alias at it; returns the rows written.
 
-    A failing step raises, and the alias stays where it was.
+    A failing step raises, and the alias stays where it was. A copy that is not
+    what its source gives is dropped (``CopyMismatch``); files under a ``path``
+    of one's own stay for a look at them.
     """
-    rows = rewrite.rewrite(source, types, where)
-    written = rewrite.write_rewritten(rows, target, partition_by)
-    rewrite.swap_alias(source.sparkSession, alias, target)
+    spark = source.sparkSession
+    rows = rewrite.rewrite(source, types, where, renames)
+    rewrite.write_rewritten(rows, target, partition_by, path)
+    try:
+        written = rewrite.prove_copy(rows, target)
+    except rewrite.CopyMismatch:
+        spark.sql(f"DROP TABLE {target}")
+        raise
+    rewrite.swap_alias(spark, alias, target)
     return written

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from tracewell.operators import (
 )
 from tracewell.operators.cardinality import field_cardinality
 from tracewell.operators.sizes import broadcast_if_small
-from tracewell.plans.cycle import field_facts
+from tracewell.plans.cycle import field_facts, rewrite_table
 from tracewell.plans.cycle import statement_findings as findings_plan
 from tracewell.session import work_path
 from tracewell.sources import docs, logs
@@ -415,6 +417,21 @@ def table_rewrite(spark, sf):
     return out.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
+def table_rewrite_swapped(spark, sf):
+    """Two copies of the orders one after the other, read by the name that points at the second."""
+    orders, run = views.table(spark, sf, "orders"), uuid.uuid4().hex
+    alias = f"orders_now_{run}"
+    types = {"o_orderkey": "string", "o_custkey": "int", "o_orderdate": "date"}
+    open_orders = F.col("o_orderstatus") != "P"
+    for step, where in enumerate((open_orders, F.col("o_orderstatus") != "F")):
+        rewrite_table(
+            orders, f"orders_{step}_{run}", alias, types, where, ("o_orderstatus",),
+            {"o_orderpriority": "priority"}, work_path(spark, "orders-copy"),
+        )
+    out = spark.table(alias)
+    return out.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
 def template_match(spark, sf):
     part = views.table(spark, sf, "part")
     names = part.select(
@@ -560,7 +577,7 @@ NAMES = [
     "vector_topk_tiled", "knowledge_search", "latency_stats", "latency_compare",
     "cost_mtd_projection", "cost_decisions", "approval_ids", "pending_approvals",
     "approval_resolved", "action_tally", "workflow_status", "conversation_outcome",
-    "table_rewrite", "template_match", "stream_hourly_slow", "stream_sliding_slow",
+    "table_rewrite", "table_rewrite_swapped", "template_match", "stream_hourly_slow", "stream_sliding_slow",
     "stream_top_per_day", "stream_breaker_alert", "stream_findings", "stream_approvals",
     "stream_approval_outcomes", "stream_bursts", "stream_knowledge_base",
 ]

@@ -406,6 +406,10 @@ ORACLE = {
         CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, o_totalprice,
         strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority AS priority
       FROM orders WHERE o_orderstatus <> 'P'""",
+    "table_rewrite_swapped": """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+        CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, o_totalprice,
+        strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority AS priority
+      FROM orders WHERE o_orderstatus <> 'F'""",
     "template_match": """WITH names AS (
         SELECT 'logs-' || lower(p_type) || '-' || lower(p_brand) || '-' || p_partkey AS name FROM part),
       templates AS (
