@@ -21,6 +21,7 @@ from tracewell.operators import (
     report,
     rewrite,
     search,
+    snapshots,
     telemetry,
 )
 from tracewell.operators.cardinality import field_cardinality
@@ -124,6 +125,21 @@ def catalog_latest(spark, sf):
     )
 
 
+def catalog_snapshots(spark, sf):
+    """The history in three snapshots, the last first and the middle one twice; its newest state."""
+    history, base = views.catalog_history(spark, sf), work_path(spark, "catalog")
+    on = F.to_date("refreshed_at")
+    cuts = [F.lit(c).cast("date") for c in views.SNAPSHOT_CUTS]
+    parts = [on >= cuts[1], on < cuts[0], *[(on >= cuts[0]) & (on < cuts[1])] * 2]
+    for part in parts:
+        snapshots.append_snapshot(history.where(part), base)
+    out = snapshots.newest(spark, base)
+    return out.select(
+        "index_name", "field_name", "field_type", F.col("settings.shards").alias("shards"),
+        F.col("refreshed_on").cast("string").alias("refreshed_on"),
+    )
+
+
 def catalog_flatten(spark, sf):
     return catalog.flatten_mappings(catalog.skip_system(views.mapping_docs(spark, sf)))
 
@@ -568,7 +584,7 @@ def stream_knowledge_base(spark, sf):
 NAMES = [
     "slowest_statements", "slowest_by_index", "node_metrics", "breaker_hot_nodes",
     "source_coverage", "field_cardinality_exact", "field_cardinality_approx", "catalog_like",
-    "catalog_latest", "catalog_flatten", "catalog_enriched", "catalog_summary",
+    "catalog_latest", "catalog_snapshots", "catalog_flatten", "catalog_enriched", "catalog_summary",
     "wildcard_clauses", "wildcard_findings", "breaker_text", "unbounded_terms",
     "nested_clauses", "script_clauses", "regexp_clauses", "fuzzy_clauses",
     "statement_findings", "statement_findings_by_user", "severity_summary",

@@ -293,6 +293,10 @@ ORACLE = {
     "catalog_latest": f"""WITH {HISTORY} SELECT index_name, field_name, field_type, shards
       FROM history QUALIFY row_number() OVER (PARTITION BY index_name, field_name
         ORDER BY refreshed_at DESC, field_type DESC) = 1""",
+    "catalog_snapshots": f"""WITH {HISTORY} SELECT index_name, field_name, field_type, shards,
+        strftime(refreshed_at, '%Y-%m-%d') AS refreshed_on
+      FROM history QUALIFY row_number() OVER (PARTITION BY index_name, field_name
+        ORDER BY refreshed_at DESC, field_type DESC) = 1""",
     "catalog_flatten": f"""WITH {INDICES}, {FIELDS}
       SELECT index_name, field_name, field_type FROM fields""",
     "catalog_enriched": f"""WITH {INDICES}, {FIELDS}, stats AS (

@@ -55,6 +55,7 @@ ACTIONS = [
     "reindex", "query_rewrite", "mapping_change", "scale_node", "new_node", "update_alias", "reboot",
 ]
 PREFIXES = ["https://blog.", "https://www.", "https://m."]
+SNAPSHOT_CUTS = ["2024-01-11", "2024-01-21"]
 COST_AS_OF = "1998-06-16"
 
 
