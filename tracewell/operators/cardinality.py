@@ -30,6 +30,14 @@ def referenced_fields(
     return found
 
 
+def sketched(table: DataFrame, field: str) -> Column:
+    """A column in a type that sketches take."""
+    value, kind = F.col(f"`{field}`"), table.schema[field].dataType
+    if not isinstance(kind, (IntegerType, LongType, StringType, BinaryType)):
+        value = value.cast("string")
+    return value
+
+
 def field_cardinality(
     tables: Mapping[str, DataFrame],
     fields: Mapping[str, Sequence[str]],
@@ -44,10 +52,7 @@ def field_cardinality(
     """
 
     def estimate(table: DataFrame, field: str) -> Column:
-        value, kind = F.col(field), table.schema[field].dataType
-        if not isinstance(kind, (IntegerType, LongType, StringType, BinaryType)):
-            value = value.cast("string")
-        sketch = F.hll_sketch_agg(value, sketch_bits)
+        sketch = F.hll_sketch_agg(sketched(table, field), sketch_bits)
         return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0).cast("bigint"))
 
     def count(table: DataFrame, field: str) -> Column:

@@ -6,6 +6,8 @@ TIMESTAMP_NTZ; see ``event_time``) and return a streaming DataFrame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,8 +17,10 @@ from tracewell.functions import statements as st
 from tracewell.functions.ledger import is_decision
 from tracewell.functions.vectors import EmbedderFactory
 from tracewell.operators import diagnosis, knowledge
+from tracewell.operators.sizes import MAX_BROADCAST_ROWS, dropped, landed
 
 DELAY = "10 minutes"
+SALTS = 16
 READ, GIVEN = "rows_read", "rows_given"  # counts in the progress of windowed streams
 
 
@@ -135,6 +139,52 @@ def live_findings(log: DataFrame, facts: diagnosis.Facts) -> DataFrame:
     )
 
 
+def findings_of_rows(log: DataFrame, facts: diagnosis.Facts) -> DataFrame:
+    """The rows of ``live_findings`` for a batch of the log, with each statement looked at once.
+
+    Starts a job: the findings of the distinct statements are written, and sent to
+    the log rows if they are few. Beyond that both are shuffled with a salt, so
+    that a statement with a third of all rows is spread.
+    """
+    keys = list(diagnosis.KEYS)
+    distinct = log.select(*keys).distinct()
+    found = landed(live_findings(distinct, facts), "batch-findings")
+    found = found.select(*(F.col(k).alias(f"_{k}") for k in keys), "code", F.col("field").alias("_field"), "message", "hint")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    if found.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        joined = log.join(F.broadcast(found), same)
+    else:
+        simple = [f.name for f in log.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        salted = log.withColumn("_own", F.pmod(F.xxhash64(*simple), F.lit(SALTS)).cast("int"))
+        joined = salted.join(found.select("*", salts), [*same, F.col("_own") == F.col("_salt")])
+    return joined.select(*log.columns, "code", F.col("_field").alias("field"), "message", "hint")
+
+
+def run_live_findings(
+    log: DataFrame, facts: Callable[[], diagnosis.Facts], path: str, checkpoint: str
+) -> StreamingQuery:
+    """Findings of each log row with the facts of the moment; each batch owns one folder.
+
+    ``facts`` is called once per batch and measures anew what is known of the
+    fields then, as ``measure_facts`` does; its table is dropped after the batch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = facts()
+        findings_of_rows(batch, known).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        dropped(known.rows)
+
+    query = (
+        log.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
 def expiring_approvals(
     requests: DataFrame,
     decisions: DataFrame,

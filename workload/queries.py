@@ -15,6 +15,7 @@ from tracewell.operators import (
     catalog,
     cost,
     diagnosis,
+    field_sketches,
     knowledge,
     latency,
     ledger,
@@ -546,6 +547,23 @@ def stream_findings(spark, sf):
     return out.withColumn("field", F.coalesce("field", F.lit("")))
 
 
+def stream_findings_fresh(spark, sf):
+    """Findings of the log with facts that are measured at each batch, from sketches by day."""
+    path, tables = work_path(spark, "sketches"), views.searched_tables(spark, sf)
+    for name, fields in views.SEARCHED_FIELDS.items():
+        day = F.expr(views.SKETCH_DAYS.get(name, "NULL"))
+        field_sketches.write_sketches(field_sketches.day_sketches(tables[name], name, fields, day), path)
+
+    def facts() -> diagnosis.Facts:
+        known = field_sketches.estimated_cardinality(spark, path)
+        return field_facts(views.field_catalog(spark), field_sketches.settled_cardinality(known, tables))
+
+    out = work_path(spark, "fresh")
+    live.run_live_findings(_log_stream(spark, sf), facts, out, work_path(spark, "fresh-progress"))
+    found = spark.read.parquet(out)
+    return found.select("user_id", "statement", "code", F.coalesce("field", F.lit("")).alias("field"))
+
+
 def stream_approvals(spark, sf):
     requests = ledger.change_requests(views.change_of(_stream(spark, sf, "orders")))
     decisions = views.decision_of(_stream(spark, sf, "orders"))
@@ -594,7 +612,7 @@ NAMES = [
     "cost_mtd_projection", "cost_decisions", "approval_ids", "pending_approvals",
     "approval_resolved", "action_tally", "workflow_status", "conversation_outcome",
     "table_rewrite", "table_rewrite_swapped", "template_match", "stream_hourly_slow", "stream_sliding_slow",
-    "stream_top_per_day", "stream_breaker_alert", "stream_findings", "stream_approvals",
+    "stream_top_per_day", "stream_breaker_alert", "stream_findings", "stream_findings_fresh", "stream_approvals",
     "stream_approval_outcomes", "stream_bursts", "stream_knowledge_base",
 ]
 

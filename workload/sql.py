@@ -453,6 +453,15 @@ ORACLE = {
           END FROM ({TEXT_HITS}))
       SELECT user_id, statement, code, field, message
       FROM slowlog JOIN allhits USING (index_name, statement)""",
+    "stream_findings_fresh": f"""WITH {SLOWLOG}, st AS (SELECT DISTINCT index_name, statement FROM slowlog),
+      {CATALOG}, {CARDINALITY}, {CLAUSES}, {WILDCARD_HITS}, allhits AS (
+        SELECT index_name, statement, code, field, message FROM hits UNION ALL
+        SELECT index_name, statement, code, '', CASE code
+          {" ".join(f"WHEN '{c}' THEN {q(rules.MESSAGES[c].replace('{count}', '2'))}" for c in
+                    (rules.BREAKER, rules.UNBOUNDED, rules.NESTING, rules.SCRIPT, rules.REGEXP))}
+          END FROM ({TEXT_HITS}))
+      SELECT user_id, statement, code, field
+      FROM slowlog JOIN allhits USING (index_name, statement)""",
     # a timeout that cannot have passed yet is not decided
     "stream_approvals": f"""WITH {RESOLVED} SELECT approval_id, payload, outcome FROM resolved
       WHERE outcome <> 'rejected_timeout' OR ts + INTERVAL 300 SECOND < (

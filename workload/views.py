@@ -51,6 +51,7 @@ SEARCHED_FIELDS = {
     "lineitem": ["l_orderkey"],
     "customer": ["c_name", "c_mktsegment"],
 }
+SKETCH_DAYS = {"events": "ts", "lineitem": "trunc(l_shipdate, 'MM')"}  # years of rows: one day a month
 ACTIONS = [
     "reindex", "query_rewrite", "mapping_change", "scale_node", "new_node", "update_alias", "reboot",
 ]
