@@ -47,13 +47,35 @@ def test_flatten(spark):
     }
 
 
-def test_flatten_is_never_cut_short(spark):
-    docs = spark.createDataFrame([("deep", json.dumps(nest(20)))], "index_name string, mapping string")
-    assert catalog.flatten_mappings(docs).count() == 20
-    docs = spark.createDataFrame([("deep", json.dumps(nest(21)))], "index_name string, mapping string")
-    with pytest.raises(Exception, match="mapping deeper than 20 levels"):
-        catalog.flatten_mappings(docs).collect()
-    assert catalog.flatten_mappings(docs, max_depth=25).count() == 21
+def tree(levels):
+    """All fields of ``nest(levels)`` as (name, type), found by a plain walk."""
+    found, todo = set(), [("", nest(levels))]
+    while todo:
+        prefix, node = todo.pop()
+        for name, child in node.get("properties", {}).items():
+            found.add((prefix + name, child.get("type", "object")))
+            todo.append((prefix + name + ".", child))
+    return found
+
+
+@pytest.mark.parametrize("levels", [3, 20])
+def test_flatten_goes_to_any_depth(spark, levels):
+    depths = [1, 2, 3, 4, 6, 7, 20, 21, 60]
+    docs = [(f"d{n}", n, {"n": n}, json.dumps(nest(n))) for n in depths]
+    wide = {"properties": {f"o{i}": {"properties": {"x": {"type": "long"}}} for i in range(30)}}
+    spelled = json.dumps(nest(60)).replace("properties", "\\u0070roperties")
+    docs += [("spelled", 0, None, spelled), ("wide", 0, None, json.dumps(wide)), ("none", 0, None, "{}"), (None, 0, None, None)]
+    frame = spark.createDataFrame(docs, "index_name string, n int, settings map<string,int>, mapping string")
+    rows = catalog.flatten_mappings(frame, levels).collect()
+    for n in depths:
+        mine = [(r.field_name, r.field_type) for r in rows if r.index_name == f"d{n}"]
+        assert len(mine) == len(set(mine)) and set(mine) == tree(n)
+    assert all(r.settings == {"n": r.n} for r in rows if r.n)
+    assert sum(r.index_name == "wide" for r in rows) == sum(r.index_name == "spelled" for r in rows) == 60
+    assert [r.field_name for r in rows if r.index_name in ("none", None)] == ["_doc", "_doc"]
+    flat = frame.where("n < 3 and index_name <> 'wide'")
+    assert flat.where(catalog._is_deeper(3)).count() == 0
+    assert catalog.flatten_mappings(frame.limit(0), levels).count() == 0
 
 
 def test_build_catalog(spark):

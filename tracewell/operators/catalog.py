@@ -7,64 +7,97 @@ from pyspark.sql import functions as F
 
 from tracewell import rules
 from tracewell.functions.text import glob_to_like
+from tracewell.operators.sizes import landed
 
-FIELD_ROWS = "array<struct<field_name:string,field_type:string>>"
-MAX_DEPTH = 20  # the usual depth limit of a document mapping
+FIELD_ROWS = "array<struct<field_name:string,field_type:string,rest:variant>>"
+LEVELS = 20  # levels of a mapping that one pass walks; the usual depth limit
 
 
 def skip_system(indices: DataFrame) -> DataFrame:
     return indices.where(~F.col("index_name").startswith("."))
 
 
-def mapping_fields(mapping: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """Array of (field_name, field_type) for every field of a mapping, parents included.
+def mapping_fields(node: Column, prefix: Column | None = None, levels: int = LEVELS) -> Column:
+    """Array of (field_name, field_type, rest) for the fields of a mapping, parents included.
 
-    The tree is walked by one nested expression, so there is no shuffle and no
-    iteration. A mapping nested deeper than ``max_depth`` raises; it is never cut.
+    The tree is walked by one nested expression, so there is no shuffle. A field
+    at the last level that has fields of its own comes with its node as ``rest``;
+    for all others it is null.
     """
     empty = F.array().cast(FIELD_ROWS)
+    nothing = F.lit(None).cast("variant")
 
-    def level(node: Column, prefix: Column | None, depth: int) -> Column:
-        children = F.map_entries(F.try_variant_get(node, "$.properties", "map<string,variant>"))
+    def properties(of: Column) -> Column:
+        return F.try_variant_get(of, "$.properties", "map<string,variant>")
 
+    def level(of: Column, prefix: Column | None, depth: int) -> Column:
         def rows(child: Column) -> Column:
             name = child["key"] if prefix is None else F.concat(prefix, F.lit("."), child["key"])
             kind = F.try_variant_get(child["value"], "$.type", "string")
+            last = depth == levels
+            rest = F.when(F.size(properties(child["value"])) > 0, child["value"]) if last else nothing
             own = F.array(
                 F.struct(
                     name.alias("field_name"),
                     F.coalesce(kind, F.lit("object")).alias("field_type"),
+                    rest.alias("rest"),
                 )
             )
-            if depth < max_depth:
-                return F.concat(own, level(child["value"], name, depth + 1))
-            deeper = F.try_variant_get(child["value"], "$.properties", "map<string,variant>")
-            message = F.concat(F.lit(f"mapping deeper than {max_depth} levels at "), name)
-            return F.when(F.size(deeper) > 0, F.raise_error(message).cast(FIELD_ROWS)).otherwise(own)
+            return own if last else F.concat(own, level(child["value"], name, depth + 1))
 
-        return F.coalesce(F.flatten(F.transform(children, rows)), empty)
+        return F.coalesce(F.flatten(F.transform(F.map_entries(properties(of)), rows)), empty)
 
-    return level(F.parse_json(mapping), None, 1)
+    return level(node, prefix, 1)
 
 
-def flatten_mappings(mapping_docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(index_name, mapping) to one row per field; an index without fields gives ``_doc``."""
-    fields = mapping_fields(F.col("mapping"), max_depth)
+def _is_deeper(levels: int) -> Column:
+    """Has the mapping more levels than one pass walks? Walked only where it names so many objects."""
+    walked = mapping_fields(F.parse_json("mapping"), levels=levels)
+    # a backslash may spell the word otherwise
+    objects = F.regexp_count("mapping", F.lit(r'"properties"|\\'))
+    return F.when(objects > levels, F.exists(walked, lambda f: f["rest"].isNotNull())).otherwise(False)
+
+
+def flatten_mappings(
+    mapping_docs: DataFrame, levels: int = LEVELS, any_deeper: bool | None = None
+) -> DataFrame:
+    """(index_name, mapping) to one row per field; an index without fields gives ``_doc``.
+
+    Mappings may be nested to any depth. Starts a job to see whether one has
+    more than ``levels`` levels, unless ``any_deeper`` says so. The rare ones
+    that have are walked that many levels a pass: each pass writes its fields
+    and goes on with those that are not at their end.
+    """
+    if any_deeper is None:
+        any_deeper = not mapping_docs.where(_is_deeper(levels)).isEmpty()
+    keep = [c for c in mapping_docs.columns if c != "mapping"]
+    if not any_deeper:
+        return _fields(mapping_docs, keep, levels).select(*keep, "f.field_name", "f.field_type")
+    docs = landed(mapping_docs, "mappings")  # read by both parts
+    deeper = F.coalesce(_is_deeper(levels), F.lit(False))
+    flat = _fields(docs.where(~deeper), keep, levels).select(*keep, "f.field_name", "f.field_type")
+    found = landed(_fields(docs.where(deeper), keep, levels).select(*keep, "f.*"), "mapping-fields")
+    while True:
+        flat = flat.unionByName(found.select(*keep, "field_name", "field_type"))
+        open_nodes = found.where("rest is not null")
+        if open_nodes.isEmpty():
+            return flat
+        below = mapping_fields(F.col("rest"), F.col("field_name"), levels)
+        found = landed(open_nodes.select(*keep, F.explode(below).alias("f")).select(*keep, "f.*"), "mapping-fields")
+
+
+def _fields(mapping_docs: DataFrame, keep: list[str], levels: int) -> DataFrame:
+    fields = mapping_fields(F.parse_json("mapping"), levels=levels)
     placeholder = F.array(
         F.struct(
-            F.lit("_doc").alias("field_name"), F.lit(rules.UNKNOWN_TYPE).alias("field_type")
+            F.lit("_doc").alias("field_name"),
+            F.lit(rules.UNKNOWN_TYPE).alias("field_type"),
+            F.lit(None).cast("variant").alias("rest"),
         )
     )
-    keep = [c for c in mapping_docs.columns if c != "mapping"]
-    return (
-        mapping_docs.select(*keep, fields.alias("fields"))
-        .select(
-            *keep,
-            F.explode(
-                F.when(F.size("fields") > 0, F.col("fields")).otherwise(placeholder)
-            ).alias("f"),
-        )
-        .select(*keep, "f.field_name", "f.field_type")
+    return mapping_docs.select(*keep, fields.alias("fields")).select(
+        *keep,
+        F.explode(F.when(F.size("fields") > 0, F.col("fields")).otherwise(placeholder)).alias("f"),
     )
 
 
@@ -74,13 +107,15 @@ def build_catalog(
     stats: DataFrame,
     aliases: DataFrame,
     refreshed_at: Column | None = None,
-    max_depth: int = MAX_DEPTH,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Mappings with the settings, stats and aliases of their index.
 
     The four inputs hold one row per index. They are joined at that size; the
-    explosion to fields comes last, so no field row is ever shuffled.
+    explosion to fields comes last, so no field row is ever shuffled. Starts a
+    job over the mappings alone, see ``flatten_mappings``.
     """
+    any_deeper = not skip_system(mapping_docs).where(_is_deeper(levels)).isEmpty()
     per_index = (
         skip_system(mapping_docs)
         .join(settings, "index_name", "left")
@@ -102,7 +137,7 @@ def build_catalog(
         )
     )
     refreshed = F.current_timestamp() if refreshed_at is None else refreshed_at
-    return flatten_mappings(per_index, max_depth).select(
+    return flatten_mappings(per_index, levels, any_deeper).select(
         "index_name",
         "field_name",
         "field_type",

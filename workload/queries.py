@@ -152,7 +152,7 @@ def _enriched(spark, sf):
         views.index_stats(spark, sf),
         views.index_aliases(spark, sf),
         F.lit(views.AS_OF),
-        max_depth=8,  # deeper raises; a shallower expression is planned faster
+        levels=8,  # in one pass; a shallower expression is planned faster
     )
 
 
