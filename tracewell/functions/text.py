@@ -20,7 +20,8 @@ def glob_matches(name: Column, pattern: Column) -> Column:
     """Does ``name`` match the glob held in another column?"""
     quoted = F.regexp_replace(pattern, r"([\\^$.|+()\[\]{}])", r"\\$1")
     regex = F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", ".")
-    return F.rlike(name, F.concat(F.lit("(?s)^"), regex, F.lit("$")))
+    # \z, since $ also stands in front of a last line end
+    return F.rlike(name, F.concat(F.lit("(?s)^"), regex, F.lit(r"\z")))
 
 
 def glob_pieces(pattern: Column) -> Column:
@@ -28,11 +29,6 @@ def glob_pieces(pattern: Column) -> Column:
     return F.split(pattern, r"[*?]+")
 
 
-def glob_prefix(pattern: Column) -> Column:
-    """The literal text in front of the first ``*`` or ``?``."""
-    return F.regexp_extract(pattern, r"^[^*?]*", 0)
-
-
 def strip_whitespace(text: Column) -> Column:
     """Cut Unicode whitespace off both ends."""
     return F.btrim(text, F.lit(rules.WHITESPACE_CHARS))

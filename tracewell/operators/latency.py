@@ -20,18 +20,23 @@ def latency_stats(
     the slowest. ``exact_p95=False`` takes the sketch alone: one pass, no join.
     """
     keys = list(keys)
-    plain = [
+    if exact_p95:
+        stats = nearest_rank(runs, keys, "elapsed_ms", rules.P95)
+        return stats.select(
+            *keys,
+            F.col("least").alias("min_ms"),
+            F.col("most").alias("max_ms"),
+            (F.col("total") / F.col("rows")).alias("avg_ms"),
+            F.col("ranked").alias("p95_ms"),
+            F.col("rows").alias("iterations"),
+        )
+    return runs.groupBy(*keys).agg(
         F.min("elapsed_ms").alias("min_ms"),
         F.max("elapsed_ms").alias("max_ms"),
         F.avg("elapsed_ms").alias("avg_ms"),
+        F.percentile_approx("elapsed_ms", rules.P95).alias("p95_ms"),
         F.count("elapsed_ms").alias("iterations"),
-    ]
-    if exact_p95:
-        stats = nearest_rank(runs, keys, "elapsed_ms", rules.P95, "p95_ms", plain)
-    else:
-        sketch = F.percentile_approx("elapsed_ms", rules.P95).alias("p95_ms")
-        stats = runs.groupBy(*keys).agg(*plain, sketch)
-    return stats.select(*keys, "min_ms", "max_ms", "avg_ms", "p95_ms", "iterations")
+    )
 
 
 def latency_compare(

@@ -9,64 +9,82 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.sizes import landed
 
-BUCKETS = 4096
-LEVELS = 3  # a bucket of the last level is a 2 ** -36 part of a group's range
+STEPS = 64  # buckets per doubling of a value
+PARTS = 4096  # a crowded bucket is divided again into so many
+CROWDED = 100_000  # distinct values that one task puts in order
 
 MAX_TOP_ROWS = 100_000
 SLOT_ROWS = 50_000
 
 
-def nearest_rank(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    share: float,
-    name: str,
-    also: Sequence[Column] = (),
-) -> DataFrame:
+def magnitude(value: Column) -> Column:
+    """A whole number that never falls as a double rises: one of STEPS buckets per doubling.
+
+    Needs no look at the data first. NaN comes last, as in Spark's order.
+    """
+    lowest = 1075 * STEPS  # the least double is 2 ** -1074
+    size = F.abs(value)
+    # an infinite size has no whole logarithm
+    steps = F.when(size < float("inf"), F.floor(F.log2(size) * STEPS) + lowest).otherwise(3000 * STEPS)
+    place = F.when(value > 0, steps).when(value < 0, -steps).otherwise(0)
+    return F.when(F.isnan(value), 3001 * STEPS).otherwise(place).cast("int")
+
+
+def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
     """Exact element ``floor(n * share)`` (0-based) of each group's sorted values.
 
-    Values of a group are counted in BUCKETS equal parts of its range, before the
-    shuffle; running sums over the buckets show which one holds the rank. That
-    bucket is divided again, LEVELS times, and the distinct values that are left
-    are put in order. No task gets more of a group than its buckets, and the
-    counts are exact, so no rank is missed. A null key is a group like any
-    other; NaN counts as the largest value. Starts a job per level.
+    Gives ``keys``, ``ranked`` and, of the values, ``rows``, ``total``, ``least`` and
+    ``most``. Two scans. The first counts values by order of magnitude, before the
+    shuffle; running sums show which bucket of a group holds the rank, and sums
+    over its buckets give the rest. The second lands the distinct values of that
+    bucket with their counts, unless it holds a single value. Only a bucket with
+    more than CROWDED distinct values is divided further, on what was landed.
+    Counts are exact, so no rank is missed, and no task gets more of a group than
+    its buckets or CROWDED values. A null key is a group like any other; null
+    values are left out, NaN counts as the largest value. Starts jobs.
     """
     keys = list(keys)
-    rows = rows.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
-    number = F.when(~F.isnan(value), F.col(value))
-    groups = rows.groupBy(*keys).agg(
-        *also,
-        F.count(F.lit(1)).alias("_n"),
-        F.min(number).alias("_low"),
-        F.max(number).alias("_high"),
+    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    rows = rows.withColumn("_bucket", magnitude(F.col("_v")))
+    counted = rows.groupBy(*keys, "_bucket").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_t"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
     )
-    rank = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
-    groups = landed(groups.withColumn("_rank", rank).drop("_n"), "rank-groups")
-    carried = [c for c in groups.columns if c not in (*keys, "_low", "_high", "_rank")]
-    place = F.when(F.isnan(value), BUCKETS + 2).when(F.col("_low") == F.col("_high"), 1)
-    place = place.otherwise(F.width_bucket(value, "_low", "_high", F.lit(BUCKETS))).alias("_bucket")
-    up_to = Window.partitionBy(*keys).orderBy("_bucket")
-    for level in range(LEVELS + 1):
-        last = level == LEVELS
-        inside = F.col(value).between(F.col("_low"), F.col("_high"))
-        if level == 0:
-            inside = inside | F.isnan(value)
-        reached = _joined(rows.select(*keys, value), groups.select(*keys, "_low", "_high", "_rank"), keys)
-        reached = reached.where(inside)
-        bucket = F.col(value).alias("_bucket") if last else place
-        counted = reached.groupBy(*keys, "_rank", bucket).agg(
-            F.count(F.lit(1)).alias("_c"), F.min(value).alias("_low"), F.max(value).alias("_high")
-        )
-        counted = counted.withColumn("_before", F.sum("_c").over(up_to) - F.col("_c"))
-        holds = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
-        found = counted.where(holds).select(
-            *keys, "_low", "_high", (F.col("_rank") - F.col("_before")).alias("_rank")
+    group = Window.partitionBy(*keys)
+    counted = counted.withColumns(
+        {
+            "_before": F.sum("_c").over(group.orderBy("_bucket")) - F.col("_c"),
+            "rows": F.sum("_c").over(group),
+            "total": F.sum("_t").over(group),
+            "least": F.min("_low").over(group),
+            "most": F.max("_high").over(group),
+        }
+    )
+    rank = F.least(F.floor(F.col("rows") * share), F.col("rows") - 1)
+    kept = [*keys, "rows", "total", "least", "most"]
+    groups = counted.withColumn("_rank", rank - F.col("_before")).where("_rank >= 0 and _rank < _c")
+    groups = landed(groups.select(*kept, "_bucket", "_low", "_high", "_rank"), "rank-groups")
+    open_groups = groups.where("_low < _high").select(*keys, "_bucket", "_low", "_high", "_rank")
+    # a hot group is spread over its buckets, and meets its rank in one of them
+    values = _joined(rows, open_groups.select(*keys, "_bucket"), [*keys, "_bucket"])
+    values = landed(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "rank-values")
+    while True:
+        # values that a group's last division left out stand outside its bounds
+        inside = _joined(values, open_groups.drop("_bucket"), keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        crowd = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("n")).head().n
+        if (crowd or 0) <= CROWDED:
+            break
+        place = F.when(F.col("_v") == F.col("_low"), 0).otherwise(F.width_bucket("_v", "_low", "_high", F.lit(PARTS)))
+        parts = inside.groupBy(*keys, "_rank", place.alias("_bucket")).agg(
+            F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
         )
-        kept = groups.select(*keys, *carried)
-        groups = landed(_joined(kept, found, keys), f"rank-level-{level}")
-    return groups.select(*keys, *carried, F.col("_low").alias(name))
+        before = F.sum("_c").over(group.orderBy("_bucket")) - F.col("_c")
+        parts = parts.withColumn("_rank", F.col("_rank") - before).where("_rank >= 0 and _rank < _c")
+        open_groups = landed(parts.select(*keys, "_bucket", "_low", "_high", "_rank"), "rank-parts")
+    up_to = F.sum("_c").over(group.orderBy("_v"))
+    found = inside.withColumn("_up_to", up_to).where("_up_to > _rank and _up_to - _c <= _rank")
+    found = found.select(*keys, F.col("_v").alias("ranked"))
+    single = groups.where("not _low < _high").select(*kept, F.col("_low").alias("ranked"))
+    return single.unionByName(_joined(groups.where("_low < _high").select(*kept), found, keys))
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,52 +2,116 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from tracewell.functions.text import glob_matches, glob_pieces, glob_prefix
+from tracewell.functions.text import glob_matches, glob_pieces
+from tracewell.operators.ranking import numbered_rows
+from tracewell.operators.sizes import broadcast_if_small, landed
 
 
-def match_templates(names: DataFrame, templates: DataFrame) -> DataFrame:
-    """Best template per table name: (name, template_name, pattern, priority).
+GRAM_SIZES = (8, 4, 2, 1)  # characters of an index key: the longest that a pattern's literal text has
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters that a text holds."""
+    places = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    pieces = F.transform(places, lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
 
-    ``templates`` is (template_name, patterns, priority). A pattern can only
-    match names that begin with its literal prefix, so names and patterns meet
-    by equality on the prefix and the glob is tested on those alone. The best
-    is kept while the matches are merged, so no name gathers its matches.
+def _grams_of_names(names: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(name, gram): every gram of the given sizes in a name, once."""
+    grams = F.concat(F.array().cast("array<string>"), *(_grams(F.col("name"), n) for n in sizes))
+    return names.select("name", F.explode(grams).alias("gram"))
 
-    Starts a job to read the distinct prefix lengths (a few small numbers).
+
+def _keyed_patterns(names: DataFrame, patterns: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``patterns`` with ``gram``, their literal piece that fewest names hold, and the sizes in use.
+
+    A pattern one of whose grams is in no name can match none and is left out.
+    Starts jobs; the names are read once, and only grams of patterns are counted.
     """
-    patterns = templates.select(
-        "template_name", "priority", F.explode("patterns").alias("pattern")
-    ).withColumns(
-        {"prefix": glob_prefix(F.col("pattern")), "pieces": glob_pieces(F.col("pattern"))}
-    )
-    lengths = [row.n for row in patterns.select(F.length("prefix").alias("n")).distinct().collect()]
-    keyed = (
-        names.select("name")
-        .distinct()
-        .select("name", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("n"))
-        .where(F.col("n") <= F.length("name"))
-        .select("name", F.substr("name", F.lit(1), F.col("n")).alias("prefix"))
+    sized = patterns.withColumn(
+        "size", F.array_max(F.transform("pieces", lambda piece: F.length(piece)))
+    ).where("size > 0")
+    size = F.coalesce(*(F.when(F.col("size") >= n, F.lit(n)) for n in GRAM_SIZES))
+    sized = sized.withColumn("size", size)
+
+    def of_size(n: int) -> DataFrame:
+        grams = F.flatten(F.transform("pieces", lambda piece: _grams(piece, n)))
+        rows = sized.where(F.col("size") == n)
+        return rows.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
+
+    wanted = landed(reduce(DataFrame.unionAll, map(of_size, GRAM_SIZES)), "pattern-grams")
+    sizes = [row.n for row in wanted.select(F.length("gram").alias("n")).distinct().collect()]
+    asked = broadcast_if_small(wanted.select("gram").distinct())
+    held = _grams_of_names(names, sorted(sizes)).join(asked, "gram", "left_semi")
+    held = held.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    counted = wanted.join(held, "gram", "left")
+    # the count first: its width is fixed, and ties go to the same gram on every run
+    rarest = counted.groupBy("id").agg(
+        F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("key")
     )
-    best = F.max_by(
-        F.struct("template_name", "pattern", "priority"),
-        F.struct("priority", "template_name", "pattern"),
+    keyed = rarest.where("key.names > 0").select("id", F.col("key.gram").alias("gram"))
+    return landed(keyed.join(patterns, "id"), "pattern-keys"), sorted(sizes)
+
+
+def _best_by_length(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(name, id): the best of the patterns that hold wildcards only, which ask for a length.
+
+    Names and patterns meet as lengths, of which there are few, so neither is paired with the other.
+    """
+    least = F.length(F.replace(F.col("pattern"), F.lit("*")))
+    asks = patterns.where(F.forall("pieces", lambda piece: piece == "")).select(
+        least.alias("least"), F.contains("pattern", F.lit("*")).alias("open"), "id"
     )
+    asks = asks.groupBy("least", "open").agg(F.max("id").alias("id"))
+    sized = names.select("name", F.length("name").alias("n"))
+    lengths = sized.select("n").distinct()
+    fits = (F.col("least") == F.col("n")) | (F.col("open") & (F.col("least") < F.col("n")))
+    # one row per length on both sides
+    best = lengths.join(F.broadcast(asks), fits).groupBy("n").agg(F.max("id").alias("id"))
+    return sized.join(best, "n").select("name", "id")
+
+
+def match_templates(names: DataFrame, templates: DataFrame) -> DataFrame:
+    """Best template per table name: (name, template_name, pattern, priority).
+
+    ``templates`` is (template_name, patterns, priority). Ties of priority go to
+    the last template name, then pattern. A match holds every literal piece of
+    its pattern, so each pattern is listed under the one of its grams that
+    fewest names hold, names look their grams up there, and the glob is tested
+    on those pairs alone. Patterns without literal text ask for a length only
+    and are met by length. The order of patterns is a number, whose largest is
+    kept while the matches are merged: no name gathers its matches.
+
+    Null names and patterns match nothing; a repeated name gives one row. Starts
+    jobs on the patterns, and one over the names.
+    """
+    patterns = templates.select("template_name", "priority", F.explode("patterns").alias("pattern"))
+    patterns = patterns.where("pattern is not null").distinct()
+    patterns = numbered_rows(patterns, "priority", "template_name", "pattern", name="id")
+    patterns = landed(patterns.withColumn("pieces", glob_pieces(F.col("pattern"))), "patterns")
+    names = names.select("name").where("name is not null")
+    keyed, sizes = _keyed_patterns(names, patterns)
+    names = names.distinct()
     # cheap and needed for a match, so few pairs come to the regex
     holds_pieces = F.forall("pieces", lambda piece: F.contains(F.col("name"), piece))
-    return (
-        keyed.join(patterns, "prefix")
+    by_text = (
+        _grams_of_names(names, sizes)
+        .join(broadcast_if_small(keyed), "gram")
         .where(holds_pieces)
         .where(glob_matches(F.col("name"), F.col("pattern")))
-        .groupBy("name")
-        .agg(best.alias("b"))
-        .select("name", "b.*")
+        .select("name", "id")
     )
+    best = by_text.unionAll(_best_by_length(names, patterns)).groupBy("name").agg(F.max("id").alias("id"))
+    found = best.join(broadcast_if_small(patterns.drop("pieces")), "id")
+    return found.select("name", "template_name", "pattern", "priority")
 
 
 def apply_mapping(
