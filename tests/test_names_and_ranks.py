@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions import text as tx
 from tracewell.operators import ranking, rewrite
 
 TEMPLATES = "template_name string, patterns array<string>, priority int"
@@ -78,17 +79,14 @@ def test_a_name_meets_few_patterns(spark):
         F.array(F.format_string("*-app%05d-*", "id")).alias("patterns"),
         F.lit(1).alias("priority"),
     )
-    keyed, sizes = rewrite._keyed_patterns(
-        names, ranking.numbered_rows(
-            templates.select("template_name", "priority", F.explode("patterns").alias("pattern")), "pattern", name="id"
-        ).withColumn("pieces", F.split("pattern", r"[*?]+"))
-    )
-    pairs = rewrite._grams_of_names(names, sizes).join(keyed, "gram").count()
-    assert sizes == [8] and pairs <= 6000 * 100  # of 36 million
+    patterns = templates.select("template_name", F.explode("patterns").alias("pattern"))
+    patterns = ranking.numbered_rows(patterns, "pattern", name="id").withColumn("pieces", tx.glob_pieces(F.col("pattern")))
+    keyed = rewrite._under_rarest_gram(names, rewrite._with_grams(patterns), [8], True)
+    pairs = rewrite._grams_of_names(names, [8]).join(keyed, "gram").count()
+    assert 6000 <= pairs <= 6000 * 100  # of 36 million
     out = rewrite.match_templates(names, templates)
     assert out.where("substring(template_name, 2) = substring(name, 9, 5)").count() == 6000
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and "CartesianProduct" not in plan
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 # --- ranks -------------------------------------------------------------------

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,54 +10,50 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tracewell.functions.text import glob_matches, glob_pieces
 from tracewell.operators.ranking import numbered_rows
-from tracewell.operators.sizes import broadcast_if_small, landed
+from tracewell.operators.sizes import MAX_BROADCAST_ROWS
 
 
 GRAM_SIZES = (8, 4, 2, 1)  # characters of an index key: the longest that a pattern's literal text has
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The distinct pieces of ``size`` characters that a text holds."""
-    places = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    pieces = F.transform(places, lambda i: F.substr(text, i, F.lit(size)))
-    return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+def _grams_of_names(names: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(name, gram): every gram of the given sizes in a name; one that occurs twice is there twice."""
+    sized = names.select("name", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n"))
+    sized = sized.where(F.length("name") >= F.col("n"))
+    placed = sized.select("name", "n", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)).alias("i"))
+    return placed.select("name", F.substr("name", F.col("i"), F.col("n")).alias("gram"))
 
 
-def _grams_of_names(names: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """(name, gram): every gram of the given sizes in a name, once."""
-    grams = F.concat(F.array().cast("array<string>"), *(_grams(F.col("name"), n) for n in sizes))
-    return names.select("name", F.explode(grams).alias("gram"))
+def _with_grams(patterns: DataFrame) -> DataFrame:
+    """``patterns`` with the ``size`` of their grams, null without literal text, and all their ``grams``."""
+    longest = F.array_max(F.transform("pieces", lambda piece: F.length(piece)))
+    size = F.coalesce(*(F.when(longest >= n, F.lit(n)) for n in GRAM_SIZES))
+
+    def grams(piece: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(piece) - F.col("size") + 1)
+        cut = F.transform(places, lambda i: F.substr(piece, i, F.col("size")))
+        return F.when(F.length(piece) >= F.col("size"), cut).otherwise(F.array().cast("array<string>"))
+
+    sized = patterns.withColumn("size", size)
+    return sized.withColumn("grams", F.array_distinct(F.flatten(F.transform("pieces", grams))))
 
 
-def _keyed_patterns(names: DataFrame, patterns: DataFrame) -> tuple[DataFrame, list[int]]:
-    """``patterns`` with ``gram``, their literal piece that fewest names hold, and the sizes in use.
+def _under_rarest_gram(names: DataFrame, patterns: DataFrame, sizes: Sequence[int], small: bool) -> DataFrame:
+    """``patterns`` with ``gram``, the one of their grams that names hold least often.
 
     A pattern one of whose grams is in no name can match none and is left out.
-    Starts jobs; the names are read once, and only grams of patterns are counted.
+    Only grams of patterns are counted; ``small`` tells that they can be broadcast.
     """
-    sized = patterns.withColumn(
-        "size", F.array_max(F.transform("pieces", lambda piece: F.length(piece)))
-    ).where("size > 0")
-    size = F.coalesce(*(F.when(F.col("size") >= n, F.lit(n)) for n in GRAM_SIZES))
-    sized = sized.withColumn("size", size)
-
-    def of_size(n: int) -> DataFrame:
-        grams = F.flatten(F.transform("pieces", lambda piece: _grams(piece, n)))
-        rows = sized.where(F.col("size") == n)
-        return rows.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
-
-    wanted = landed(reduce(DataFrame.unionAll, map(of_size, GRAM_SIZES)), "pattern-grams")
-    sizes = [row.n for row in wanted.select(F.length("gram").alias("n")).distinct().collect()]
-    asked = broadcast_if_small(wanted.select("gram").distinct())
-    held = _grams_of_names(names, sorted(sizes)).join(asked, "gram", "left_semi")
-    held = held.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    counted = wanted.join(held, "gram", "left")
-    # the count first: its width is fixed, and ties go to the same gram on every run
-    rarest = counted.groupBy("id").agg(
-        F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("key")
+    wanted = patterns.select("id", "pattern", F.explode("grams").alias("gram"))
+    asked = wanted.select("gram")
+    held = _grams_of_names(names, sizes).join(F.broadcast(asked) if small else asked.distinct(), "gram", "left_semi")
+    held = held.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    # ties go to the same gram on every run
+    rarest = wanted.join(held, "gram", "left").groupBy("id", "pattern").agg(
+        F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("key")
     )
-    keyed = rarest.where("key.names > 0").select("id", F.col("key.gram").alias("gram"))
-    return landed(keyed.join(patterns, "id"), "pattern-keys"), sorted(sizes)
+    rarest = rarest.where("key.held > 0").select("id", "pattern", F.col("key.gram").alias("gram"))
+    return rarest.withColumn("pieces", glob_pieces(F.col("pattern")))
 
 
 def _best_by_length(names: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -67,7 +62,7 @@ def _best_by_length(names: DataFrame, patterns: DataFrame) -> DataFrame:
     Names and patterns meet as lengths, of which there are few, so neither is paired with the other.
     """
     least = F.length(F.replace(F.col("pattern"), F.lit("*")))
-    asks = patterns.where(F.forall("pieces", lambda piece: piece == "")).select(
+    asks = patterns.where("size is null").select(
         least.alias("least"), F.contains("pattern", F.lit("*")).alias("open"), "id"
     )
     asks = asks.groupBy("least", "open").agg(F.max("id").alias("id"))
@@ -91,27 +86,36 @@ def match_templates(names: DataFrame, templates: DataFrame) -> DataFrame:
     kept while the matches are merged: no name gathers its matches.
 
     Null names and patterns match nothing; a repeated name gives one row. Starts
-    jobs on the patterns, and one over the names.
+    jobs on the patterns; the names are read once to count and once to match.
     """
     patterns = templates.select("template_name", "priority", F.explode("patterns").alias("pattern"))
     patterns = patterns.where("pattern is not null").distinct()
     patterns = numbered_rows(patterns, "priority", "template_name", "pattern", name="id")
-    patterns = landed(patterns.withColumn("pieces", glob_pieces(F.col("pattern"))), "patterns")
+    patterns = _with_grams(patterns.withColumn("pieces", glob_pieces(F.col("pattern"))))
+    seen = patterns.agg(
+        F.collect_set("size").alias("sizes"),
+        F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams"),
+        F.count(F.lit(1)).alias("patterns"),
+        F.count_if(F.col("size").isNull()).alias("by_length"),
+    ).head()
+    few_grams, few = seen.grams <= MAX_BROADCAST_ROWS, seen.patterns <= MAX_BROADCAST_ROWS
     names = names.select("name").where("name is not null")
-    keyed, sizes = _keyed_patterns(names, patterns)
+    keyed = _under_rarest_gram(names, patterns, sorted(seen.sizes), few_grams)
     names = names.distinct()
     # cheap and needed for a match, so few pairs come to the regex
     holds_pieces = F.forall("pieces", lambda piece: F.contains(F.col("name"), piece))
-    by_text = (
-        _grams_of_names(names, sizes)
-        .join(broadcast_if_small(keyed), "gram")
+    best = (
+        _grams_of_names(names, sorted(seen.sizes))
+        .join(F.broadcast(keyed) if few else keyed, "gram")
         .where(holds_pieces)
         .where(glob_matches(F.col("name"), F.col("pattern")))
         .select("name", "id")
     )
-    best = by_text.unionAll(_best_by_length(names, patterns)).groupBy("name").agg(F.max("id").alias("id"))
-    found = best.join(broadcast_if_small(patterns.drop("pieces")), "id")
-    return found.select("name", "template_name", "pattern", "priority")
+    if seen.by_length:
+        best = best.unionAll(_best_by_length(names, patterns))
+    best = best.groupBy("name").agg(F.max("id").alias("id"))
+    kept = patterns.select("id", "template_name", "pattern", "priority")
+    return best.join(F.broadcast(kept) if few else kept, "id").drop("id")
 
 
 def apply_mapping(
