@@ -21,22 +21,25 @@ def read_node_metrics(spark: SparkSession, path_glob: str) -> DataFrame:
     return spark.read.schema(schemas.NODE_METRICS).parquet(path_glob)
 
 
+METRIC_LEAVES = {
+    "cpu_pct": "os.cpu.percent",
+    "mem_used_pct": "os.mem.used_percent",
+    "disk_read_kb": "fs.io_stats.total.read_kilobytes",
+    "disk_write_kb": "fs.io_stats.total.write_kilobytes",
+    "breaker_used_bytes": "breakers.parent.estimated_size_in_bytes",
+    "breaker_limit_bytes": "breakers.parent.limit_size_in_bytes",
+}
+
+
 def flatten_node_metrics(raw: DataFrame) -> DataFrame:
     """Nested metric documents to one flat row each; only these leaves are scanned."""
-    stats = "elasticsearch.node.stats"
     return raw.select(
         F.col("`@timestamp`").cast("timestamp").alias("ts"),
         F.col("elasticsearch.node.name").alias("node"),
-        F.col(f"{stats}.os.cpu.percent").cast("double").alias("cpu_pct"),
-        F.col(f"{stats}.os.mem.used_percent").cast("double").alias("mem_used_pct"),
-        F.col(f"{stats}.fs.io_stats.total.read_kilobytes").cast("double").alias("disk_read_kb"),
-        F.col(f"{stats}.fs.io_stats.total.write_kilobytes").cast("double").alias("disk_write_kb"),
-        F.col(f"{stats}.breakers.parent.estimated_size_in_bytes")
-        .cast("double")
-        .alias("breaker_used_bytes"),
-        F.col(f"{stats}.breakers.parent.limit_size_in_bytes")
-        .cast("double")
-        .alias("breaker_limit_bytes"),
+        *(
+            F.col(f"elasticsearch.node.stats.{leaf}").cast("double").alias(name)
+            for name, leaf in METRIC_LEAVES.items()
+        ),
     )
 
 

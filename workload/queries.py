@@ -30,7 +30,7 @@ from tracewell.operators.sizes import broadcast_if_small
 from tracewell.plans.cycle import field_facts, rewrite_table
 from tracewell.plans.cycle import statement_findings as findings_plan
 from tracewell.session import work_path
-from tracewell.sources import docs, logs
+from tracewell.sources import docs, logs, metric_files
 from tracewell.streaming import approvals, live, open_windows
 from workload import views
 
@@ -69,6 +69,27 @@ def breaker_hot_nodes(spark, sf):
     return out.select("node", *r4("avg_used", "avg_limit", "used_pct"))
 
 
+def metric_documents(spark, sf):
+    """Metric files of four shapes, month by month: what was read of each node, and what was rejected."""
+    path = work_path(spark, "metric-files")
+    views.metric_files(spark, sf, path)
+    month = F.regexp_extract("file", r"month=([0-9-]+)/", 1).alias("month")
+    rows = metric_files.read_metric_files(spark, path).withColumn("month", month)
+    out = rows.groupBy("month", "node").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.col("reject") == metric_files.UNREADABLE).alias("unreadable"),
+        F.count_if(F.col("reject") == metric_files.NO_TIME).alias("no_time"),
+        F.count_if(F.col("reject") == metric_files.NO_NODE).alias("no_node"),
+        F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"),
+        F.avg("cpu_pct").alias("avg_cpu"),
+        F.avg("disk_write_kb").alias("avg_write"),
+        F.avg("breaker_used_bytes").alias("avg_used"),
+    )
+    return out.select(
+        "month", "node", "documents", "unreadable", "no_time", "no_node", "last_day", *r4("avg_cpu", "avg_write", "avg_used")
+    )
+
+
 def source_coverage(spark, sf):
     tables = {
         "slowlog": views.slowlog(spark, sf),
@@ -601,7 +622,7 @@ def stream_knowledge_base(spark, sf):
 
 NAMES = [
     "slowest_statements", "slowest_by_index", "node_metrics", "breaker_hot_nodes",
-    "source_coverage", "field_cardinality_exact", "field_cardinality_approx", "catalog_like",
+    "metric_documents", "source_coverage", "field_cardinality_exact", "field_cardinality_approx", "catalog_like",
     "catalog_latest", "catalog_snapshots", "catalog_flatten", "catalog_enriched", "catalog_summary",
     "wildcard_clauses", "wildcard_findings", "breaker_text", "unbounded_terms",
     "nested_clauses", "script_clauses", "regexp_clauses", "fuzzy_clauses",

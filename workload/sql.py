@@ -277,6 +277,18 @@ ORACLE = {
         avg(breaker_limit_bytes) AS l FROM metrics GROUP BY node)
       SELECT node, round(u, 4) AS avg_used, round(l, 4) AS avg_limit,
         round(u / l * 100, 4) AS used_pct FROM m WHERE u / l * 100 > 70""",
+    "metric_documents": """WITH m AS (
+        SELECT strftime(l_shipdate, '%Y-%m') AS month, l_linenumber AS line, l_shipdate AS ts,
+          (year(l_shipdate) * 12 + month(l_shipdate)) % 4 AS shape, 'node-' || (l_suppkey % 6) AS node,
+          l_quantity * 2 AS cpu, l_extendedprice * (1 - l_tax) AS write, l_quantity * 1000000 AS used
+        FROM lineitem)
+      SELECT month, CASE WHEN line < 6 THEN node END AS node, count(*) AS documents,
+        count(*) FILTER (line = 7) AS unreadable, count(*) FILTER (line = 5 AND shape = 1) AS no_time,
+        count(*) FILTER (line = 6) AS no_node,
+        strftime(max(ts) FILTER (line < 7 AND (line <> 5 OR shape <> 1)), '%Y-%m-%d') AS last_day,
+        round(avg(cpu) FILTER (line < 7), 4) AS avg_cpu, round(avg(write) FILTER (line < 7), 4) AS avg_write,
+        round(avg(used) FILTER (line < 7 AND shape <> 3), 4) AS avg_used
+      FROM m GROUP BY ALL""",
     "source_coverage": """WITH seen AS (
         SELECT 'slowlog' AS source, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events
         UNION ALL SELECT 'catalog', count(*), min(ts), max(ts) FROM events

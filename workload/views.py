@@ -102,9 +102,9 @@ def statements(spark, sf_dir) -> DataFrame:
     return slowlog_by_user(spark, sf_dir).select("index_name", "statement").distinct()
 
 
-def node_metrics_of(lineitem: DataFrame) -> DataFrame:
+def _metric_columns() -> list[Column]:
     node = F.col("l_suppkey") % 6
-    return lineitem.select(
+    return [
         F.col("l_shipdate").alias("ts"),
         F.concat(F.lit("node-"), node.cast("string")).alias("node"),
         (F.col("l_quantity") * 2).alias("cpu_pct"),
@@ -113,13 +113,61 @@ def node_metrics_of(lineitem: DataFrame) -> DataFrame:
         (F.col("l_extendedprice") * (1 - F.col("l_tax"))).alias("disk_write_kb"),
         (F.col("l_quantity") * 1_000_000).alias("breaker_used_bytes"),
         ((30 + 4 * node) * F.lit(1_000_000.0)).alias("breaker_limit_bytes"),
-    )
+    ]
+
+
+def node_metrics_of(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(*_metric_columns())
 
 
 def node_metrics(spark, sf_dir) -> DataFrame:
     return node_metrics_of(table(spark, sf_dir, "lineitem"))
 
 
+def metric_files(spark, sf_dir, path: str) -> None:
+    """Write ``lineitem`` as metric documents, a folder a month, in four ways of writing them.
+
+    Numbers and ISO times; numbers as text; milliseconds and fields that nobody
+    reads; no breaker at all. Line 7 of an order is cut off, line 6 has no node,
+    and line 5 no time in months of the second kind.
+    """
+    items = table(spark, sf_dir, "lineitem")
+    flat = node_metrics_of(items).columns
+    rows = items.select("*", F.struct(*(c.alias(n) for n, c in zip(flat, _metric_columns(), strict=True))).alias("m"))
+    ship = F.col("l_shipdate").cast("date")
+    shape = (F.year(ship) * 12 + F.month(ship)) % 4
+    text = lambda c: F.when(shape == 1, c.cast("string"))
+    number = lambda c: F.when(shape != 1, c)
+
+    def stats(value, breaker):
+        m = {name: value(F.col(f"m.{name}")) for name in flat[2:]}
+        parent = F.struct(
+            m["breaker_used_bytes"].alias("estimated_size_in_bytes"), m["breaker_limit_bytes"].alias("limit_size_in_bytes")
+        )
+        io = F.struct(m["disk_read_kb"].alias("read_kilobytes"), m["disk_write_kb"].alias("write_kilobytes"))
+        return F.struct(
+            F.struct(F.struct(m["cpu_pct"].alias("percent")).alias("cpu"), F.struct(m["mem_used_pct"].alias("used_percent")).alias("mem")).alias("os"),
+            F.struct(F.struct(io.alias("total")).alias("io_stats")).alias("fs"),
+            F.when(breaker, F.struct(parent.alias("parent"))).alias("breakers"),
+        )
+
+    def document(time, value, breaker, *more):
+        time = F.when((shape != 1) | (F.col("l_linenumber") != 5), time)
+        name = F.when(F.col("l_linenumber") != 6, F.col("m.node"))
+        node = F.struct(name.alias("name"), stats(value, breaker).alias("stats"))
+        return F.to_json(F.struct(time.alias("@timestamp"), F.struct(node.alias("node")).alias("elasticsearch"), *more))
+
+    iso = F.date_format("m.ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    millis = F.unix_millis(F.col("m.ts").cast("timestamp"))
+    extra = F.array("l_partkey").alias("host")
+    doc = F.when(shape == 1, document(iso, text, F.lit(True))).when(shape == 2, document(millis, number, F.lit(True), extra))
+    doc = doc.when(shape == 3, document(iso, number, F.lit(False))).otherwise(document(iso, number, F.lit(True)))
+    doc = F.when(F.col("l_linenumber") == 7, F.substring(doc, 1, 60)).otherwise(doc)
+    out = rows.select(doc.alias("value"), F.date_format(ship, "yyyy-MM").alias("month"))
+    # months in few files each, a hot one in several
+    out.hint("rebalance", F.col("month")).write.partitionBy("month").text(path)
+
+
 def field_catalog(spark, sf_dir=None) -> DataFrame:
     rows = spark.createDataFrame(
         CATALOG, "index_name string, field_name string, field_type string, refreshed_at string"
