@@ -34,6 +34,20 @@ def test_matches(spark):
     ]
 
 
+def test_whole_licences(spark):
+    """Each under a title, years and owners of its own, wrapped anew, with other marks and quotes."""
+    rows, want = [], []
+    for i, (name, title, text) in enumerate(li.TEXTS):
+        body = text.replace("{1}", "1.").replace("{2}", "2.").replace("{3}", "3.")
+        marked = text.replace("{1}", "*").replace("{2}", "*").replace("{3}", "*")
+        wrapped = "Copyright (c) 2011-2020, A. Nother\nAll rights reserved.\n\n" + marked.replace(", ", ",\n   ")
+        headed = f"# {title}\n\n(c) 1999 Someone\n\n" + body.replace('"', "''").upper()
+        other = body + "\n\nExcept on Sundays."
+        rows += [(10 * i + 1, body), (10 * i + 2, wrapped), (10 * i + 3, headed), (10 * i + 4, other)]
+        want += [(10 * i + k, -1, name) for k in (1, 2, 3)]
+    assert found(spark, rows) == want
+
+
 def test_neighbouring_spellings_and_empty_table(spark):
     rows = spark.createDataFrame([("licence licence, Licence",), ("license. license license",), ("...",)], "t string")
     out = [r[0] for r in rows.select(li.canonical(F.col("t"))).collect()]
