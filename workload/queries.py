@@ -81,13 +81,12 @@ def metric_documents(spark, sf):
         F.count_if(F.col("reject") == metric_files.NO_TIME).alias("no_time"),
         F.count_if(F.col("reject") == metric_files.NO_NODE).alias("no_node"),
         F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"),
-        F.avg("cpu_pct").alias("avg_cpu"),
-        F.avg("disk_write_kb").alias("avg_write"),
-        F.avg("breaker_used_bytes").alias("avg_used"),
+        F.sum("cpu_pct").alias("sum_cpu"),
+        # values have four decimals: a sum of them is no tie, whereas a mean may be one
+        F.round(F.sum("disk_write_kb"), 4).alias("sum_write"),
+        F.sum("breaker_used_bytes").alias("sum_used"),
     )
-    return out.select(
-        "month", "node", "documents", "unreadable", "no_time", "no_node", "last_day", *r4("avg_cpu", "avg_write", "avg_used")
-    )
+    return out
 
 
 def source_coverage(spark, sf):

@@ -286,8 +286,8 @@ ORACLE = {
         count(*) FILTER (line = 7) AS unreadable, count(*) FILTER (line = 5 AND shape = 1) AS no_time,
         count(*) FILTER (line = 6) AS no_node,
         strftime(max(ts) FILTER (line < 7 AND (line <> 5 OR shape <> 1)), '%Y-%m-%d') AS last_day,
-        round(avg(cpu) FILTER (line < 7), 4) AS avg_cpu, round(avg(write) FILTER (line < 7), 4) AS avg_write,
-        round(avg(used) FILTER (line < 7 AND shape <> 3), 4) AS avg_used
+        sum(cpu) FILTER (line < 7) AS sum_cpu, round(sum(write) FILTER (line < 7), 4) AS sum_write,
+        sum(used) FILTER (line < 7 AND shape <> 3) AS sum_used
       FROM m GROUP BY ALL""",
     "source_coverage": """WITH seen AS (
         SELECT 'slowlog' AS source, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events
