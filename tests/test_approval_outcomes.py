@@ -77,3 +77,20 @@ def test_decision_before_its_request_arrives(spark):
     _, everything = run(spark, requests, decisions)
     rows = {(r.approval_id, r.ts, r.outcome) for r in everything.collect()}
     assert rows == {("z", at(1000), "rejected_timeout"), ("a", at(1005), "approved"), ("z", at(5000), "open")}
+
+
+def test_any_state_store_will_do(spark):
+    """A session that names no provider has Spark's default one; ids that share a bucket don't mix."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        ids = [f"id{i}" for i in range(3 * approvals.BUCKETS)]
+        requests = [[(k, at(i % 7), "p") for i, k in enumerate(ids)], [("last", at(5000), "p")]]
+        decisions = [[(k, at(10 + i % 400), "approved") for i, k in enumerate(ids)], [("other", at(5000), "approved")]]
+        done, everything = run(spark, requests, decisions)
+    finally:
+        spark.conf.set(name, usual)
+    want = {(k, "approved" if 10 + i % 400 <= 300 + i % 7 else "rejected_timeout") for i, k in enumerate(ids)}
+    assert sorted((r.approval_id, r.outcome) for r in done.collect()) == sorted(want)
+    assert everything.count() == len(ids) + 1

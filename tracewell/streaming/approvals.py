@@ -4,16 +4,21 @@ Requests and decisions are one stream of events by approval id. A request is
 answered by its earliest decision within the timeout, or by the timeout. Its
 outcome is given as soon as no earlier decision can come: when the watermark has
 passed the decision, or the deadline. Nothing is kept for an id after that.
+
+Ids share their state and its timer in ``BUCKETS`` groups, since a call to Python
+per id would cost a hundred times what it does. Any state store will do.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell import rules
 from tracewell.functions.ledger import is_decision
@@ -22,71 +27,71 @@ from tracewell.operators.ledger import resolve_approvals
 DELAY = "10 minutes"
 TIMEOUT = "rejected_timeout"
 OPEN = "open"
+BUCKETS = 512  # a checkpoint is bound to it
 
-_STATE = "asked array<long>, payloads array<string>, answered array<long>, decisions array<string>"
-_OUTCOME = "approval_id string, ts timestamp, payload string, decision_ts timestamp, outcome string"
-
-
-class _Outcomes(StatefulProcessor):
-    def __init__(self, timeout_seconds: int):
-        self.timeout = timeout_seconds * 1_000_000
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("events", _STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        asked, said = self._read()
-        for frame in rows:
-            at = frame["ts"].astype("datetime64[us]").astype("int64")
-            for ts, payload, decision in zip(at, frame["payload"], frame["decision"], strict=True):
-                if isinstance(decision, str):
-                    said.add((ts, decision))
-                else:
-                    asked.add((ts, payload if isinstance(payload, str) else None))
-        yield from self._settled(key, asked, said, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        asked, said = self._read()
-        yield from self._settled(key, asked, said, timerValues)
+_STATE = (
+    "asked_ids array<string>, asked array<long>, payloads array<string>, "
+    "said_ids array<string>, said array<long>, decisions array<string>"
+)
+_OUTCOME = "approval_id string, at long, payload string, decision_at long, outcome string"
 
-    def close(self) -> None:
-        pass
 
-    def _read(self) -> tuple[set, set]:
-        if not self.state.exists():
-            return set(), set()
-        ts, payloads, at, decisions = self.state.get()
-        return set(zip(ts, payloads, strict=True)), set(zip(at, decisions, strict=True))
+def _outcomes(timeout_seconds: int):
+    timeout = timeout_seconds * 1_000_000
 
-    def _settled(self, key, asked: set, said: set, timers) -> Iterator[pd.DataFrame]:
-        """Give what is certain at the watermark; keep the rest and ask to be called when it is."""
-        past = timers.getCurrentWatermarkInMs() * 1000  # no event up to here is still to come
+    def settled(key, asked: set, said: set, past: int) -> tuple[list, list, list, list]:
+        """Rows that are certain at the watermark, what is kept of each kind, and when to look again."""
         rows, left, calls = [], [], []
+        answers = sorted(said) if key is not None else []  # an id that is null is nobody's
         for ts, payload in sorted(asked, key=lambda x: (x[0], x[1] or "")):
-            # an id that is null is nobody's
-            answers = [x for x in said if key[0] is not None and ts <= x[0] <= ts + self.timeout]
-            at, outcome = min(answers, default=(ts + self.timeout, TIMEOUT))
+            first = bisect_left(answers, (ts,))
+            answered = first < len(answers) and answers[first][0] <= ts + timeout
+            at, outcome = answers[first] if answered else (ts + timeout, TIMEOUT)
             if at <= past:
-                rows.append((key[0], ts, payload, at if answers else None, outcome))
+                rows.append((key, ts, payload, at if answered else None, outcome))
             else:
-                left.append((ts, payload))
+                left.append((key, ts, payload))
                 calls.append(at)
         # a decision may come before its request, but not before one that is late already
-        oldest = min([ts for ts, _ in left], default=past + 1)
-        kept = [x for x in said if x[0] >= min(oldest, past + 1)]
-        calls += [at for at, _ in kept if not left]
+        oldest = min([ts for _, ts, _ in left], default=past + 1)
+        kept = [(key, *x) for x in said if x[0] >= min(oldest, past + 1)]
+        calls += [at for _, at, _ in kept if not left]
+        return rows, left, kept, calls
+
+    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        asked, said = defaultdict(set), defaultdict(set)
+        if state.exists:
+            columns = state.get
+            for x, part in ((asked, columns[:3]), (said, columns[3:])):
+                for key, at, what in zip(*part, strict=True):
+                    x[key].add((at, what))
+        if state.hasTimedOut:
+            frames = ()
+        for frame in frames:
+            columns = (frame[c] for c in ("approval_id", "at", "payload", "decision"))
+            for key, at, payload, decision in zip(*columns, strict=True):
+                key = key if isinstance(key, str) else None
+                if isinstance(decision, str):
+                    said[key].add((at, decision))
+                else:
+                    asked[key].add((at, payload if isinstance(payload, str) else None))
+        past = state.getCurrentWatermarkMs() * 1000  # no event up to here is still to come
+        rows, left, kept, calls = [], [], [], []
+        for key in asked.keys() | said.keys():
+            found = settled(key, asked.get(key, set()), said.get(key, set()), past)
+            for every, some in zip((rows, left, kept, calls), found, strict=True):
+                every += some
         if left or kept:
-            columns = [list(c) for part in (left, kept) for c in (zip(*part) if part else ((), ()))]
-            self.state.update(tuple(columns))
-            self.handle.registerTimer(-(-min(calls) // 1000) + 1)
-        else:
-            self.state.clear()
+            columns = [list(c) for part in (left, kept) for c in (zip(*part) if part else ((), (), ()))]
+            state.update(tuple(columns))
+            state.setTimeoutTimestamp(-(-min(calls) // 1000) + 1)
+        elif state.exists:
+            state.remove()
         if rows:
-            frame = pd.DataFrame(rows, columns=["approval_id", "ts", "payload", "decision_ts", "outcome"])
-            for name in ("ts", "decision_ts"):
-                frame[name] = pd.to_datetime(frame[name], unit="us")
-            yield frame
+            frame = pd.DataFrame(rows, columns=["approval_id", "at", "payload", "decision_at", "outcome"])
+            yield frame.astype({"decision_at": "Int64"})
+
+    return run
 
 
 def approval_outcomes(
@@ -108,8 +113,17 @@ def approval_outcomes(
     said = said.select("approval_id", F.col("decision_ts").alias("ts"), none.alias("payload"), "decision")
     # a watermark of its own each: the slower stream holds back both
     events = asked.withWatermark("ts", delay).unionByName(said.withWatermark("ts", delay))
-    return events.groupBy("approval_id").transformWithStateInPandas(
-        _Outcomes(timeout_seconds), _OUTCOME, "append", "EventTime"
+    bucket = F.pmod(F.xxhash64("approval_id"), F.lit(BUCKETS)).alias("bucket")
+    events = events.select(bucket, "ts", F.unix_micros("ts").alias("at"), "approval_id", "payload", "decision")
+    outcomes = events.groupBy("bucket").applyInPandasWithState(
+        _outcomes(timeout_seconds), _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return outcomes.select(
+        "approval_id",
+        F.timestamp_micros("at").alias("ts"),
+        "payload",
+        F.timestamp_micros("decision_at").alias("decision_ts"),
+        "outcome",
     )
 
 
