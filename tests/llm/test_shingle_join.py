@@ -124,6 +124,21 @@ def test_rows_without_doc_id_link_and_connect(spark):
     assert out.count((None, 43, 1)) == 41 and out.count((None, 7, None)) == 2
 
 
+def test_different_texts_of_one_doc_id_or_none_are_joined_apart(spark):
+    def text(name, a, b):
+        return " ".join(f"{name}{i}" for i in range(a, b))
+
+    # per name two like texts; the first of each pair shares its doc_id, or has none
+    rows = [(5, text(f"g{k}x", 0, 44)) for k in range(4)] + [(10 + k - 8 * (k % 2), text(f"g{k}x", 3, 47)) for k in range(4)]
+    assert run(spark, rows) == brute(rows)
+    nameless = [(None, text(f"h{k}x", 0, 44)) for k in range(12)] + [(20 + k, text(f"h{k}x", 3, 47)) for k in range(12)]
+    docs = spark.createDataFrame(rows + nameless, "doc_id long, text string")
+    out = sj.similar_components(docs).select("doc_id", "n_shingles", "component_id", "checked_links").collect()
+    assert sorted(r[:3] for r in out if r[0] and r[0] < 20) == brute(rows)
+    assert sorted(r[2] for r in out if r[0] is None) == sorted(r[2] for r in out if r[0] and r[0] >= 20) == list(range(20, 32))
+    assert all(r[3] == 1 for r in out)
+
+
 def test_a_shared_template_makes_no_pairs(spark):
     """60 common and 12 own words, similarity 0.70: listed common shingles lie too far back to meet."""
     made = []

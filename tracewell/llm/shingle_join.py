@@ -23,9 +23,10 @@ So every pair is checked or already connected, and components are exact.
 
 Cases: null and empty texts have the empty set and link with nothing, not even
 each other; fewer than WIDTH words make one shingle; repeated rows and equal
-texts are one class; a document without doc_id links and connects like any other
-but cannot be a component's name, so a component of such documents only has none
-(null); doc_ids are below 3 * 2 ** 61; an empty table gives an empty result;
+texts are one class; rows of one doc_id with different sets are documents of their
+own; a document without doc_id links and connects like any other but cannot be a
+component's name, so a component of such documents only has none (null); doc_ids
+are below 3 * 2 ** 61; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -298,13 +299,11 @@ def _plan(described: DataFrame) -> tuple[Plan, int]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of classes (a, b) that reach the threshold, as pairs of their documents."""
-    one = texts.select(F.col("sid").alias("a"), F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("sid").alias("b"), F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(two, "b").select(
-        F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "text_a", "text_b"
-    )
-    return both.mapInArrow(_similar, "a long, b long").distinct()
+    """The pairs of classes (a, b) that reach the threshold."""
+    both = pairs
+    for end in "ab":
+        both = both.join(texts.select(F.col("sid").alias(end), F.col("text").alias(f"text_{end}")), end)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -317,7 +316,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     # a document without doc_id goes by a number above all others, which names no component
     rows = docs.selectExpr("cast(doc_id as long) given", "coalesce(text, '') text")
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    nameless = F.col("text_hash").bitwiseAND(F.lit(NAMELESS >> 2)).bitwiseOR(F.lit(NAMELESS))
+    nameless = F.col("text_hash").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(NAMELESS))
     rows = rows.select(F.coalesce("given", nameless).alias("doc_id"), "text", "text_hash")
     schema = "doc_id long, text_hash long, n long, one long, two long, frequent boolean"
     all_described = landed(rows.mapInArrow(_describe, schema), "shingle-sets")
@@ -345,28 +344,30 @@ def similar_components(docs: DataFrame) -> DataFrame:
     single = rows.join(twice, row, "left_anti")
     repeated = rows.join(twice, row, "left_semi").dropDuplicates(row)
     texts = single.join(wanted, row).unionByName(repeated.join(wanted, row))
-    texts = landed(texts.select("sid", "doc_id", "text"), "set-texts")
+    texts = landed(texts.select("sid", "text"), "set-texts")
     dropped(twice)
 
     pairs = _leading_pairs(shared)
     leading = landed(_verified(pairs, texts), "links")
     dropped(pairs)
     parts = components(leading)
-    known = reps.select("sid", "doc_id").join(parts, F.col("doc_id") == F.col("node")).select("sid", "component")
-    pairs = _crossing_pairs(shared, known)
+    # classes are the nodes: a doc_id may stand in several
+    pairs = _crossing_pairs(shared, parts.withColumnRenamed("node", "sid"))
     dropped(shared)
     links = landed(leading.unionByName(_verified(pairs, texts)).distinct(), "links")
     dropped(leading, pairs, texts)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("checked_links"))
-    linked = reps.join(components(links).join(degree, "node"), F.col("doc_id") == F.col("node"))
-    linked = linked.select("n", "one", "two", "component", "checked_links")
+    linked = reps.join(components(links).join(degree, "node"), F.col("sid") == F.col("node"))
+    linked = landed(linked.select("n", "one", "two", "doc_id", "component", "checked_links"), "linked-classes")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    linked_sets = linked.join(least, "component").select("n", "one", "two", "least", "checked_links")
     # documents follow their class; a class of one without links needs no lookup
     copied = sets.where("copies > 1").select("n", "one", "two", F.col("doc_id").alias("first"))
-    classes = landed(linked.join(copied, ["n", "one", "two"], "full"), "classes")
-    dropped(reps, links)
-    name = F.coalesce("component", "first", "doc_id")
+    classes = landed(linked_sets.join(copied, ["n", "one", "two"], "full"), "classes")
+    dropped(reps, links, linked)
+    name = F.coalesce("least", "first", "doc_id")
     return described.join(classes, ["n", "one", "two"], "left").select(
         F.when(F.col("doc_id") < NAMELESS, F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
