@@ -302,7 +302,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of classes (a, b) that reach the threshold."""
     both = pairs
     for end in "ab":
-        both = both.join(texts.select(F.col("sid").alias(end), F.col("text").alias(f"text_{end}")), end)
+        # only texts of pairs are shuffled, if their join needs it
+        wanted = broadcast_if_small(pairs.select(F.col(end).alias("sid")).distinct(), TEXTS_IN_PLACE)
+        few = texts.join(wanted, "sid", "left_semi")
+        both = both.join(few.select(F.col("sid").alias(end), F.col("text").alias(f"text_{end}")), end)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long").distinct()
 
 
@@ -442,10 +445,11 @@ def _crossing_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
     sizes = lists.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
     main = main.where("parts > 1").select("key", F.col("main.part").alias("main"))
-    spanning = landed(meeting(lists.join(main, "key")), "spanning-lists")
+    spanning = lists.join(main, "key").withColumn("main", F.col("part") == F.col("main"))
+    spanning = landed(meeting(spanning), "spanning-lists")
     dropped(lists)
     # both must be able to meet sets of the other's size
-    few = spanning.where("part <> main").select(
+    few = spanning.where("not main").select(
         "key",
         F.col("own").alias("other"),
         F.col("other").alias("own"),
@@ -454,7 +458,7 @@ def _crossing_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
     need = F.ceil((F.col("n") + F.col("n_a")) * NUM / (NUM + DEN))
     pairs = few.join(spanning, ["key", "own", "other"]).where(
         (F.col("part_a") != F.col("part"))
-        & ((F.col("part") == F.col("main")) | (F.col("sid_a") < F.col("sid")))
+        & (F.col("main") | (F.col("sid_a") < F.col("sid")))
         & (DEN * F.least("n", "n_a") >= NUM * F.greatest("n", "n_a"))
         # the first shingle that two similar sets share has `need` - 1 more after it in both
         & ((F.col("key") % 2 != 0) | ((F.col("place") <= F.col("n") - need) & (F.col("place_a") <= F.col("n_a") - need)))
