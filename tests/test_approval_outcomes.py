@@ -94,3 +94,11 @@ def test_any_state_store_will_do(spark):
     want = {(k, "approved" if 10 + i % 400 <= 300 + i % 7 else "rejected_timeout") for i, k in enumerate(ids)}
     assert sorted((r.approval_id, r.outcome) for r in done.collect()) == sorted(want)
     assert everything.count() == len(ids) + 1
+
+
+def test_requests_and_decisions_without_a_time(spark):
+    requests = [[("a", None, "p"), ("a", at(5), "q")], [("z", at(5000), "p")]]
+    decisions = [[("a", None, "rejected"), ("a", at(6), "approved")], [("y", at(5000), "approved")]]
+    done, _ = run(spark, requests, decisions)
+    rows = {(r.approval_id, r.ts, r.outcome) for r in done.collect()}
+    assert rows == {("a", None, "rejected_timeout"), ("a", at(5), "approved")}

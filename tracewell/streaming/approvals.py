@@ -28,6 +28,7 @@ DELAY = "10 minutes"
 TIMEOUT = "rejected_timeout"
 OPEN = "open"
 BUCKETS = 512  # a checkpoint is bound to it
+NEVER = -(1 << 63)  # the time of a request that has none: out at once, as a timeout
 
 _STATE = (
     "asked_ids array<string>, asked array<long>, payloads array<string>, "
@@ -109,18 +110,18 @@ def approval_outcomes(
     """
     none = F.lit(None).cast("string")
     asked = requests.select("approval_id", "ts", "payload", none.alias("decision"))
-    said = decisions.where(is_decision(F.col("decision")) & F.col("approval_id").isNotNull())
+    said = decisions.where(is_decision(F.col("decision")) & F.col("approval_id").isNotNull() & F.col("decision_ts").isNotNull())
     said = said.select("approval_id", F.col("decision_ts").alias("ts"), none.alias("payload"), "decision")
     # a watermark of its own each: the slower stream holds back both
     events = asked.withWatermark("ts", delay).unionByName(said.withWatermark("ts", delay))
     bucket = F.pmod(F.xxhash64("approval_id"), F.lit(BUCKETS)).alias("bucket")
-    events = events.select(bucket, "ts", F.unix_micros("ts").alias("at"), "approval_id", "payload", "decision")
+    events = events.select(bucket, "ts", F.coalesce(F.unix_micros("ts"), F.lit(NEVER)).alias("at"), "approval_id", "payload", "decision")
     outcomes = events.groupBy("bucket").applyInPandasWithState(
         _outcomes(timeout_seconds), _OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return outcomes.select(
         "approval_id",
-        F.timestamp_micros("at").alias("ts"),
+        F.timestamp_micros(F.nullif(F.col("at"), F.lit(NEVER))).alias("ts"),
         "payload",
         F.timestamp_micros("decision_at").alias("decision_ts"),
         "outcome",
