@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewell.llm import shingle_join as sj
@@ -174,3 +177,18 @@ def test_boundary_is_where_costs_cross():
             need = next(i for i in range(n + 1) if 7 * i >= 3 * (n + m)) if 7 * n >= 3 * (n + m) else None
             if need is not None:
                 assert sj.overlap(n, m) == need and need >= m - sj.listed(m) + 1
+
+
+def test_tasks_hold_little_at_once():
+    words = np.random.default_rng(5).integers(0, 10**6, (6000, 300)).astype(str)
+    texts = pa.array([" ".join(row) for row in words])
+    ids = pa.array(range(len(texts)))
+    docs = pa.RecordBatch.from_arrays([ids, ids, texts], ["doc_id", "text_hash", "text"])
+    pairs = pa.RecordBatch.from_arrays([ids, ids, texts, texts], ["a", "b", "text_a", "text_b"])
+    entries = sj._entries(sj.Plan(np.empty(0, np.uint64), np.empty(0, np.uint64), 0), 8)
+    for step, batch in ((sj._describe, docs), (entries, docs), (sj._similar, pairs)):
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in step(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and most < 64 << 20, (step, most >> 20)

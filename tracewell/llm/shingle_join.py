@@ -54,6 +54,7 @@ NAMELESS = 3 << 61  # from here on stand the numbers of documents without doc_id
 TEXTS_IN_PLACE = 400_000  # classes, three numbers each, that are sent to the texts rather than meet them in a shuffle
 CLASS = 6 / 5  # sizes within this ratio are one class
 ENTRIES = 2_000_000  # list entries brought together in one task
+SLICE = 1 << 18  # bytes of text that a task works on at once
 
 
 def overlap(n, m):
@@ -108,16 +109,15 @@ def _class(n: int, one: int, two: int) -> int:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and class; per task the shingles it has in two sets or more."""
-    cut, seen, held, size = WordSlices(), set(), [], 0
+    cut, seen, held, size = WordSlices(most=SLICE), set(), [], 0
 
     def often():
-        x = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
-        edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.array([0])
-        n = np.diff(edge)
-        some = n > 1
-        h = x[edge[:-1][some]].view(np.int64)
+        x = np.concatenate(held) if held else np.empty(0, np.uint64)
+        held.clear()
+        x.sort()
+        h, n = np.unique(x[1:][x[1:] == x[:-1]], return_counts=True)
         nothing, zero = pa.nulls(len(h), pa.int64()), np.zeros(len(h), np.int64)
-        return batch_of(nothing, nothing, n[some], h, zero, np.ones(len(h), bool))
+        return batch_of(nothing, nothing, n + 1, h.view(np.int64), zero, np.ones(len(h), bool))
 
     def batch_of(ids, text_hash, n, one, two, frequent):
         numbers = [pa.array(x, pa.int64()) for x in (n, one, two)]
@@ -139,8 +139,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size += len(x)
             if size > 2_500_000:
                 yield often()
-                held, size, seen = [], 0, set()
+                size, seen = 0, set()
         yield batch_of(batch.column("doc_id"), batch.column("text_hash"), n, one, two, np.zeros(len(n), bool))
+        pa.default_memory_pool().release_unused()  # workers wait for their next task with what they hold
     yield often()
 
 
@@ -153,7 +154,7 @@ def _entries(plan: Plan, ranges: int):
     their own (range -1), since their lists may be of any length.
     """
 
-    fields = pa.schema([("r", pa.int32()), *((name, pa.binary()) for name in ("key", "sid", "n", "place"))])
+    names = ("key", "sid", "n", "place")
 
     def flush(keys, sids, sizes):
         counts = np.array([len(k) for k in keys])
@@ -161,28 +162,22 @@ def _entries(plan: Plan, ranges: int):
         sid = np.repeat(np.array(sids, np.int64), counts)
         n = np.repeat(np.array(sizes, np.int32), counts)
         rank = (np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-
-        def pack(r, part):
-            return {"r": r} | {
-                name: x[part].tobytes() for name, x in (("key", key), ("sid", sid), ("n", n), ("place", rank))
-            }
-
         hot = key >= np.uint64(1 << 63)
-        place = (mixed(key) % np.uint64(ranges)).astype(np.int64)
+        place = (mixed(key) % np.uint64(ranges)).astype(np.int32)
         order = np.argsort(place, kind="stable")
         order = order[~hot[order]]
         edges = np.searchsorted(place[order], np.arange(ranges + 1))
-        rows = []
-        for r in np.flatnonzero(np.diff(edges)).tolist():
-            part = order[edges[r] : edges[r + 1]]
-            rows.append(pack(r, part))
-        for part in np.array_split(np.flatnonzero(hot), max(1, hot.sum() // 100_000)):
-            if len(part):
-                rows.append(pack(-1, part))
-        return pa.RecordBatch.from_pylist(rows, fields)
+        held = np.flatnonzero(np.diff(edges)).tolist()
+        parts = [order[edges[r] : edges[r + 1]] for r in held]
+        often = [x for x in np.array_split(np.flatnonzero(hot), max(1, hot.sum() // 100_000)) if len(x)]
+        r = pa.array(held + [-1] * len(often), pa.int32())
+        packed = [
+            pa.array([x[part].tobytes() for part in parts + often], pa.binary()) for x in (key, sid, n, rank)
+        ]
+        return pa.RecordBatch.from_arrays([r, *packed], ["r", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen, keys, sids, sizes, size = WordSlices(), set(), [], [], [], 0
+        cut, seen, keys, sids, sizes, size = WordSlices(most=SLICE), set(), [], [], [], 0
         for batch in batches:
             for s in cut.slices(batch.column("text")):
                 for x in s.shingle_sets(WIDTH):
@@ -204,9 +199,12 @@ def _entries(plan: Plan, ranges: int):
                     sids.append(name)
                     sizes.append(n)
                     size += len(key)
-                if size > 1_500_000:
+                if size > 500_000:
                     yield flush(keys, sids, sizes)
-                    seen, keys, sids, sizes, size = set(), [], [], [], 0
+                    keys, sids, sizes, size = [], [], [], 0
+                if len(seen) > 100_000:
+                    seen = set()
+            pa.default_memory_pool().release_unused()
         if keys:
             yield flush(keys, sids, sizes)
 
@@ -240,8 +238,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(part)
             else:
                 held.setdefault(r, []).append(part)
-    for parts in held.values():
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    while held:
+        columns = [np.concatenate(x) for x in zip(*held.popitem()[1], strict=True)]
         order = np.lexsort((columns[1], columns[0]))
         key, sid, *_ = columns = [x[order] for x in columns]
         fresh = np.ones(len(key), bool)
@@ -256,18 +254,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of a task whose whole sets reach the threshold."""
-    cut = WordSlices()
+    cuts = WordSlices(most=SLICE), WordSlices(most=SLICE)
 
-    def sets(column):
-        return [x for s in cut.slices(column) for x in s.shingle_sets(WIDTH)]
+    def sets(cut, column):
+        return (x for s in cut.slices(column) for x in s.shingle_sets(WIDTH))
 
     for batch in batches:
         keep = []
-        for x, y in zip(sets(batch.column("text_a")), sets(batch.column("text_b")), strict=True):
+        both_sets = (sets(cut, batch.column(name)) for cut, name in zip(cuts, ("text_a", "text_b"), strict=True))
+        for x, y in zip(*both_sets, strict=True):
             both = len(x) + len(y) - len(unique(np.concatenate((x, y))))
             keep.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
-        kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        yield kept
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
 
 def choose_boundary(sizes: dict[int, int], list_length: float) -> int:
@@ -338,8 +337,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     sets = described.where("n > 0").groupBy("n", "one", "two").agg(first, F.count(F.lit(1)).alias("copies"))
     sets = sets.select("n", "one", "two", "copies", "first.*")
     schema = "n long, one long, two long, copies long, doc_id long, text_hash long, sid long"
-    sets = sets.mapInArrow(_with_class, schema)
-    reps = landed(sets.join(shared.select("sid").distinct(), "sid", "left_semi"), "set-classes")
+    reps = landed(sets.mapInArrow(_with_class, schema).join(shared.select("sid").distinct(), "sid", "left_semi"), "set-classes")
     # one row of each text that is listed; rows repeated in full are few, and only they are brought together
     row = ["doc_id", "text_hash"]
     twice = landed(described.groupBy(*row).count().where("count > 1").select(*row), "repeated-rows")
