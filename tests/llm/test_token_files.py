@@ -3,6 +3,7 @@
 import glob
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -65,6 +66,33 @@ def test_memory_is_bounded(monkeypatch):
         assert len(encoder.flat) == encoder.starts[-1] and len(encoder.starts) == len(encoder.known) + 1
 
 
+def test_tasks_of_a_worker_share_an_encoder():
+    tf._encoder.cache_clear()
+    first = tf._encoder(PATH, tf.END, False)
+    assert encoded(first, ["shared words"]) == encoded(first, ["shared words"]) == [plain("shared words")]
+    assert tf._encoder(PATH, tf.END, False) is first and tf._encoder(PATH, tf.END, True) is not first
+
+
+def test_known_pieces_cost_little():
+    words = np.random.default_rng(3).integers(10**5, 10**8, 40_000).astype(str).tolist()
+    text, encoder = pa.array([" ".join(words)]), tf.Encoder(PATH, tf.END)
+    (s,) = byte_slices(text)
+    pieces = pa.array([w.encode() for w in words], pa.large_binary())
+    ids, _ = encoder.ids(s.data, s.offsets)
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    again = least(lambda: encoder.ids(s.data, s.offsets))
+    assert ids.tolist() == plain(text[0].as_py())
+    assert again < least(pieces.to_pylist)
+
+
 def corpus():
     r = random.Random(2)
     words = "the of and token é naïve don't 2024 {x}".split()

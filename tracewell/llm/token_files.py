@@ -26,6 +26,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -42,6 +43,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 LONGEST = 64  # bytes of a piece that is remembered
+AT_ONCE = 4096  # pieces given to the library in one call, whose results are large
 REMEMBERED = 400_000  # pieces; when a task has met more, it starts anew
 
 PARTS = 1000  # files whose totals are summed together
@@ -127,7 +129,9 @@ class Encoder:
         pieces = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(begin), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]
         ).dictionary_encode()
-        slots = self._slots(pieces.dictionary.to_pylist())[pieces.indices.to_numpy(zero_copy_only=False)]
+        # by numpy: to_pylist makes a scalar of each piece first
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = self._slots(distinct)[pieces.indices.to_numpy(zero_copy_only=False)]
         ids, reach = self._gathered(slots)
         # ids of each text: those of its pieces, and the end id behind them
         edges = reach[np.searchsorted(begin, offsets)]
@@ -162,18 +166,21 @@ class Encoder:
     def _slots(self, pieces: list[bytes]) -> np.ndarray:
         """Where the ids of each piece stand; new pieces are encoded, long ones last."""
         known = self.known
-        new = [p for p in pieces if p not in known]
+        slots = list(map(known.get, pieces))
+        new = [p for p, slot in zip(pieces, slots, strict=True) if slot is None]
         sizes = list(map(len, new))
         if max(sizes, default=0) > LONGEST:
             new.sort(key=lambda p: len(p) > LONGEST)
         self.long = sum(size > LONGEST for size in sizes)
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        known.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + len(self.flat)
-        self.flat.extend(chain.from_iterable(ids))
-        self.starts.frombytes(ends.tobytes())
-        slots = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        before = len(self.starts) - 1
+        for first in range(0, len(new), AT_ONCE):
+            some = list(map(bytes.decode, new[first : first + AT_ONCE]))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + len(self.flat)
+            self.flat.extend(chain.from_iterable(ids))
+            self.starts.frombytes(ends.tobytes())
+        known.update(zip(new, range(before, before + len(new)), strict=True))
+        slots = np.array([known[p] if slot is None else slot for p, slot in zip(pieces, slots, strict=True)], np.int64)
         for piece in new[len(new) - self.long :]:
             del known[piece]
         return slots
@@ -187,13 +194,19 @@ class Encoder:
             del self.flat[self.starts[-1] :]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end: int, whole: bool) -> Encoder:
+    """One a worker: its next task finds the tokenizer loaded and pieces of earlier ones encoded."""
+    return Encoder(path, end, whole)
+
+
 def _file_rows(path: str, end: int, whole: bool):
     """Rows of one file: the part it is, ids that come before each document, and its ids as a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, encoder = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            encoder = encoder or Encoder(path, end, whole)
+            encoder = encoder or _encoder(path, end, whole)
             for s in byte_slices(batch.column("text")):
                 ids, at = encoder.ids(s.data, s.offsets)
                 yield pa.RecordBatch.from_arrays(
@@ -207,6 +220,7 @@ def _file_rows(path: str, end: int, whole: bool):
                     ["part", "doc_id", "first", "n_tokens", "ids"],
                 )
                 before += int(at[-1])
+            pa.default_memory_pool().release_unused()  # workers wait for their next task with what they hold
 
     return run
 
