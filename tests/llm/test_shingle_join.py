@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -192,3 +193,43 @@ def test_tasks_hold_little_at_once():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert rows and most < 64 << 20, (step, most >> 20)
+
+
+def test_shuffles_go_with_the_job_that_needed_them(spark):
+    def held():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().iterator()
+        names = set()
+        while blocks.hasNext():
+            names.add(blocks.next().name())
+        return {name for name in names if name.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = held(), spark.conf.get(setting)
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{words} {i}") for i in range(40)], "doc_id long, text string")
+    found = sj.similar_components(docs)
+    until = time.time() + 30  # files are deleted by another thread
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert spark.conf.get(setting) == was
+    assert {(r.component_id, r.n_shingles) for r in found.collect()} == {(0, 57)}
+
+
+def test_only_texts_of_pairs_are_written(spark, monkeypatch):
+    written, landed = [], sj.landed
+
+    def watched(rows, name):
+        out = landed(rows, name)
+        if "text" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sj, "landed", watched)
+    words = [f"s{i}" for i in range(8)]
+    texts = [" ".join(words + [f"d{k}w{i}" for i in range(100)]) for k in range(30)]
+    texts += [texts[0] + " more", texts[0] + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in sj.similar_components(docs).collect()}
+    assert out == {i: 0 if i >= 30 else i for i in range(32)}
+    assert sum(written) <= 4

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.graph import components
 from tracewell.llm.words import WordSlices, mixed, unique
-from tracewell.operators.sizes import broadcast_if_small, dropped, landed
+from tracewell.operators.sizes import broadcast_if_small, dropped, landed, shuffles_freed
 
 WIDTH = 5
 NUM, DEN = 3, 4  # similarity at least NUM / DEN
@@ -297,15 +297,28 @@ def _plan(described: DataFrame) -> tuple[Plan, int]:
     return Plan(h[order], rank[order], choose_boundary(sizes, length)), total
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of classes (a, b) that reach the threshold."""
+def _texts(rows: DataFrame, twice: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text) of each row of ``wanted``, once."""
+    # rows repeated in full are few, and only they are brought together
+    row = ["doc_id", "text_hash"]
+    wanted = broadcast_if_small(wanted.select(*row, "sid"), TEXTS_IN_PLACE)
+    single = rows.join(twice, row, "left_anti").join(wanted, row)
+    repeated = rows.join(twice, row, "left_semi").join(wanted, row).dropDuplicates(row)
+    return single.unionByName(repeated).select("sid", "text")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, twice: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs of classes (a, b) that reach the threshold. Starts jobs."""
+    # only texts of pairs are fetched, and kept no longer than it takes to check them
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    texts = landed(_texts(rows, twice, reps.join(ends, "sid", "left_semi")), "pair-texts")
     both = pairs
     for end in "ab":
-        # only texts of pairs are shuffled, if their join needs it
-        wanted = broadcast_if_small(pairs.select(F.col(end).alias("sid")).distinct(), TEXTS_IN_PLACE)
-        few = texts.join(wanted, "sid", "left_semi")
-        both = both.join(few.select(F.col("sid").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long").distinct()
+        both = both.join(texts.select(F.col("sid").alias(end), F.col("text").alias(f"text_{end}")), end)
+    both = both.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long").distinct()
+    links = landed(both, "links")
+    dropped(texts)
+    return links
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -314,6 +327,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     ``checked_links`` counts the links of the document's class that were checked;
     inside a component most need no check, so it is no count of similar texts.
     """
+    with shuffles_freed(docs.sparkSession):
+        return _similar_components(docs)
+
+
+def _similar_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     # a document without doc_id goes by a number above all others, which names no component
     rows = docs.selectExpr("cast(doc_id as long) given", "coalesce(text, '') text")
@@ -338,25 +356,19 @@ def similar_components(docs: DataFrame) -> DataFrame:
     sets = sets.select("n", "one", "two", "copies", "first.*")
     schema = "n long, one long, two long, copies long, doc_id long, text_hash long, sid long"
     reps = landed(sets.mapInArrow(_with_class, schema).join(shared.select("sid").distinct(), "sid", "left_semi"), "set-classes")
-    # one row of each text that is listed; rows repeated in full are few, and only they are brought together
     row = ["doc_id", "text_hash"]
     twice = landed(described.groupBy(*row).count().where("count > 1").select(*row), "repeated-rows")
-    wanted = broadcast_if_small(reps.select(*row, "sid"), TEXTS_IN_PLACE)
-    single = rows.join(twice, row, "left_anti")
-    repeated = rows.join(twice, row, "left_semi").dropDuplicates(row)
-    texts = single.join(wanted, row).unionByName(repeated.join(wanted, row))
-    texts = landed(texts.select("sid", "text"), "set-texts")
-    dropped(twice)
 
     pairs = _leading_pairs(shared)
-    leading = landed(_verified(pairs, texts), "links")
+    leading = _verified(pairs, rows, twice, reps)
     dropped(pairs)
     parts = components(leading)
     # classes are the nodes: a doc_id may stand in several
     pairs = _crossing_pairs(shared, parts.withColumnRenamed("node", "sid"))
     dropped(shared)
-    links = landed(leading.unionByName(_verified(pairs, texts)).distinct(), "links")
-    dropped(leading, pairs, texts)
+    crossing = _verified(pairs, rows, twice, reps)
+    links = landed(leading.unionByName(crossing).distinct(), "links")
+    dropped(leading, crossing, pairs, twice)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("checked_links"))
