@@ -189,3 +189,32 @@ def test_query_on_given_documents(spark, sf):
         want.append((doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
     assert sorted(map(tuple, op13_token_files(spark, sf).collect())) == want
+
+
+class Counting:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_pieces_go_to_the_library_joined():
+    encoder = tf.Encoder(PATH, tf.END)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    texts = [" ".join(f"w{zlib.crc32(b'%d' % (100 * k + i)):x}" for i in range(100)) for k in range(20)]
+    assert encoded(encoder, texts) == [plain(t) for t in texts]
+    assert encoder.tokenizer.given <= 100  # of some thousand pieces
+    texts += [texts[0] + "<|endoftext|>" + texts[1], "a<|endoftext|>", "<|endoftext|>" * 3]
+    assert encoded(encoder, texts) == [plain(t) for t in texts]
+
+
+def test_pieces_that_come_again_stay_known(monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED", 60)
+    encoder, kept = tf.Encoder(PATH, tf.END), 0
+    for k in range(12):
+        text = " often seen words " + " ".join(f"x{chr(97 + k)}{chr(97 + i)}" for i in range(20))
+        assert encoded(encoder, [text]) == [plain(text)]
+        kept += k > 0 and b" often" in encoder.known
+    assert kept == 11 and len(encoder.known) <= 60

@@ -27,7 +27,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,8 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 LONGEST = 64  # bytes of a piece that is remembered
 AT_ONCE = 4096  # pieces given to the library in one call, whose results are large
-REMEMBERED = 400_000  # pieces; when a task has met more, it starts anew
+JOINED = 256  # of these so many make one text, with an added token behind each
+REMEMBERED = 400_000  # pieces; when a worker has met more, those met in one slice only are forgotten
 
 PARTS = 1000  # files whose totals are summed together
 
@@ -107,12 +108,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.whole = Tokenizer.from_file(path), end, whole
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content.encode() for t in tokens.values()]
+        # what stands on either side of such a token is encoded as if it stood alone
+        plain = (x for x, t in tokens.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        self.mark = None if whole else next(plain, None)
+        self.marker = b"" if self.mark is None else tokens[self.mark].content.encode()
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts, self.flat = array("q", [0]), array("i")
+        self.met = array("i")  # in how many slices
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text's ids begin."""
@@ -133,6 +140,7 @@ class Encoder:
         distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         slots = self._slots(distinct)[pieces.indices.to_numpy(zero_copy_only=False)]
         ids, reach = self._gathered(slots)
+        self._trim()
         # ids of each text: those of its pieces, and the end id behind them
         edges = reach[np.searchsorted(begin, offsets)]
         at = edges + np.arange(len(offsets))
@@ -154,8 +162,7 @@ class Encoder:
 
     def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after the other, and where each piece's begin."""
-        starts, flat = np.array(self.starts), np.array(self.flat, np.int32)
-        self._trim()
+        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat or bytes(), np.int32)
         first = starts[slots]
         size = starts[slots + 1] - first
         reach = np.concatenate(([0], np.cumsum(size)))
@@ -165,33 +172,55 @@ class Encoder:
 
     def _slots(self, pieces: list[bytes]) -> np.ndarray:
         """Where the ids of each piece stand; new pieces are encoded, long ones last."""
-        known = self.known
-        slots = list(map(known.get, pieces))
-        new = [p for p, slot in zip(pieces, slots, strict=True) if slot is None]
-        sizes = list(map(len, new))
-        if max(sizes, default=0) > LONGEST:
-            new.sort(key=lambda p: len(p) > LONGEST)
-        self.long = sum(size > LONGEST for size in sizes)
+        slots = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        fresh = np.flatnonzero(slots < 0)
+        sizes = np.fromiter(map(len, map(pieces.__getitem__, fresh.tolist())), np.int64, len(fresh))
+        fresh = np.concatenate((fresh[sizes <= LONGEST], fresh[sizes > LONGEST]))
+        new = list(map(pieces.__getitem__, fresh.tolist()))
+        self.long = int((sizes > LONGEST).sum())
         before = len(self.starts) - 1
         for first in range(0, len(new), AT_ONCE):
-            some = list(map(bytes.decode, new[first : first + AT_ONCE]))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + len(self.flat)
-            self.flat.extend(chain.from_iterable(ids))
-            self.starts.frombytes(ends.tobytes())
-        known.update(zip(new, range(before, before + len(new)), strict=True))
-        slots = np.array([known[p] if slot is None else slot for p, slot in zip(pieces, slots, strict=True)], np.int64)
-        for piece in new[len(new) - self.long :]:
-            del known[piece]
+            ids, ends = self._encoded(new[first : first + AT_ONCE])
+            self.starts.frombytes((ends + len(self.flat)).tobytes())
+            self.flat.frombytes(ids.tobytes())
+        self.met.frombytes(bytes(self.met.itemsize * len(new)))
+        slots[fresh] = np.arange(before, before + len(new))
+        short = len(new) - self.long
+        self.known.update(zip(new[:short], range(before, before + short), strict=True))
+        np.frombuffer(self.met, np.int32)[slots] += 1
         return slots
 
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the library, and where each piece's end."""
+        if self.mark is not None:
+            joined = [self.marker.join([*pieces[i : i + JOINED], b""]) for i in range(0, len(pieces), JOINED)]
+            found = self.tokenizer.encode_batch_fast(list(map(bytes.decode, joined)), add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+            marks = ids == self.mark
+            ends = np.flatnonzero(marks)
+            if len(ends) == len(pieces):  # else a piece holds the token itself
+                return ids[~marks], ends - np.arange(len(ends))
+        found = self.tokenizer.encode_batch_fast(list(map(bytes.decode, pieces)), add_special_tokens=False)
+        lists = [e.ids for e in found]
+        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        return np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1])), ends
+
     def _trim(self) -> None:
-        """Forget long pieces, and all when they have become too many."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        elif self.long:
-            del self.starts[len(self.starts) - self.long :]
+        """Forget long pieces, and those met in one slice only when all have become too many."""
+        if self.long:
+            del self.starts[len(self.starts) - self.long :], self.met[len(self.met) - self.long :]
             del self.flat[self.starts[-1] :]
+        if len(self.known) <= REMEMBERED:
+            return
+        kept = np.flatnonzero(np.frombuffer(self.met, np.int32) > 1)
+        pieces = list(self.known)  # in the order of their slots
+        if 2 * len(kept) > REMEMBERED:
+            kept = kept[:0]
+        ids, reach = self._gathered(kept)
+        self._forget()
+        self.known = dict(zip(map(pieces.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        self.starts, self.flat = array("q", reach.tobytes()), array("i", ids.tobytes())
+        self.met = array("i", bytes(4 * len(kept)))
 
 
 @lru_cache(maxsize=1)
