@@ -2,16 +2,17 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check
 import corpus_pipeline
-from tracewell.llm import quality, shingle_join
+from tracewell.llm import decontaminate, exact_dedup, quality, shingle_join
 from tracewell.llm.queries import QUERIES
 from tracewell.llm.sql import ORACLE
-from tracewell.operators.sizes import landed
+from tracewell.operators.sizes import landed, small_batches
 
 
 def test_names():
@@ -87,3 +88,34 @@ def test_a_stage_keeps_clashing_columns(spark, sf):
     assert quality.scored(docs, model).columns[: len(docs.columns)] == docs.columns
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+def test_texts_reach_workers_in_small_batches(spark, sf, monkeypatch):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(setting)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    rows = spark.range(0, 4000, 1, 1).select(F.expr("repeat('some words ', 300)").alias("text"))
+    with small_batches(spark):
+        got = rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 4000 and max(r.size for r in got) < 3 << 20
+    with pytest.raises(ZeroDivisionError), small_batches(spark):
+        1 / 0
+    assert spark.conf.get(setting) == was
+
+    used = {}
+
+    def spy(frame, name):
+        used[name] = spark.conf.get(setting)
+        return landed(frame, name)
+
+    for module in (quality, exact_dedup, shingle_join, decontaminate):
+        monkeypatch.setattr(module, "landed", spy)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, sf)
+        assert spark.conf.get(setting) == was
+    assert {used[name] for name in ("features", "heads", "block-ranks", "shingle-sets", "listed", "leaks")} == {"2m"}

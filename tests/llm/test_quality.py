@@ -1,5 +1,7 @@
 """The co-trained classifier: held-out accuracy, odd rows, bounds."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -55,3 +57,13 @@ def test_odd_rows(spark, sf):
     assert out.where("quality_score is null or quality_keep is null").isEmpty()
     assert q.scored(odd.limit(0), model).collect() == []
     assert q.train(docs.limit(0), labels) == q.KEEP_ALL
+
+
+def test_a_task_holds_a_bounded_part_of_its_texts():
+    docs = pa.RecordBatch.from_arrays([pa.array([f"some words {k} " * 100 for k in range(3000)])], ["text"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in q._with_features("view")(iter([docs])))
+    most = tracemalloc.get_traced_memory()[1] >> 20
+    tracemalloc.stop()
+    print(most)
+    assert rows == 3000 and most < 45, most

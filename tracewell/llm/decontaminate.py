@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.words import PUNCTUATION_TOO, WordSlices, mixed
-from tracewell.operators.sizes import landed
+from tracewell.operators.sizes import landed, small_batches
 
 MAX_EDITS = 0.15
 RECALL = 0.95
@@ -55,6 +55,7 @@ WINDOWS = 32768  # embedded at a time
 MAX_REPEATS = 256
 BLOCK_ITEMS = 5_000
 BLOCK_CHARS = 4_000_000
+COUNTED, SEARCHED = 1 << 18, 1 << 19  # bytes of text that a task counts words in or searches at once
 TOTAL = (1 << 64) - 1  # stands for all words among their hashes
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 SCHEMA = "doc_id long, item_id long, start_char int, end_char int, edits int, item_length int"
@@ -256,7 +257,7 @@ def _anchor_counts(wanted: np.ndarray):
     """Counts the words with ``wanted`` hashes (sorted) in a task's texts, and all words as TOTAL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, total, words = WordSlices(PUNCTUATION_TOO), np.zeros(len(wanted), np.int64), 0
+        cut, total, words = WordSlices(PUNCTUATION_TOO, COUNTED), np.zeros(len(wanted), np.int64), 0
         seen = _Members(wanted)
         for batch in batches:
             for s in cut.slices(batch.column("text")):
@@ -334,7 +335,7 @@ class _Search:
             yield self._found(best, batch)
 
     def _prepare(self) -> None:
-        self.cut = WordSlices(PUNCTUATION_TOO)
+        self.cut = WordSlices(PUNCTUATION_TOO, SEARCHED)
         self.sizes = np.array([len(i.text) for i in self.items], np.int64)
         self.limits = (self.max_edits * self.sizes).astype(np.int64)
         self.grams = [[i.text[k : k + GRAM] for k in range(len(i.text) - GRAM + 1)] for i in self.items]
@@ -537,6 +538,7 @@ def benchmark_matches(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without those in which an item was found. Rows are told by a hash of their text, so doc_id may be null."""
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = benchmark_matches(docs.select(text.alias("doc_id"), "text"), benchmark, **settings)
-    found = landed(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    with small_batches(docs.sparkSession):
+        found = benchmark_matches(docs.select(text.alias("doc_id"), "text"), benchmark, **settings)
+        found = landed(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
     return docs.join(found, text == found["__leak"], "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.llm.words import byte_slices
-from tracewell.operators.sizes import landed
+from tracewell.operators.sizes import landed, small_batches
 
 BLOCK_BYTES = 4096
 HOT_BLOCKS = 1000  # blocks compared without a shuffle: at most 4 MB of content
@@ -189,8 +189,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Of equal texts the row with the largest ``doc_id`` stays.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _raw_hash().alias("raw_hash"))
-    heads = landed(rows.mapInArrow(_heads(BLOCK_BYTES), HEADS), "heads")
-    ids = landed(text_names(rows, heads).withColumnsRenamed({"doc_id": "d", "doc_hash": "x"}), "text-names")
+    with small_batches(docs.sparkSession):
+        heads = landed(rows.mapInArrow(_heads(BLOCK_BYTES), HEADS), "heads")
+        ids = landed(text_names(rows, heads).withColumnsRenamed({"doc_id": "d", "doc_hash": "x"}), "text-names")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_hash") == F.col("x"))
     named = landed(heads.drop("hashes").join(ids, same).drop("d", "x"), "named-rows")
     groups = named.groupBy("level", "name").agg(

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tracewell.llm.words import WordSlices
-from tracewell.operators.sizes import landed
+from tracewell.operators.sizes import landed, small_batches
 
 MAX_LABELLED = 20_000
 PER_ROUND = 500
@@ -43,6 +43,7 @@ ROUNDS = 3
 CONFIDENT = 0.9
 THRESHOLD = 0.2  # rejects what is clearly bad, in doubt a document stays
 HASHED_SOURCES, HASHED_LANGS = 32, 8
+SLICE = 1 << 18  # bytes of text that a task works on at once
 TEXT_FEATURES = (
     "upper digit space ascii_punctuation shout pipe symbol non_ascii word_length words distinct repeated "
     "ends_in_mark lines upper_squared distinct_squared"
@@ -106,7 +107,7 @@ def _with_features(name: str):
     """Adds the text view of each row's ``text`` as an array column ``name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = WordSlices()
+        cut = WordSlices(most=SLICE)
         for batch in batches:
             f = text_features(batch.column(batch.schema.get_field_index("text")), cut)
             flat = pa.array(f.ravel(), pa.float64())
@@ -208,7 +209,8 @@ def train(
     """Fit both views in turns on ``labels`` (doc_id, quality 0 or 1). Starts jobs."""
     marks = labels.where("quality is not null and doc_id is not null")
     marks = marks.groupBy("doc_id").agg(F.min("quality").cast("double").alias("good"))
-    seen = landed(features(docs), "features")
+    with small_batches(docs.sparkSession):
+        seen = landed(features(docs), "features")
     order = F.xxhash64(F.lit("label"), F.col("doc_id"))
     labelled = seen.join(marks, "doc_id").orderBy(order, "doc_id").limit(max_labelled)
     ids, text, meta, good = _pull(labelled)

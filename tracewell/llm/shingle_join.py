@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.graph import components
 from tracewell.llm.words import WordSlices, mixed, unique
-from tracewell.operators.sizes import broadcast_if_small, dropped, landed, shuffles_freed
+from tracewell.operators.sizes import broadcast_if_small, dropped, landed, shuffles_freed, small_batches
 
 WIDTH = 5
 NUM, DEN = 3, 4  # similarity at least NUM / DEN
@@ -327,7 +327,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     ``checked_links`` counts the links of the document's class that were checked;
     inside a component most need no check, so it is no count of similar texts.
     """
-    with shuffles_freed(docs.sparkSession):
+    with shuffles_freed(docs.sparkSession), small_batches(docs.sparkSession):
         return _similar_components(docs)
 
 
