@@ -15,6 +15,9 @@ rows repeated in full are rows of their own. Other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,11 +41,11 @@ def _numbered(sources: DataFrame) -> DataFrame:
     )
     ordered = landed(ordered.withColumn("in_part", F.expr("in_part & 8589934591")), "sources")
     counts = dict(ordered.groupBy("part").count().collect())  # one row per partition
-    first, total = [], 0
-    for part in sorted(counts):
-        first.append((part, total))
-        total += counts[part]
-    offsets = ordered.sparkSession.createDataFrame(first, "part int, first long")
+    parts = sorted(counts)
+    first = accumulate((counts[part] for part in parts[:-1]), initial=0) if parts else ()
+    # from Arrow, as lists would start Python workers of another kind beside those that tasks have
+    offsets = pa.table({"part": pa.array(parts, pa.int32()), "first": pa.array(first, pa.int64())})
+    offsets = ordered.sparkSession.createDataFrame(offsets)
     return ordered.join(F.broadcast(offsets), "part").select(
         "source", "source_size", (F.col("first") + F.col("in_part")).alias("place")
     )
